@@ -32,3 +32,30 @@ def with_target(df: DataFrame, dim: DataFrame, name: str = "target") -> DataFram
     (unknown level -> NULL label and order)."""
     from trajens.operators.shape import ordered_category
     return ordered_category(df, F.concat_ws(" ", "location", "target_variable"), dim, name)
+
+
+FORECAST_DATE = "2000-01-01"   # day before the round origin (static ensembles)
+SCORE_CUTOFF = "2000-09-02"    # last observed week
+
+
+def results_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_target(results(spark, sf_dir), T.target_dim(spark, sf_dir))
+
+
+def ensembles_all(spark: SparkSession, sf_dir: str, res: DataFrame | None = None) -> DataFrame:
+    """E3 ∪ E4: quantile, trajectory and linear-pool ensembles with target labels.
+    Model quantiles are computed once and feed both the quantile ensemble
+    and the linear pool (Spark reuses the shared exchange)."""
+    from trajens.operators import quantiles as Q
+    from trajens.operators.linear_pool import linear_pool
+    res = results(spark, sf_dir) if res is None else res
+    mq = Q.model_quantiles(res)
+    parts = Q.union_all(Q.ensemble_quantiles(mq), Q.ensemble_trajectories(res), linear_pool(mq))
+    return with_target(parts, T.target_dim(spark, sf_dir))
+
+
+def weekly(spark: SparkSession, sf_dir: str, res: DataFrame | None = None) -> DataFrame:
+    """E7 ensembles (horizon >= 0) with target labels."""
+    from trajens.operators.weighting import weekly_ensembles
+    res = results(spark, sf_dir) if res is None else res
+    return with_target(weekly_ensembles(res), T.target_dim(spark, sf_dir))

@@ -142,22 +142,19 @@ def rounds(spark: SparkSession) -> DataFrame:
 
 
 def target_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ordered target labels (level, label, ord) derived from the region table.
-
-    Cases are labelled for every region, deaths for the first three region keys
-    (as the report labels three case series and fewer death series); other
-    targets have no label and map to NULL.
-    """
+    """Ordered target labels (level, label, ord) derived from the region table:
+    ``"EUROPE inc case" -> "europe cases"``; cases first, then deaths, each in
+    region-key order. Levels missing from a dimension map to NULL."""
     region = read(spark, sf_dir, "region").select("r_regionkey", "r_name")
     n = region.select(F.count(F.lit(1))).scalar()
     cases = region.select(
         F.concat("r_name", F.lit(" inc case")).alias("level"),
         F.concat(F.lower("r_name"), F.lit(" cases")).alias("label"),
         (F.col("r_regionkey") + 1).alias("ord"))
-    deaths = region.where(F.col("r_regionkey") < 3).select(
+    deaths = region.select(
         F.concat("r_name", F.lit(" inc death")).alias("level"),
         F.concat(F.lower("r_name"), F.lit(" deaths")).alias("label"),
-        (F.col("r_regionkey") + 1 + n).cast("int").alias("ord"))
+        (F.col("r_regionkey") + 1 + n).alias("ord"))
     return cases.unionByName(deaths).select("level", "label", F.col("ord").cast("int"))
 
 
