@@ -15,16 +15,24 @@ from trajens.sources import testdata as T
 
 
 def observed(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
-    cases = P.tag_target(T.truth_daily_target(spark, sf_dir, "inc case", level), "inc case")
-    deaths = P.tag_target(T.truth_daily_target(spark, sf_dir, "inc death", level), "inc death")
-    return P.weekly_truth(P.union_truth(cases, deaths), T.population(spark, sf_dir, level))
+    """Weekly truth with population. Ends in an exchange on the series keys so
+    that every consumer inside one query (truth join, population join, peak
+    sizes) reuses one computation instead of re-reading the sources."""
+    daily = T.truth_daily(spark, sf_dir, level)
+    return (P.weekly_truth(daily, T.population(spark, sf_dir, level))
+            .repartition("location", "target_variable"))
 
 
 def results(spark: SparkSession, sf_dir: str, level: str = "region",
             n_model_min: int = 3) -> DataFrame:
+    """The cleaned results table, hash-partitioned by trajectory. Every
+    trajectory-keyed step downstream (scores, expanding scores, peaks) finds
+    its distribution already satisfied, and all consumers in one query (also
+    scalar subqueries) reuse the one exchange."""
     raw = T.projections_raw(spark, sf_dir, level)
-    return P.prepare_projections(raw, observed(spark, sf_dir, level), T.rounds(spark),
-                                 round_=T.ROUND, n_model_min=n_model_min)
+    res = P.prepare_projections(raw, observed(spark, sf_dir, level), T.rounds(spark),
+                                round_=T.ROUND, n_model_min=n_model_min)
+    return res.repartition(*P.TRAJ_KEYS)
 
 
 def with_target(df: DataFrame, dim: DataFrame, name: str = "target") -> DataFrame:

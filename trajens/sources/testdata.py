@@ -15,7 +15,8 @@ star schema. This adapter re-expresses it, entirely as Spark transforms:
 
 S (samples per cell) is derived from the data — max(1, #suppliers div 100) —
 so the number of trajectories grows with the input (1 at sf<=0.01, 10 at
-sf0.1). It is a scalar subquery, never collected to the driver.
+sf0.1). The supplier row count comes from parquet footers (no data pages are
+read) and is a single number, so it is fetched once per directory.
 """
 
 from __future__ import annotations
@@ -42,10 +43,14 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def samples_per_cell(spark: SparkSession, sf_dir: str):
-    """Scalar subquery column: max(1, count(supplier) div 100)."""
-    sup = read(spark, sf_dir, "supplier")
-    return sup.select(F.greatest(F.lit(1), F.expr("count(1) div 100")).cast("int")).scalar()
+_S_CACHE: dict[str, int] = {}
+
+
+def samples_per_cell(spark: SparkSession, sf_dir: str) -> int:
+    """max(1, count(supplier) div 100)."""
+    if sf_dir not in _S_CACHE:
+        _S_CACHE[sf_dir] = max(1, read(spark, sf_dir, "supplier").count() // 100)
+    return _S_CACHE[sf_dir]
 
 
 def _line_facts(spark, sf_dir, level, lo: dt.date, hi: dt.date) -> DataFrame:
@@ -95,7 +100,7 @@ def projections_raw(spark: SparkSession, sf_dir: str, level: str = "region") ->
              .where(F.col("epi_year").between(1995, 1999) & (F.col("week") <= 52))
              .withColumn("scenario_id", F.when(F.col("l_linestatus") == "F", "A").otherwise("B"))
              .withColumn("sample", (F.col("epi_year") - 1994
-                                    + 5 * F.pmod(F.col("l_suppkey"), s.cast("bigint"))).cast("int"))
+                                    + 5 * F.pmod(F.col("l_suppkey"), F.lit(s).cast("bigint"))).cast("int"))
              .groupBy("location", "model", "scenario_id", "sample", "week")
              .agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines")))
     cells = cells.withColumn("horizon", F.concat(F.col("week").cast("string"), F.lit(" wk")))
