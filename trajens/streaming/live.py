@@ -22,8 +22,10 @@ from trajens.session import checkpoint_dir
 
 
 def daily_from_events(events: DataFrame) -> DataFrame:
-    """Events -> daily observations: location = event type, value = event value."""
-    return events.select(F.col("event_type").alias("location"), F.col("ts"),
+    """Events -> daily observations: location = event type, value = event value.
+    ``ts`` is cast to a session-zone timestamp (watermarks need one; the
+    session zone is UTC, so calendar days are unchanged)."""
+    return events.select(F.col("event_type").alias("location"), F.col("ts").cast("timestamp").alias("ts"),
                          F.col("value"), F.lit("events").alias("target_variable"))
 
 
