@@ -1,10 +1,12 @@
 """Exact (type 7) group quantiles and the simple ensembles built from them.
 
-``group_quantiles`` evaluates all levels in one aggregate (``percentile`` with
-an array of levels; partial aggregation map-side) and expands the array with
-``posexplode``. For groups too large for one task's value->count map use
-``method="ranked"`` (:mod:`trajens.operators.ranked`), which splits every group
-by value range and finds order statistics without gathering a group.
+``group_quantiles`` defaults to ``method="ranked"``
+(:mod:`trajens.operators.ranked`): groups are cut into value-range chunks by a
+range shuffle and each level is answered by the row at its rank, so no group
+is ever gathered in one task, however hot. ``method="exact"`` evaluates all
+levels in one ``percentile`` aggregate (map-side partial value->count maps,
+merged per group in one task: fine when groups are known to be small) and
+``method="approx"`` uses ``percentile_approx`` (bounded sketch per group).
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ def _labels_array(levels):
 
 
 def group_quantiles(df: DataFrame, keys, value: str = "value_100k", levels=QUANTILE_LEVELS,
-                    with_count: bool = False, method: str = "exact") -> DataFrame:
+                    with_count: bool = False, method: str = "ranked") -> DataFrame:
     """Rows ``keys + [n?] + quantile_level, quantile, value`` (one per level)."""
     keys = list(keys)
     if method == "ranked":
@@ -49,14 +51,14 @@ def group_quantiles(df: DataFrame, keys, value: str = "value_100k", levels=QUANT
 
 
 def ensemble_trajectories(results: DataFrame, levels=QUANTILE_LEVELS, keys=ENS_KEYS,
-                          method: str = "exact") -> DataFrame:
+                          method: str = "ranked") -> DataFrame:
     """A3: quantiles over every trajectory of every model per target group."""
     return (group_quantiles(results, keys, "value_100k", levels, with_count=True, method=method)
             .withColumn("model", F.lit("Trajectories")))
 
 
 def model_quantiles(results: DataFrame, levels=QUANTILE_LEVELS, keys=ENS_KEYS,
-                    method: str = "exact") -> DataFrame:
+                    method: str = "ranked") -> DataFrame:
     """A4: each model's own quantiles per target group."""
     return group_quantiles(results, list(keys) + ["model"], "value_100k", levels, method=method)
 
@@ -69,7 +71,7 @@ def ensemble_quantiles(mq: DataFrame, keys=ENS_KEYS) -> DataFrame:
             .withColumn("model", F.lit("Quantiles")))
 
 
-def simple_ensembles(results: DataFrame, levels=QUANTILE_LEVELS, method: str = "exact") -> DataFrame:
+def simple_ensembles(results: DataFrame, levels=QUANTILE_LEVELS, method: str = "ranked") -> DataFrame:
     """Quantile ensemble ∪ trajectory ensemble."""
     q = ensemble_quantiles(model_quantiles(results, levels, method=method))
     t = ensemble_trajectories(results, levels, method=method)

@@ -25,6 +25,7 @@ from trajens.functions.beta import beta_cdf, beta_cdf_jvm
 from trajens.functions.dates import weeks_between
 from trajens.functions.quantiles import QUANTILE_LEVELS, label
 from trajens.operators.quantiles import group_quantiles
+from trajens.operators.ranked import ordered_positions
 
 TRAJ = ["location", "target_variable", "model", "sample", "scenario_id"]
 WEEK_KEYS = ["target_end_date", "location", "target_variable"]
@@ -112,7 +113,7 @@ def expanding_weights(results: DataFrame, min_horizon: int | None = None,
 
 
 def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: str = "weight",
-                      levels=QUANTILE_LEVELS, order_ties=(), jvm_beta: bool = False) -> DataFrame:
+                      levels=QUANTILE_LEVELS, order_ties=(), jvm_beta: bool = True) -> DataFrame:
     """Weighted Harrell–Davis quantiles per group.
 
     With values sorted ascending, normalised cumulative weights c_i (c_0 = 0,
@@ -121,26 +122,22 @@ def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: st
     q_p = x_n - Σ_{i<n} I_{c_i}(a,b) (x_{i+1} - x_i): one beta value per row and
     level, no second window. A group with any NULL weight (or zero total)
     yields NULL, as NA propagates in the reference.
+
+    Running weights come from :func:`ordered_positions` (range-partitioned
+    chunks, never one task per group); the per-level sums are a plain
+    aggregate with map-side partial sums, so a hot group is split everywhere.
     """
     keys = list(keys)
-    w = Window.partitionBy(*keys).orderBy(F.col("_x"), *[F.col(c) for c in order_ties])
-    whole = Window.partitionBy(*keys)
-    x, wt = F.col(value), F.col(weight)
-    rows = (df.select(*keys, *order_ties, x.alias("_x"), wt.alias("_w"))
-            .withColumn("_sw", F.sum("_w").over(whole))
-            .withColumn("_sw2", F.sum(F.col("_w") * F.col("_w")).over(whole))
-            .withColumn("_bad", F.max(F.col("_w").isNull().cast("int")).over(whole))
-            .withColumn("_cw", F.sum("_w").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("_nx", F.lead("_x").over(w)))
+    pos = ordered_positions(df, keys, value, weight, ties=order_ties)
     lv = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(label(p)).alias("quantile"))
                    for p in levels])
     ok = (F.col("_bad") == 0) & (F.col("_sw") > 0)
     nw1 = F.col("_sw") * F.col("_sw") / F.col("_sw2") + 1.0
     inner = F.col("_nx").isNotNull() & ok
     cdf = F.least(F.col("_cw") / F.col("_sw"), F.lit(1.0))
-    e = (rows.select(*keys, "_x", "_nx", F.when(ok, 1).otherwise(0).alias("_ok"),
-                     F.when(inner, cdf).alias("_c"), F.when(ok, nw1).alias("_nw1"),
-                     F.explode(lv).alias("lv"))
+    e = (pos.select(*keys, "_x", "_nx", F.when(ok, 1).otherwise(0).alias("_ok"),
+                    F.when(inner, cdf).alias("_c"), F.when(ok, nw1).alias("_nw1"),
+                    F.explode(lv).alias("lv"))
          .select(*keys, "_x", "_nx", "_ok", "_c", F.col("lv.p").alias("quantile_level"),
                  F.col("lv.quantile").alias("quantile"),
                  (F.col("_nw1") * F.col("lv.p")).alias("_a"),
