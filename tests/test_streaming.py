@@ -1,5 +1,6 @@
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -14,10 +15,12 @@ def test_stream_rollup_equals_batch(spark):
     batch = weekly_rollup(daily_from_events(events), watermark=None)
     stream_in = (spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet")
                  .parquet(SF))
+    # a fresh query name = a fresh checkpoint (a reused name resumes its stream)
+    name = f"t_rollup_{uuid.uuid4().hex[:8]}"
     q = start(weekly_rollup(daily_from_events(stream_in), watermark="3650 days"),
-              "t_rollup", mode="complete", trigger={"availableNow": True})
+              name, mode="complete", trigger={"availableNow": True})
     q.awaitTermination(300)
-    got = spark.table("t_rollup")
+    got = spark.table(name)
     cols = ("location", "week_start", "target_end_date", "value", "n_obs")
     assert rows(got, *cols) == rows(batch, *cols)
     q.stop()
@@ -35,13 +38,15 @@ def test_score_refresh_is_incremental_mae(spark):
     truth = [("BE", "inc case", d[0], 0.002), ("BE", "inc case", d[1], 0.001)]
     spark.createDataFrame(truth[:1], schema).write.parquet(f"{root}/w0")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(root)
-    q = start(score_refresh(stream, res), "t_scores", mode="complete", trigger={"availableNow": True})
+    name = f"t_scores_{uuid.uuid4().hex[:8]}"
+    q = start(score_refresh(stream, res), name, mode="complete", trigger={"availableNow": True})
     q.awaitTermination(300)
-    first = spark.table("t_scores").first()
+    first = spark.table(name).first()
     assert first.n_weeks_scored == 1 and abs(first.mae - 1.0) < 1e-12
     spark.createDataFrame(truth[1:], schema).write.parquet(f"{root}/w1")
-    q2 = start(score_refresh(stream, res), "t_scores", mode="complete", trigger={"availableNow": True})
+    # same name: resumes from the checkpoint and picks up only the new week
+    q2 = start(score_refresh(stream, res), name, mode="complete", trigger={"availableNow": True})
     q2.awaitTermination(300)
-    r = spark.table("t_scores").first()
+    r = spark.table(name).first()
     # week 1: obs 0.001 -> 1 per 100k, error |2 - 1| = 1; MAE over two weeks = 1
     assert r.n_weeks_scored == 2 and abs(r.mae - 1.0) < 1e-12

@@ -45,8 +45,9 @@ def weekly_truth(daily: DataFrame, pop: DataFrame) -> DataFrame:
 def add_horizon_dates(raw: DataFrame, rounds: DataFrame, round_: int) -> DataFrame:
     """Parse ``"12 wk"`` and set ``target_end_date = origin + 7h - 1``."""
     origin = rounds.where(F.col("round") == round_).select("round", "origin_date")
+    # the rounds dimension has one row per modelling round: broadcast it
     return (raw.withColumn("round", F.lit(round_))
-            .join(origin, "round", "inner")
+            .join(F.broadcast(origin), "round", "inner")
             .withColumn("horizon", parse_horizon("horizon"))
             .withColumn("target_end_date", horizon_end_date("origin_date", "horizon"))
             .drop("origin_date"))

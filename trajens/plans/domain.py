@@ -66,4 +66,37 @@ def weekly(spark: SparkSession, sf_dir: str, res: DataFrame | None = None) -> Da
     """E7 ensembles (horizon >= 0) with target labels."""
     from trajens.operators.weighting import weekly_ensembles
     res = results(spark, sf_dir) if res is None else res
-    return with_target(weekly_ensembles(res), T.target_dim(spark, sf_dir))
+    # ends in an exchange so that every consumer in one query (bounds taken
+    # as scalar subqueries, both sides of a comparison) shares one computation
+    return (with_target(weekly_ensembles(res), T.target_dim(spark, sf_dir))
+            .repartition("forecast_date", "location", "target_variable"))
+
+
+def weekly_with_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weekly ensembles (horizon >= 0, weighting label) full-joined
+    with observations on (target, week)."""
+    from trajens.operators.shape import weekly_with_obs as wwo
+    res = results_t(spark, sf_dir)
+    return wwo(weekly(spark, sf_dir, results(spark, sf_dir)), res)
+
+
+def weekly_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E8 on weekly ensembles: mean WIS (log scale) per (model = weighting
+    scheme, weeks of data, target), forecasts after the cutoff dropped."""
+    from trajens.operators import evaluation as E
+    w = weekly_with_obs(spark, sf_dir)
+    f = (w.select(F.col("scenario_id").alias("model"), "n_weeks_scored", "target",
+                  "target_end_date",
+                  F.regexp_replace("quantile", "^q", "").cast("double").alias("quantile"),
+                  F.col("value").alias("prediction"), F.col("obs_100k").alias("true_value"))
+         .where((F.col("target_end_date") <= F.lit(SCORE_CUTOFF).cast("date"))
+                & F.col("model").isNotNull()))
+    return E.wis(f, ["model", "n_weeks_scored", "target"])
+
+
+def rel_wis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E10 on weekly scores: weighted against unweighted, per (weeks of data,
+    target), as ``rel_wis`` with a label at week 31."""
+    from trajens.operators import evaluation as E
+    pw = E.pairwise_skill(weekly_scores(spark, sf_dir), ["n_weeks_scored", "target"], "Unweighted")
+    return E.rel_wis(pw.where(F.col("model") == "Weighted"))
