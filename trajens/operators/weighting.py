@@ -135,6 +135,11 @@ def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: st
     nw1 = F.col("_sw") * F.col("_sw") / F.col("_sw2") + 1.0
     inner = F.col("_nx").isNotNull() & ok
     cdf = F.least(F.col("_cw") / F.col("_sw"), F.lit(1.0))
+    # A row whose next value equals its own contributes exactly 0 at every
+    # level; a group that yields NULL needs only its last row. Both are
+    # dropped before the per-level expansion (exact, fewer beta evaluations).
+    last = F.col("_nx").isNull()
+    pos = pos.where(last | (ok & (F.col("_nx") != F.col("_x"))))
     e = (pos.select(*keys, "_x", "_nx", F.when(ok, 1).otherwise(0).alias("_ok"),
                     F.when(inner, cdf).alias("_c"), F.when(ok, nw1).alias("_nw1"),
                     F.explode(lv).alias("lv"))
