@@ -12,6 +12,8 @@ Paths are given by the user; nothing is downloaded.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, StringType, StructField,
@@ -29,6 +31,7 @@ SUBMISSION_SCHEMA = StructType([
 ])
 
 DATE_PATTERN = r"\d{4}-\d{2}-\d{2}"
+SCHEME = r"^[A-Za-z][A-Za-z0-9+.-]*:(//)?"
 
 
 def read_observed_csv(spark: SparkSession, path: str, target_variable: str | None = None) -> DataFrame:
@@ -41,6 +44,9 @@ def parse_submission_path(path_col, root: str = "") -> tuple:
     date in the path, and the directory part after ``root`` with slashes
     removed."""
     p = F.col(path_col) if isinstance(path_col, str) else path_col
+    # compare without the URI scheme: Spark reports local files as "file:/..."
+    p = F.regexp_replace(p, SCHEME, "")
+    root = re.sub(SCHEME, "", root)
     rest = F.substring(p, len(root) + 1, 1 << 20) if root else p
     date = F.to_date(F.regexp_extract(p, DATE_PATTERN, 0))
     model = F.regexp_replace(F.regexp_extract(rest, r"/(.+)/", 0), "/", "")
@@ -86,7 +92,7 @@ def read_submissions(spark: SparkSession, root: str, rounds: DataFrame, round_:
           .option("columnNameOfCorruptRecord", bad)
           .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
           .csv(root))
-    date, model = parse_submission_path(F.col("_metadata.file_path"), _uri(root))
+    date, model = parse_submission_path(F.col("_metadata.file_path"), root)
     r = rounds.where(F.col("round") == round_)
     lo = r.select(F.min("origin_date")).scalar()
     hi = r.select(F.max("submission_window_end")).scalar()
@@ -95,7 +101,11 @@ def read_submissions(spark: SparkSession, root: str, rounds: DataFrame, round_:
               .where(F.col("_date").between(lo, hi)))
     rows = (tagged.where(F.col(bad).isNull()).drop(bad, "_date", "_file")
             .withColumn("round", F.lit(round_)))
-    rejects = tagged.where(F.col(bad).isNotNull()).select("model", "_file", F.col(bad).alias("line"))
+    # The CSV reader parses only the columns a query needs, so the reject
+    # query reads every schema column too: a row is rejected on the same
+    # fields whichever table is asked for.
+    rejects = tagged.where(F.col(bad).isNotNull()).select(
+        "model", "_file", *[f.name for f in schema.fields], F.col(bad).alias("line"))
     return rows, rejects
 
 
