@@ -65,6 +65,15 @@ def forecast_dates(results: DataFrame):
     return results.select(F.sort_array(F.collect_set("target_end_date"))).scalar()
 
 
+def mask_history(results: DataFrame) -> DataFrame:
+    """The results once per forecast date f with observations at or after
+    f hidden (``obs_100k`` NULL) — the data a scorer may see at f."""
+    dates = forecast_dates(results)
+    return (results.select("*", F.explode(dates).alias("forecast_date"))
+            .withColumn("obs_100k", F.when(F.col("target_end_date") < F.col("forecast_date"),
+                                           F.col("obs_100k"))))
+
+
 def expanding_mae(results: DataFrame, min_weeks: int = 0) -> DataFrame:
     """For each forecast date f, each trajectory's MAE over observed weeks
     strictly before f. Trajectories without such weeks have no row (as in a
