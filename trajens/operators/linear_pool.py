@@ -6,18 +6,19 @@ Each model's quantiles define a piecewise-linear CDF through its knots
 level sits on the outer knots. The pool is the equal-weight mean of the
 models' CDFs, inverted at the requested levels.
 
-Plan (per target group G):
+Plan (per target group G), a sweep over knots — no (knot, model) pairs:
 
 1. knots: ``x = round(v, 9)``; per (G, model, x) ``pl = min(p)``, ``ph = max(p)``.
-2. evaluation points: the distinct knot values of G, each paired with each
-   model of G (rows = knots × models of the group — bounded by the number of
-   levels times the squared number of models, independent of trajectory
-   counts).
-3. each model's previous / next knot at every point by ``last_value(.., true)``
-   over the model's points in x order (one sort, no self-join of knots).
-4. left limit ``fl`` and value ``fr`` of every model at every point; pooled
-   by ``avg`` (rounded to 12 dp so that mathematically equal steps compare equal).
-5. each level p is answered at the point where the pooled CDF first reaches p:
+2. each model's CDF is a sum of events at its own knots: a jump (value minus
+   left limit: ``ph`` at the first knot, ``ph - pl`` inside, ``1 - pl`` at the
+   last) and a slope change (next segment's slope minus the previous one's).
+   Found with one window over the model's knots (at most one per level).
+3. events of all models are summed per (G, x); running sums over x give, at
+   every knot, Σjumps, Σslope changes D and Σ(slope change · x_e) DX of the
+   events strictly before it, so the pooled left limit is
+   ``(J + x·D - DX) / M`` and the pooled value adds this knot's jumps / M
+   (M = number of models in G; rounded to 12 dp so equal steps compare equal).
+4. each level p is answered at the point where the pooled CDF first reaches p:
    the point itself when p lies in its step, else linear interpolation on
    the segment before it.
 
@@ -43,35 +44,30 @@ def linear_pool(mq: DataFrame, keys=ENS_KEYS, levels=QUANTILE_LEVELS,
                        F.round(F.col("value"), 9).alias("x"))
              .groupBy(*keys, "_m", "x")
              .agg(F.min("_p").alias("pl"), F.max("_p").alias("ph")))
-    points = knots.select(*keys, "x").distinct()
-    members = knots.select(*keys, "_m").distinct()
-    spine = (points.join(members, keys, "inner")
-             .join(knots, keys + ["_m", "x"], "left"))
-
-    per_model = Window.partitionBy(*keys, "_m")
-    before = per_model.orderBy(F.col("x").asc()).rowsBetween(Window.unboundedPreceding, -1)
-    after = per_model.orderBy(F.col("x").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    kx = F.when(F.col("pl").isNotNull(), F.col("x"))
-    ev = (spine
-          .withColumn("px", F.last(kx, ignorenulls=True).over(before))
-          .withColumn("pph", F.last("ph", ignorenulls=True).over(before))
-          .withColumn("nx", F.last(kx, ignorenulls=True).over(after))
-          .withColumn("npl", F.last("pl", ignorenulls=True).over(after)))
-    interp = F.col("pph") + (F.col("npl") - F.col("pph")) * (F.col("x") - F.col("px")) \
-        / (F.col("nx") - F.col("px"))
-    is_knot = F.col("pl").isNotNull()
-    fl = (F.when(is_knot & F.col("px").isNull(), F.lit(0.0))
-          .when(is_knot, F.col("pl"))
-          .when(F.col("px").isNull(), F.lit(0.0))
-          .when(F.col("nx").isNull(), F.lit(1.0))
-          .otherwise(interp))
-    fr = (F.when(is_knot & F.col("nx").isNull(), F.lit(1.0))
-          .when(is_knot, F.col("ph"))
-          .when(F.col("px").isNull(), F.lit(0.0))
-          .when(F.col("nx").isNull(), F.lit(1.0))
-          .otherwise(interp))
-    pooled = (ev.groupBy(*keys, "x")
-              .agg(F.round(F.avg(fl), 12).alias("fl"), F.round(F.avg(fr), 12).alias("fr")))
+    own = Window.partitionBy(*keys, "_m").orderBy("x")
+    k = (knots
+         .withColumn("_px", F.lag("x").over(own)).withColumn("_pph", F.lag("ph").over(own))
+         .withColumn("_nx", F.lead("x").over(own)).withColumn("_npl", F.lead("pl").over(own)))
+    slope_in = F.when(F.col("_px").isNotNull(),
+                      (F.col("pl") - F.col("_pph")) / (F.col("x") - F.col("_px"))).otherwise(F.lit(0.0))
+    slope_out = F.when(F.col("_nx").isNotNull(),
+                       (F.col("_npl") - F.col("ph")) / (F.col("_nx") - F.col("x"))).otherwise(F.lit(0.0))
+    left = F.when(F.col("_px").isNull(), F.lit(0.0)).otherwise(F.col("pl"))
+    right = F.when(F.col("_nx").isNull(), F.lit(1.0)).otherwise(F.col("ph"))
+    events = k.select(*keys, "_m", "x", (right - left).alias("_j"), (slope_out - slope_in).alias("_d"),
+                      F.col("_px").isNull().cast("int").alias("_first"))
+    per_x = (events.groupBy(*keys, "x")
+             .agg(F.sum("_j").alias("_j"), F.sum("_d").alias("_d"),
+                  F.sum(F.col("_d") * F.col("x")).alias("_dx"), F.sum("_first").alias("_first")))
+    sweep = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
+    run = (per_x
+           .withColumn("_nm", F.sum("_first").over(Window.partitionBy(*keys)))   # models in G
+           .withColumn("_cj", F.coalesce(F.sum("_j").over(sweep), F.lit(0.0)))
+           .withColumn("_cd", F.coalesce(F.sum("_d").over(sweep), F.lit(0.0)))
+           .withColumn("_cdx", F.coalesce(F.sum("_dx").over(sweep), F.lit(0.0))))
+    gl = (F.col("_cj") + F.col("x") * F.col("_cd") - F.col("_cdx")) / F.col("_nm")
+    gr = gl + F.col("_j") / F.col("_nm")
+    pooled = run.select(*keys, "x", F.round(gl, 12).alias("fl"), F.round(gr, 12).alias("fr"))
     order = Window.partitionBy(*keys).orderBy("x")
     pooled = (pooled.withColumn("x_prev", F.lag("x").over(order))
               .withColumn("fr_prev", F.coalesce(F.lag("fr").over(order), F.lit(0.0))))
