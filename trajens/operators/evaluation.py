@@ -147,7 +147,8 @@ def rel_wis_wide(rw: DataFrame, weeks=(4, 8, 16, 31)) -> DataFrame:
 
 def six_number_summary(rw: DataFrame, value: str = "rel_wis", by: str = "target") -> DataFrame:
     """Min, quartiles (type 7), mean, max — per ``by`` and overall (NULL
-    ``by``) in one grouping-sets aggregate."""
+    ``by``) in one grouping-sets aggregate. Input is the relative-skill table
+    (one row per target and weeks of data), already summarised."""
     q = F.percentile(F.col(value), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
     g = rw.rollup(by).agg(F.min(value).alias("min"), q.alias("_q"), F.avg(value).alias("mean"),
                           F.max(value).alias("max"), F.grouping(by).alias("overall"))

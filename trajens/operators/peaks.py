@@ -42,7 +42,10 @@ def peaks_per_trajectory(peaks: DataFrame, keys=PEAK_KEYS) -> DataFrame:
 def peak_count_quantiles(peaks: DataFrame, levels=(0.05, 0.5, 0.95),
                          by=("model", "scenario_id", "location", "target_variable")) -> DataFrame:
     """Half-even rounded quantiles of the peak count per group, one
-    column per level (``q0_05``, ``q0_5``, ``q0_95``)."""
+    column per level (``q0_05``, ``q0_5``, ``q0_95``). ``percentile`` keeps a
+    value->count map per group; peak counts are small integers (at most
+    half a trajectory's weeks), so that map stays tiny however many
+    trajectories a group holds."""
     counts = peaks_per_trajectory(peaks)
     qs = F.percentile(F.col("peaks"), F.array(*[F.lit(float(p)) for p in levels]))
     g = counts.groupBy(*by).agg(qs.alias("_q"))
