@@ -16,6 +16,10 @@ spills its whole share. Here groups are cut into ordered chunks instead:
    group. It joins back on (group, partition), the partitioning the rows
    already have, so the big side is not shuffled again.
 
+Both the rows and the chunk table read the one range shuffle (Spark reuses
+the identical exchange), so partition ids agree between them; the tests
+check exact ranks of a hot group spread over many partitions.
+
 Result: every row with its inclusive running count / weight in group order,
 the next value in the group, and the group totals — enough for type-7
 quantiles (rank lookup) and for the weighted Harrell–Davis quantile.
