@@ -42,7 +42,7 @@ def token_stream(docs: DataFrame, name: str, end_id: int, id_col: str = "doc_id"
         for b in batches:
             for lo in range(0, b.num_rows, _ROWS):
                 part = b.slice(lo, _ROWS)
-                ids = [b"".join([*words.look_up(word_pieces(t or b"")), end]) for t in part.column(1).to_pylist()]
+                ids = words.per_text(part.column(1).to_pylist(), word_pieces, lambda v: b"".join([*v, end]))
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

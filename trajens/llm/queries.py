@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from trajens.llm.langid import op8_langid
+from trajens.llm.mixing import op2_mixing
 from trajens.llm.packing import op3_packing
+from trajens.llm.pii import op5_pii
+from trajens.llm.quality import op7_quality
 from trajens.llm.sharding import op6_sharding
 from trajens.llm.simhash import op9_simhash
+from trajens.llm.substrings import op1_suffix_dedup
 from trajens.llm.tokens import op10_token_counts
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
+    "op7_quality": op7_quality,
+    "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }

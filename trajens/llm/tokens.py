@@ -66,26 +66,80 @@ def word_pieces(text: bytes) -> list[bytes]:
 
 
 class PieceTable:
-    """piece -> value of its encoding, at most ``room`` pieces; started anew when full."""
-
-    def __init__(self, name: str, value, room: int = 400_000, longest: int = 64):
-        self.name, self.value, self.room, self.longest, self.known = name, value, room, longest, {}
+    """piece -> value of its encoding, in two generations of at most ``room`` / 2 pieces each: when
+    the young one is full it becomes the old one, and the old one's unused pieces go.
+
+    A comma or full stop after a letter or digit always is a token piece of its own, so it is split
+    off before a new piece is encoded; with ``fold`` (files that lower-case) pure ASCII letters are
+    looked up in lower case. Values add up (counts, or ids as bytes)."""
+
+    def __init__(self, name: str, value, fold: bool = False, room: int = 800_000, longest: int = 64):
+        self.name, self.value, self.fold, self.room, self.longest = name, value, fold, room, longest
+        self.young, self.old = {}, {}
+
+    def _parts(self, p) -> tuple:
+        tail = p[-1:]
+        core = p
+        if len(p) > 2 and tail in (b",", b".", ",", ".") and p[-2:-1].isalnum():
+            core = p[:-1]
+        else:
+            tail = None
+        if self.fold and core.isascii() and core.isalpha():
+            core = core.lower()
+        return core, tail
 
     def look_up(self, pieces: list) -> list:
-        known = self.known
-        got = list(map(known.get, pieces))
-        if None in got:
+        got = list(map(self.young.get, pieces))
+        if None not in got:
+            return got
+        old, fresh, parts = self.old, {}, {}
+        for p in {p for p, g in zip(pieces, got) if g is None}:
+            v = old.get(p)
+            if v is None:
+                parts[p] = self._parts(p)
+            else:
+                fresh[p] = v
+        need = {x for pair in parts.values() for x in pair if x is not None}
+        known = {x: v for x in need if (v := self.young.get(x, old.get(x))) is not None}
+        new = [x for x in need if x not in known]
+        if new:
             lib = tokenizer(tokenizer_path(self.name))
-            new = list({p for p, g in zip(pieces, got) if g is None})
-            texts = [p.decode() if isinstance(p, bytes) else p for p in new]
-            fresh = {p: self.value(e.ids) for p, e in zip(new, lib.encode_batch_fast(texts, add_special_tokens=False))}
-            got = [fresh[p] if g is None else g for p, g in zip(pieces, got)]
-            if len(known) + len(fresh) > self.room:
-                known.clear()
-            if len(fresh) <= self.room:
-                known.update((p, v) for p, v in fresh.items() if len(p) <= self.longest)
+            texts = [x.decode() if isinstance(x, bytes) else x for x in new]
+            known.update((x, self.value(e.ids)) for x, e in zip(new, lib.encode_batch_fast(texts, add_special_tokens=False)))
+        for p, (core, tail) in parts.items():
+            fresh[p] = known[core] if tail is None else known[core] + known[tail]
+        fresh.update((x, known[x]) for x in new)
+        got = [fresh[p] if g is None else g for p, g in zip(pieces, got)]
+        half = self.room // 2
+        for x, v in fresh.items():
+            if len(x) <= self.longest:
+                if len(self.young) >= half:
+                    self.young, self.old = {}, self.young
+                self.young[x] = v
         return got
 
+    def per_text(self, texts: list, split, join, most: int = 1 << 20) -> list:
+        """join(values of the pieces) per text; texts are looked up together, about ``most``
+        characters at a time."""
+        out, flat, ends, size = [], [], [], 0
+
+        def flush():
+            nonlocal flat, ends, size
+            got, at = self.look_up(flat), 0
+            for e in ends:
+                out.append(join(got[at:e]))
+                at = e
+            flat, ends, size = [], [], 0
+
+        for t in texts:
+            flat += split(t) if t else []
+            ends.append(len(flat))
+            size += len(t) if t else 0
+            if size >= most:
+                flush()
+        flush()
+        return out
+
 
 @lru_cache(maxsize=4)
 def piece_counts(name: str) -> PieceTable:
@@ -95,8 +149,12 @@ def piece_counts(name: str) -> PieceTable:
 
 @lru_cache(maxsize=4)
 def piece_ids(name: str) -> PieceTable:
-    return PieceTable(name, lambda ids: np.array(ids, "<u2").tobytes() if max(ids, default=0) < 65536
-                      else _wide(ids))
+    """Ids as little-endian 16-bit numbers; for word BPE files that lower-case."""
+    return PieceTable(name, _packed, fold=True)
+
+
+def _packed(ids: list) -> bytes:
+    return np.array(ids, "<u2").tobytes() if max(ids, default=0) < 65536 else _wide(ids)
 
 
 def _wide(ids):
@@ -201,7 +259,7 @@ def count_tokens(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: s
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(name)
         for b in batches:
-            n = [sum(counts.look_up(byte_pieces(t))) if t else 0 for t in b.column(2).to_pylist()]
+            n = counts.per_text(b.column(2).to_pylist(), byte_pieces, sum)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 
