@@ -26,10 +26,11 @@ def test_pieces_give_the_library_tokens():
     rng = random.Random(3)
     texts = ODD + [random_text(rng, 60) for _ in range(400)]
     b, w = lib(BYTE), lib(WORD)
-    for t in texts:
-        assert sum(tokens.piece_counts(BYTE).look_up(tokens.byte_pieces(t))) == len(b.encode(t, add_special_tokens=False).ids), t
-        ids = np.frombuffer(b"".join(tokens.piece_ids(WORD).look_up(tokens.word_pieces(t.encode()))), "<u2").tolist()
-        assert ids == w.encode(t, add_special_tokens=False).ids, t
+    counts = tokens.text_counts(tokens.piece_counts(BYTE), texts + [None])
+    ids = tokens.text_ids(tokens.piece_ids(WORD), [t.encode() for t in texts] + [None], b"\1\0")
+    for t, n, i in zip(texts + [""], counts, ids):
+        assert n == len(b.encode(t, add_special_tokens=False).ids), t
+        assert np.frombuffer(i, "<u2").tolist() == [*w.encode(t, add_special_tokens=False).ids, 1], t
 
 
 def test_piece_table_stays_bounded():

@@ -21,13 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajens.llm.common import partition_offsets, store, table
-from trajens.llm.tokens import piece_ids, word_pieces
+from trajens.llm.tokens import piece_ids, text_ids
 
 _PASS1 = "pid int, at long, doc_id long, n long, ids binary"
 _PASS2 = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
 #: rows per Arrow batch that a task hands back
-_ROWS = 2048
+_ROWS = 4096
 
 
 def token_stream(docs: DataFrame, name: str, end_id: int, id_col: str = "doc_id",
@@ -42,7 +42,7 @@ def token_stream(docs: DataFrame, name: str, end_id: int, id_col: str = "doc_id"
         for b in batches:
             for lo in range(0, b.num_rows, _ROWS):
                 part = b.slice(lo, _ROWS)
-                ids = words.per_text(part.column(1).to_pylist(), word_pieces, lambda v: b"".join([*v, end]))
+                ids = text_ids(words, part.column(1).to_pylist(), end)
                 n = np.array([len(x) // 2 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())

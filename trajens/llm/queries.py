@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from trajens.llm.ann import op4_nearest
 from trajens.llm.langid import op8_langid
 from trajens.llm.mixing import op2_mixing
 from trajens.llm.packing import op3_packing
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_mixing": op2_mixing,
     "op3_packing": op3_packing,
+    "op4_nearest": op4_nearest,
     "op5_pii": op5_pii,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,

@@ -3,10 +3,10 @@
 Common path: a text is cut only where the tokenizer itself always cuts, each distinct piece is
 encoded once by the library and remembered in a bounded table of the Python worker.
 
-* byte-level BPE (``byte_pieces``): its pattern never joins a character that isn't white space to
+* byte-level BPE (``text_counts``): its pattern never joins a character that isn't white space to
   white space after it, so there is a cut before every space that follows such a character. Texts
   with a space after other white space take the slower exact cut.
-* word BPE with word ends (``word_pieces``): white space is dropped and nothing crosses it, so the
+* word BPE with word ends (``text_ids``): white space is dropped and nothing crosses it, so the
   text is cut at ASCII white space.
 
 Special strings hold no white space, so no cut falls inside one.
@@ -23,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,17 +55,6 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def byte_pieces(text: str) -> list[str]:
-    if _ODD.search(text):
-        return _CUT.split(text)
-    first, *rest = text.split(" ")
-    return [first, *[f" {w}" for w in rest]]
-
-
-def word_pieces(text: bytes) -> list[bytes]:
-    return text.split()
-
-
 class PieceTable:
     """piece -> value of its encoding, in two generations of at most ``room`` / 2 pieces each: when
     the young one is full it becomes the old one, and the old one's unused pieces go.
@@ -118,27 +108,60 @@ class PieceTable:
                 self.young[x] = v
         return got
 
-    def per_text(self, texts: list, split, join, most: int = 1 << 20) -> list:
-        """join(values of the pieces) per text; texts are looked up together, about ``most``
-        characters at a time."""
-        out, flat, ends, size = [], [], [], 0
-
-        def flush():
-            nonlocal flat, ends, size
-            got, at = self.look_up(flat), 0
-            for e in ends:
-                out.append(join(got[at:e]))
-                at = e
-            flat, ends, size = [], [], 0
-
-        for t in texts:
-            flat += split(t) if t else []
-            ends.append(len(flat))
-            size += len(t) if t else 0
-            if size >= most:
-                flush()
-        flush()
-        return out
+
+def sub_batches(texts: list, most: int = 1 << 23) -> Iterator[list]:
+    """``texts`` in order, about ``most`` bytes or characters at a time."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _coded(split: pa.Array) -> tuple[np.ndarray, np.ndarray, list]:
+    """(offsets of the texts, number of each piece, distinct pieces) of a split column."""
+    words = split.flatten().dictionary_encode()
+    return (split.offsets.to_numpy() - split.offsets[0].as_py(), words.indices.to_numpy(zero_copy_only=False),
+            words.dictionary.to_pylist())
+
+
+def text_counts(table: PieceTable, texts: list[str | None]) -> list[int]:
+    """Tokens of each text, byte-level BPE."""
+    out = []
+    for part in sub_batches([t or "" for t in texts]):
+        n = np.zeros(len(part), np.int64)
+        odd = np.array([_ODD.search(t) is not None for t in part], bool)
+        for i in np.flatnonzero(odd):
+            n[i] = sum(table.look_up(_CUT.split(part[i])))
+        plain = np.flatnonzero(~odd)
+        if len(plain):
+            split = pc.split_pattern(pa.array([part[i] for i in plain], pa.large_string()), " ")
+            offsets, number, distinct = _coded(split)
+            each = np.array(table.look_up([f" {w}" for w in distinct]), np.int64)[number]
+            # the first piece of a text has no space before it
+            first = offsets[:-1]
+            each[first] = table.look_up([distinct[k] for k in number[first]])
+            total = np.concatenate([[0], np.cumsum(each)])
+            n[plain] = total[offsets[1:]] - total[first]
+        out += n.tolist()
+    return out
+
+
+def text_ids(table: PieceTable, texts: list[bytes | None], end: bytes) -> list[bytes]:
+    """Ids of each text, word BPE, with ``end`` appended."""
+    out = []
+    for part in sub_batches([t or b"" for t in texts]):
+        offsets, number, distinct = _coded(pc.ascii_split_whitespace(pa.array(part, pa.large_binary()).cast(pa.large_string())))
+        ids = pa.array(table.look_up([w.encode() for w in distinct]), pa.large_binary()).take(pa.array(number))
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[offsets] if len(ids) else np.zeros(len(offsets), int)
+        data = ids.buffers()[2]
+        raw = memoryview(data) if data is not None else memoryview(b"")
+        out += [bytes(raw[s:e]) + end for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
+    return out
 
 
 @lru_cache(maxsize=4)
@@ -259,7 +282,7 @@ def count_tokens(docs: DataFrame, name: str, id_col: str = "doc_id", text_col: s
     def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = piece_counts(name)
         for b in batches:
-            n = counts.per_text(b.column(2).to_pylist(), byte_pieces, sum)
+            n = text_counts(counts, b.column(2).to_pylist())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())],
                                              names=["doc_id", "n_bytes", "n_tokens"])
 
