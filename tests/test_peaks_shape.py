@@ -81,3 +81,12 @@ def test_ordered_category_unknown_is_null(spark):
     dim = spark.createDataFrame([("a", "Alpha", 1)], "level string, label string, ord int")
     got = rows(S.ordered_category(df, F.col("lvl"), dim), "lvl", "target", "target_order")
     assert got == [("a", "Alpha", 1), ("z", None, None)]
+
+
+def test_peak_counts_with_zero(spark):
+    quiet = _traj(spark, [1.0] * 9).withColumn("sample", F.lit(2))
+    both = _traj(spark, [0.0, 1.0, 5.0, 1.0, 0.0, 1.0, 6.0, 1.0, 0.0]).unionByName(quiet)
+    q = K.peak_count_quantiles(K.detect_peaks(both), levels=(0.0, 1.0), include_zero=both).first()
+    assert (q.q0, q.q1) == (0.0, 2.0)
+    q = K.peak_count_quantiles(K.detect_peaks(both), levels=(0.0, 1.0)).first()
+    assert (q.q0, q.q1) == (2.0, 2.0)

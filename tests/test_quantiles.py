@@ -124,7 +124,7 @@ def test_weighted_quantile_matches_definition(spark):
         for p in QUANTILE_LEVELS:
             expect[(g, p)] = _hd_numpy(x, w, p)
     df = spark.createDataFrame(data, "g int, i int, v double, w double")
-    got = weighted_quantile(df, ["g"], "v", "w", order_ties=("i",)).collect()
+    got = weighted_quantile(df, ["g"], "v", "w").collect()
     assert len(got) == 4 * len(QUANTILE_LEVELS)
     for r in got:
         assert math.isclose(r.value, expect[(r.g, r.quantile_level)], rel_tol=1e-9, abs_tol=1e-9)
@@ -136,3 +136,65 @@ def test_weighted_quantile_null_weight_gives_null(spark):
     got = {(r.g, r.quantile_level): r.value for r in weighted_quantile(df, ["g"], "v", "w").collect()}
     assert got[(1, 0.5)] is None
     assert got[(2, 0.5)] == 5.0
+
+
+def _pool_rows(spark, models, level=QUANTILE_LEVELS):
+    """models: {(group, model): values at the levels}"""
+    return spark.createDataFrame(
+        [(g, "BE", "inc case", D, "A", m, p, float(v)) for (g, m), vs in models.items() for p, v in zip(level, vs)],
+        "round int, location string, target_variable string, target_end_date date, "
+        "scenario_id string, model string, quantile_level double, value double")
+
+
+def _pool_reference(models, p):
+    """Least x at which the mean of the models' piecewise linear CDFs reaches p, by exact fractions."""
+    from fractions import Fraction as Fr
+    cdfs = []
+    for vs in models:
+        ks = {}
+        for q, v in zip(QUANTILE_LEVELS, vs):
+            x = Fr(round(float(v), 9))
+            lo, hi = ks.get(x, (Fr(str(q)), Fr(str(q))))
+            ks[x] = (min(lo, Fr(str(q))), max(hi, Fr(str(q))))
+        cdfs.append(sorted((x, lo, hi) for x, (lo, hi) in ks.items()))
+    xs = sorted({x for c in cdfs for x, *_ in c})
+
+    def at(c, x):
+        if x < c[0][0]:
+            return Fr(0), Fr(0)
+        if x > c[-1][0]:
+            return Fr(1), Fr(1)
+        for i, (kx, lo, hi) in enumerate(c):
+            if kx == x:
+                return (Fr(0) if i == 0 else lo), (Fr(1) if i == len(c) - 1 else hi)
+            if kx > x:
+                px, _, ph = c[i - 1]
+                v = ph + (lo - ph) * (x - px) / (kx - px)
+                return v, v
+    prev = None
+    for x in xs:
+        left = sum(at(c, x)[0] for c in cdfs) / len(cdfs)
+        right = sum(at(c, x)[1] for c in cdfs) / len(cdfs)
+        p_ = Fr(str(p))
+        if right >= p_:
+            if prev is None or p_ > left:
+                return float(x)
+            return float(prev[0] + (p_ - prev[1]) * (x - prev[0]) / (left - prev[1]))
+        prev = (x, right)
+
+
+def test_linear_pool_of_disjoint_and_tied_models(spark):
+    rng = np.random.default_rng(8)
+    groups = {}
+    for g in range(40):
+        lo, hi = np.sort(rng.normal(1000, 0.01, 23)), np.sort(rng.normal(2000, 0.01, 23))
+        groups[g] = [lo, hi]
+    for g in range(40, 60):  # near and exact ties within and between models
+        base = np.sort(rng.integers(0, 6, 23)).astype(float)
+        groups[g] = [base, base + 1e-7, np.round(base / 2) * 2]
+    df = _pool_rows(spark, {(g, f"m{i}"): vs for g, ms in groups.items() for i, vs in enumerate(ms)})
+    got = {(r["round"], r.quantile_level): r.value for r in linear_pool(df).collect()}
+    for g, ms in groups.items():
+        for p in QUANTILE_LEVELS:
+            assert math.isclose(got[(g, p)], _pool_reference(ms, p), rel_tol=1e-9, abs_tol=1e-6), (g, p)
+    assert all(got[(g, 0.5)] == round(float(groups[g][0][-1]), 9) for g in range(40))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trajens.functions.quantiles import QUANTILE_LEVELS
 from trajens.operators.quantiles import group_quantiles
-from trajens.operators.ranked import ordered_positions
+from trajens.operators.ranked import chunk_of, ordered_positions
 from trajens.operators.weighting import weighted_quantile
 
 
@@ -23,14 +23,47 @@ def _skewed(spark, n_hot=4000, seed=2):
 
 def test_hot_group_spans_several_chunks(spark):
     df = _skewed(spark)
-    pos = ordered_positions(df, ["g"], "v", ties=("i",))
-    spans = pos.where("g = 0").select(F.countDistinct(F.col("_rank") > 2000)).first()[0]
-    assert spans == 2
-    hot = sorted((r._rank, r._x, r._nx) for r in pos.where("g = 0").collect())
-    assert [r[0] for r in hot] == list(range(1, 4001))
-    xs = [r[1] for r in hot]
-    assert xs == sorted(xs)
-    assert all(hot[i][2] == hot[i + 1][1] for i in range(len(hot) - 1)) and hot[-1][2] is None
+    pos = ordered_positions(df, ["g"], "v")
+    hot = sorted((r._x, r._k, r._rank, r._nx) for r in pos.where("g = 0").collect())
+    assert len({chunk for (chunk,) in pos.where("g = 0").select(chunk_of(F.col("_x"))).collect()}) > 100
+    assert hot[-1][2] == 4000 and hot[-1][3] is None and sum(h[1] for h in hot) == 4000
+    run = 0
+    for i, (x, k, rank, nx) in enumerate(hot):
+        run += k
+        assert rank == run and (i == len(hot) - 1 or nx == hot[i + 1][0] > x)
+
+
+def test_chunks_keep_the_order_of_all_doubles(spark):
+    rng = np.random.default_rng(1)
+    xs = np.concatenate([rng.normal(0, 10.0**e, 50) for e in range(-300, 300, 25)] + [2.0**np.arange(-1074, 1024, 97.0),
+                        [0.0, 1.0, -1.0, np.nextafter(1, 0), np.nextafter(1, 2), 5e-324, -5e-324, 1.7e308, -1.7e308]])
+    xs = np.sort(xs)
+    rows = spark.createDataFrame([(float(x),) for x in xs] + [(float("inf"),), (float("-inf"),), (float("nan"),)], "x double")
+    got = {r.x: r.c for r in rows.where("not isnan(x)").select("x", chunk_of(F.col("x")).alias("c")).collect()}
+    order = sorted(got)
+    assert all(got[a] <= got[b] for a, b in zip(order, order[1:]))
+
+
+def test_every_consumer_sees_all_rows(spark):
+    """count(), one column, a filter and a full read agree whatever the plan's settings."""
+    df = _skewed(spark).withColumn("w", (F.col("i") % 7 + 1).cast("double"))
+    keys = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.exchange.reuse")
+    before = {k: spark.conf.get(k, None) for k in keys}
+    try:
+        for parts in ("1", "8", "33"):
+            for aqe in ("true", "false"):
+                for reuse in ("true", "false"):
+                    for k, v in zip(keys, (parts, aqe, reuse)):
+                        spark.conf.set(k, v)
+                    out = weighted_quantile(df, ["g"], "v", "w")
+                    full = out.collect()
+                    assert len(full) == 7 * len(QUANTILE_LEVELS) == out.count() == len(out.select("g").collect())
+                    half = out.where("quantile = 'q0.5'")
+                    assert half.count() == 7 == len(half.collect()) == half.agg(F.count("value")).first()[0]
+                    assert ordered_positions(df, ["g"], "v").agg(F.sum("_k")).first()[0] == df.count()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def test_ranked_equals_percentile(spark):
@@ -53,12 +86,12 @@ def test_weighted_quantile_chunked_equals_single_partition(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "32")
     try:
         many = {(r.g, r.quantile_level): r.value
-                for r in weighted_quantile(df, ["g"], "v", "w", order_ties=("i",)).collect()}
+                for r in weighted_quantile(df, ["g"], "v", "w").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "1")
     try:
         one = {(r.g, r.quantile_level): r.value
-               for r in weighted_quantile(df, ["g"], "v", "w", order_ties=("i",)).collect()}
+               for r in weighted_quantile(df, ["g"], "v", "w").collect()}
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert many.keys() == one.keys()

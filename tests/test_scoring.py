@@ -122,3 +122,44 @@ def test_log_scale_keeps_null_and_floors_negative(spark):
     got = E.log_scale(f).collect()
     assert got[0].prediction is None
     assert math.isclose(got[1].prediction, math.log(1e-5))
+
+
+def test_perfect_trajectory_and_floor(spark):
+    rows = [("BE", "inc case", "a", 1, "A", _week(0), 5.0, 5.0 + 1e-13), ("BE", "inc case", "b", 1, "A", _week(0), 7.0, 5.0)]
+    res = spark.createDataFrame(rows, "location string, target_variable string, model string, sample int, "
+                                "scenario_id string, target_end_date date, value_100k double, obs_100k double")
+    got = {r.model: r for r in W.score_trajectories(res).collect()}
+    assert got["a"].mae == 0.0 and math.isclose(got["a"].inv_mae, 1 / W.MAE_FLOOR) and got["b"].inv_mae == 0.5
+    assert {r.model: r.inv_mae for r in W.score_trajectories(res, mae_floor=None).collect()} == {"a": None, "b": 0.5}
+
+
+def test_min_weeks_leaves_out_short_histories(spark):
+    res, _ = _results(spark)
+    out = W.weekly_ensembles(res, min_weeks=3).where("scenario_id = 'Weighted'")
+    known = {r.n_weeks_scored for r in out.where("value is not null").collect()}
+    assert known and min(known) >= 3
+
+
+def test_unknown_truth_is_no_hit(spark):
+    f = spark.createDataFrame([("m", "t", p, 1.0 + p, None) for p in (0.25, 0.5, 0.75)],
+                              "model string, target string, quantile double, prediction double, true_value double")
+    got = E.interval_scores(f, ["model", "target"], log=False).collect()
+    assert got and all(r.interval_score is None and r.overprediction is None and r.dispersion is not None for r in got)
+
+
+def test_pairwise_uses_each_pairs_own_overlap(spark):
+    scores = spark.createDataFrame(
+        [("a", "t", "A", 1.0), ("b", "t", "A", 2.0), ("a", "t", "B", 3.0), ("b", "t", "B", 9.0), ("c", "t", "A", 4.0)],
+        "model string, target string, scenario_id string, interval_score double")
+    got = {r.model: r for r in E.pairwise_skill(scores, ["target"], "a").collect()}
+    assert math.isclose(got["b"].mean_scores_ratio, 11 / 4) and math.isclose(got["c"].mean_scores_ratio, 4.0)
+    theta = {"a": (1 * (4 / 11) * (1 / 4)) ** (1 / 3), "b": (11 / 4 * 1 * (2 / 4)) ** (1 / 3), "c": (4 * 2 * 1) ** (1 / 3)}
+    for m, t in theta.items():
+        assert math.isclose(got[m].relative_skill, t) and math.isclose(got[m].scaled_rel_skill, t / theta["a"])
+    static = E.static_rel_wis(E.pairwise_skill(scores, ["target"], "a"), "a").collect()
+    assert sorted(r.model for r in static) == ["b", "c"]
+
+
+def test_boxplot_outliers(spark):
+    rw = spark.createDataFrame([("t", float(v)) for v in (1, 2, 3, 4, 5, 50)] + [("u", 1.0)], "target string, rel_wis double")
+    assert [(r.target, r.rel_wis) for r in E.boxplot_outliers(rw).collect()] == [("t", 50.0)]

@@ -62,3 +62,53 @@ def test_write_table_roundtrip(spark):
     assert back.count() == 50 and sorted(r.k for r in back.select("k").distinct().collect()) == [0, 1, 2]
     FS.write_table(df.where("i < 5"), f"{root}/t")          # overwrite
     assert spark.read.parquet(f"{root}/t").count() == 5
+
+
+def _tree(spark):
+    root = _scratch()
+    head = "location,scenario_id,target_variable,horizon,sample,value\n"
+    _write(f"{root}/m1/2022-07-24-m1.csv", head + "BE,A,inc case,1 wk,1,5.5\nNL,A,inc case,1 wk,2,\n"
+           "BE,A,inc case,bad,x1,1.0\nshort,row\nBE,A,inc case,1 wk,3,nan-ish\n")
+    _write(f"{root}/m2/2022-09-01-m2.csv", "this file lies outside the window\n")
+    rounds = spark.createDataFrame([(2, dt.date(2022, 7, 24), dt.date(2022, 7, 31))],
+                                   "round int, origin_date date, submission_window_end date")
+    return root, rounds
+
+
+def test_malformed_rows_stay_out_whatever_is_selected(spark):
+    root, rounds = _tree(spark)
+    good, bad = FS.read_submissions(spark, root, rounds, 2)
+    assert good.count() == 2 and bad.count() == 3
+    assert rows(good.groupBy("model", "location").count()) == [("m1", "BE", 1), ("m1", "NL", 1)]
+    assert rows(good.select("horizon")) == [("1 wk",), ("1 wk",)]
+    assert sorted(r.line.split(",")[0] for r in bad.select("line").collect()) == ["BE", "BE", "short"]
+    assert rows(good, "value") == [(5.5,), (None,)]
+
+
+def test_files_outside_the_window_are_not_read(spark):
+    root, rounds = _tree(spark)
+    os.chmod(f"{root}/m2/2022-09-01-m2.csv", 0)
+    good, _ = FS.read_submissions(spark, root, rounds, 2)
+    assert good.count() == 2
+    scan = good._jdf.queryExecution().executedPlan().toString()
+    read = good.select(F.col("model")).distinct().collect()
+    assert [r.model for r in read] == ["m1"] and "file_path" in scan
+
+
+def test_written_tree_reads_back_and_sources_agree(spark):
+    root = _scratch()
+    raw = spark.createDataFrame([("m1", "BE", "A", "inc case", "1 wk", 1, 2.5), ("m1", "BE", "B", "inc case", "2 wk", 1, 3.5),
+                                 ("m 2", "NL", "A", "inc death", "1 wk", 7, None)],
+                                "model string, location string, scenario_id string, target_variable string, "
+                                "horizon string, sample int, value double")
+    day = F.when(F.col("scenario_id") == "A", F.lit("2022-07-25")).otherwise(F.lit("2022-08-25")).cast("date")
+    FS.write_submissions(raw, f"{root}/hub", day)
+    FS.write_table(raw, f"{root}/round.parquet")
+    _write(f"{root}/rounds.csv", "round,origin_date,submission_window_end\n2,2022-07-24,2022-07-31\n")
+    rounds = FS.read_rounds(spark, f"{root}/rounds.csv")
+    a = FS.load_projections(spark, "files", f"{root}/hub", rounds, 2)
+    b = FS.load_projections(spark, "parquet", f"{root}/round.parquet", rounds, 2)
+    cols = a.columns
+    assert rows(a, *cols) == rows(b.where("scenario_id = 'A'"), *cols) and a.columns == b.columns
+    listed = FS.list_files(spark, f"{root}/hub")
+    assert {r.model for r in FS.parse_paths(listed, f"{root}/hub").collect()} == {"m1", "m 2"}

@@ -18,7 +18,7 @@ def test_stream_rollup_equals_batch(spark):
     # a fresh query name = a fresh checkpoint (a reused name resumes its stream)
     name = f"t_rollup_{uuid.uuid4().hex[:8]}"
     q = start(weekly_rollup(daily_from_events(stream_in), watermark="3650 days"),
-              name, mode="complete", trigger={"availableNow": True})
+              name, mode="complete", sink="memory", trigger={"availableNow": True})
     q.awaitTermination(300)
     got = spark.table(name)
     cols = ("location", "week_start", "target_end_date", "value", "n_obs")
@@ -39,14 +39,42 @@ def test_score_refresh_is_incremental_mae(spark):
     spark.createDataFrame(truth[:1], schema).write.parquet(f"{root}/w0")
     stream = spark.readStream.schema(schema).option("recursiveFileLookup", True).parquet(root)
     name = f"t_scores_{uuid.uuid4().hex[:8]}"
-    q = start(score_refresh(stream, res), name, mode="complete", trigger={"availableNow": True})
+    q = start(score_refresh(stream, res), name, mode="complete", sink="memory", trigger={"availableNow": True})
     q.awaitTermination(300)
     first = spark.table(name).first()
     assert first.n_weeks_scored == 1 and abs(first.mae - 1.0) < 1e-12
     spark.createDataFrame(truth[1:], schema).write.parquet(f"{root}/w1")
     # same name: resumes from the checkpoint and picks up only the new week
-    q2 = start(score_refresh(stream, res), name, mode="complete", trigger={"availableNow": True})
+    q2 = start(score_refresh(stream, res), name, mode="complete", sink="memory", trigger={"availableNow": True})
     q2.awaitTermination(300)
     r = spark.table(name).first()
     # week 1: obs 0.001 -> 1 per 100k, error |2 - 1| = 1; MAE over two weeks = 1
     assert r.n_weeks_scored == 2 and abs(r.mae - 1.0) < 1e-12
+
+
+def test_append_mode_drops_late_rows_and_resumes_to_parquet(spark):
+    root = tempfile.mkdtemp(prefix="trajens-test-late-", dir=os.environ.get("TMPDIR", "/tmp"))
+    schema = "event_type string, ts timestamp, value double"
+
+    def put(n, *rows_):
+        spark.createDataFrame([(t, __import__("datetime").datetime.fromisoformat(ts), float(v)) for t, ts, v in rows_], schema).coalesce(
+            1).write.parquet(f"{root}/in/{n}")
+
+    def run():
+        stream = (spark.readStream.schema(schema).option("recursiveFileLookup", True)
+                  .option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+        q = start(weekly_rollup(daily_from_events(stream), watermark="3 days"), name, path=f"{root}/out",
+                  trigger={"availableNow": True})
+        q.awaitTermination(300)
+
+    name = f"t_late_{uuid.uuid4().hex[:8]}"
+    put("a", ("x", "2022-01-03", 1), ("x", "2022-01-05", 2))          # week of 2 January
+    put("b", ("x", "2022-01-20", 5))                                   # watermark 17 January: that week closes
+    run()
+    got = spark.read.parquet(f"{root}/out")
+    assert rows(got, "location", "value", "n_obs") == [("x", 3.0, 2)]
+    put("c", ("x", "2022-01-04", 100), ("x", "2022-01-21", 1))         # 4 January is late: dropped
+    put("d", ("x", "2022-02-20", 1))                                   # closes the week of 16 January
+    run()                                                              # same name: resumes from its checkpoint
+    got = spark.read.parquet(f"{root}/out")
+    assert rows(got, "location", "value", "n_obs") == [("x", 3.0, 2), ("x", 6.0, 2)]

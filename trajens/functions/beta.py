@@ -4,7 +4,7 @@ Harrell–Davis quantile.
 Spark has no beta function. Two column forms are offered:
 
 * :func:`beta_cdf` — Arrow-batched pandas UDF over a NumPy continued fraction
-  (modified Lentz, with the symmetry swap ``I_x(a,b) = 1 - I_{1-x}(b,a)``).
+  (DLMF 8.17.22, with the symmetry swap ``I_x(a,b) = 1 - I_{1-x}(b,a)``).
 * :func:`beta_cdf_jvm` — ``reflect`` into commons-math3 (on Spark's classpath);
   exact reference, but interpreted and string-typed, so slower per row.
 """
@@ -20,8 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-_EPS = 1e-16
-_TINY = 1e-300
+_DEEPEST = 1 << 16
 
 
 def _lgamma(v: np.ndarray) -> np.ndarray:
@@ -30,44 +29,31 @@ def _lgamma(v: np.ndarray) -> np.ndarray:
     return lg[inv]
 
 
-def _contfrac(x, a, b, max_iter=100000):
-    """Continued fraction of I_x(a,b) (Numerical Recipes ``betacf``), vectorised."""
-    qab = a + b
-    qap = a + 1.0
-    qam = a - 1.0
-    c = np.ones_like(x)
-    d = 1.0 - qab * x / qap
-    d = np.where(np.abs(d) < _TINY, _TINY, d)
-    d = 1.0 / d
-    h = d.copy()
-    active = np.ones(x.shape, dtype=bool)
-    m = 1
-    while active.any() and m <= max_iter:
-        idx = np.nonzero(active)[0]
-        xa, aa, ba = x[idx], a[idx], b[idx]
-        qaba, qapa, qama = qab[idx], qap[idx], qam[idx]
-        ca, da, ha = c[idx], d[idx], h[idx]
-        m2 = 2 * m
-        aa_ = m * (ba - m) * xa / ((qama + m2) * (aa + m2))
-        da = 1.0 + aa_ * da
-        da = np.where(np.abs(da) < _TINY, _TINY, da)
-        ca = 1.0 + aa_ / ca
-        ca = np.where(np.abs(ca) < _TINY, _TINY, ca)
-        da = 1.0 / da
-        ha = ha * da * ca
-        aa_ = -(aa + m) * (qaba + m) * xa / ((aa + m2) * (qapa + m2))
-        da = 1.0 + aa_ * da
-        da = np.where(np.abs(da) < _TINY, _TINY, da)
-        ca = 1.0 + aa_ / ca
-        ca = np.where(np.abs(ca) < _TINY, _TINY, ca)
-        da = 1.0 / da
-        delta = da * ca
-        ha = ha * delta
-        c[idx], d[idx], h[idx] = ca, da, ha
-        done = np.abs(delta - 1.0) < _EPS * 4
-        active[idx[done]] = False
-        m += 1
-    return h
+def _fraction(x, a, b, depth: int) -> np.ndarray:
+    """``1 + d1/(1 + d2/(1 + ...))`` cut after ``depth`` terms, from the inside out, with the
+    coefficients of DLMF 8.17.22: ``d_2m = m (b-m) x / ((a+2m-1)(a+2m))`` and
+    ``d_2m+1 = -(a+m)(a+b+m) x / ((a+2m)(a+2m+1))``."""
+    value = np.ones_like(x)
+    for k in range(depth, 0, -1):
+        m = k // 2
+        top = m * (b - m) if k % 2 == 0 else -(a + m) * (a + b + m)
+        value = 1.0 + top * x / ((a + k - 1) * (a + k)) / value
+    return value
+
+
+def _settled_fraction(x, a, b) -> np.ndarray:
+    """The fraction at doubled depths until it no longer moves; NaN where it still does at the
+    deepest (never an unconverged number)."""
+    out, depth = _fraction(x, a, b, 16), 16
+    todo = np.arange(len(x))
+    while len(todo) and depth < _DEEPEST:
+        depth *= 2
+        new = _fraction(x[todo], a[todo], b[todo], depth)
+        moved = np.abs(new - out[todo]) > 4e-16 * np.abs(new)
+        out[todo] = new
+        todo = todo[moved]
+    out[todo] = np.nan
+    return out
 
 
 def regularized_beta(x, a, b) -> np.ndarray:
@@ -89,9 +75,9 @@ def regularized_beta(x, a, b) -> np.ndarray:
         res = np.empty_like(xi)
         ns = ~swap
         if ns.any():
-            res[ns] = front[ns] * _contfrac(xi[ns], ai[ns], bi[ns]) / ai[ns]
+            res[ns] = front[ns] / _settled_fraction(xi[ns], ai[ns], bi[ns]) / ai[ns]
         if swap.any():
-            res[swap] = 1.0 - front[swap] * _contfrac(1.0 - xi[swap], bi[swap], ai[swap]) / bi[swap]
+            res[swap] = 1.0 - front[swap] / _settled_fraction(1.0 - xi[swap], bi[swap], ai[swap]) / bi[swap]
         out[inner] = np.clip(res, 0.0, 1.0)
     return out
 

@@ -7,10 +7,11 @@ the α/2-weighted interval scores as the scoring package reports it per
 quantile row; :func:`interval_scores` also returns the interval form
 (dispersion, over- and under-prediction).
 
-Pairwise skill: scores are first averaged per model over the forecast units
-shared by every model of the group; the ratio of two models' means is then
-``m_i / m_j`` and the geometric-mean relative skill is ``m_i / G`` (G = the
-geometric mean of all models' means), so no model pairs are materialised.
+Pairwise skill: each pair of models is compared on the forecast units that
+both have (their own overlap, whatever third models lack); the ratio is that
+of the two mean scores there, a model's relative skill the geometric mean of
+its ratios against every model it overlaps with (itself included), scaled
+by the baseline's. Scores are summarised before, so pairs are few.
 """
 
 from __future__ import annotations
@@ -39,15 +40,17 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys, how: str = "left")
 def score_input(ensembles: DataFrame, results: DataFrame, forecast_date, cutoff) -> DataFrame:
     """Ensemble quantiles as forecasts with the observed value (per target
     label and week), numeric quantile level, fixed forecast date; rows after
-    ``cutoff`` and rows without a model are dropped."""
+    ``cutoff`` and rows without a model are dropped. ``forecast_date`` and
+    ``cutoff``: a date, its text, or a column."""
+    forecast_date, cutoff = (d if isinstance(d, Column) else F.lit(d).cast("date") for d in (forecast_date, cutoff))
     obs = results.select("target_end_date", "target", "obs_100k").distinct()
     f = (ensembles.drop("round", "target_variable", "location", "quantile_level")
          .withColumn("quantile", F.regexp_replace("quantile", "^q", "").cast("double"))
-         .withColumn("forecast_date", F.lit(forecast_date).cast("date")))
+         .withColumn("forecast_date", forecast_date))
     return (_null_safe_join(f, obs, ["target_end_date", "target"])
             .withColumnRenamed("value", "prediction")
             .withColumnRenamed("obs_100k", "true_value")
-            .where((F.col("target_end_date") <= F.lit(cutoff).cast("date")) & F.col("model").isNotNull()))
+            .where((F.col("target_end_date") <= cutoff) & F.col("model").isNotNull()))
 
 
 def log_scale(forecasts: DataFrame, offset: float = 1e-5) -> DataFrame:
@@ -84,8 +87,10 @@ def interval_scores(forecasts: DataFrame, unit, level: str = "quantile", log: bo
               F.max("true_value").alias("y")))
     alpha = F.lit(1.0) - F.col("interval")
     disp = alpha / 2 * (F.col("upper") - F.col("lower"))
-    over = F.greatest(F.col("lower") - F.col("y"), F.lit(0.0))
-    under = F.greatest(F.col("y") - F.col("upper"), F.lit(0.0))
+    # greatest() skips NULL: an unknown truth or bound must stay unknown, not count as a hit
+    known = F.col("y").isNotNull()
+    over = F.when(known & F.col("lower").isNotNull(), F.greatest(F.col("lower") - F.col("y"), F.lit(0.0)))
+    under = F.when(known & F.col("upper").isNotNull(), F.greatest(F.col("y") - F.col("upper"), F.lit(0.0)))
     return (g.select(*unit, "interval", disp.alias("dispersion"), over.alias("overprediction"),
                      under.alias("underprediction"))
             .withColumn("interval_score",
@@ -102,25 +107,28 @@ def pairwise_skill(scores: DataFrame, by, baseline: str, metric: str = "interval
     and group); the group windows below hold one row per model (and unit)."""
     by = list(by)
     units = [c for c in scores.columns if c not in set(by) | {model, metric}]
-    s = scores.where(F.col(metric).isNotNull())
-    if units:
-        grp = Window.partitionBy(*by)
-        unit = Window.partitionBy(*by, *units)
-        s = (s.withColumn("_nm", F.size(F.collect_set(model).over(grp)))
-             .withColumn("_nu", F.size(F.collect_set(model).over(unit)))
-             .where(F.col("_nu") == F.col("_nm")))
-    means = s.groupBy(*by, model).agg(F.avg(metric).alias("_m"))
-    grp = Window.partitionBy(*by)
-    out = (means
-           .withColumn("_lg", F.avg(F.when(F.col("_m") > 0, F.log("_m"))).over(grp))
-           .withColumn("_mb", F.max(F.when(F.col(model) == baseline, F.col("_m"))).over(grp))
-           .where(F.col("_mb").isNotNull())
-           .withColumn("relative_skill",
-                       F.when(F.col("_m") > 0, F.exp(F.log("_m") - F.col("_lg"))))
-           .withColumn("mean_scores_ratio", F.try_divide(F.col("_m"), F.col("_mb")))
-           .withColumn("scaled_rel_skill", F.try_divide(F.col("_m"), F.col("_mb"))))
-    return out.select(model, F.lit(baseline).alias("compare_against"), *by,
-                      "mean_scores_ratio", "relative_skill", "scaled_rel_skill")
+    s = scores.where(F.col(metric).isNotNull()).groupBy(*by, *units, model).agg(F.avg(metric).alias("_s"))
+    # group keys travel as structs: NULL equals NULL in them, as in grouping
+    left = s.select(F.struct(F.lit(1), *by, *units).alias("_u"), *by, F.col(model).alias("_i"), F.col("_s").alias("_si"))
+    right = s.select(F.struct(F.lit(1), *by, *units).alias("_u"), F.col(model).alias("_j"), F.col("_s").alias("_sj"))
+    # models x models rows per unit: the score table has one row per model and unit
+    ratios = (left.join(right, "_u").groupBy(*by, "_i", "_j")
+              .agg(F.try_divide(F.avg("_si"), F.avg("_sj")).alias("_r")))
+    skill = F.exp(F.avg(F.when(F.col("_r") > 0, F.log("_r"))).over(Window.partitionBy(*by, "_i")))
+    rel = ratios.withColumn("relative_skill", skill)
+    base = F.max(F.when((F.col("_i") == baseline), F.col("relative_skill"))).over(Window.partitionBy(*by))
+    out = (rel.withColumn("_b", base).where((F.col("_j") == baseline))
+           .withColumn("scaled_rel_skill", F.try_divide(F.col("relative_skill"), F.col("_b"))))
+    return out.select(F.col("_i").alias(model), F.lit(baseline).alias("compare_against"), *by,
+                      F.col("_r").alias("mean_scores_ratio"), "relative_skill", "scaled_rel_skill")
+
+
+def static_rel_wis(pairwise: DataFrame, baseline: str, model: str = "model") -> DataFrame:
+    """Relative WIS against the baseline without the baseline's own row."""
+    keep = [c for c in pairwise.columns if c not in ("compare_against", "mean_scores_ratio", "relative_skill",
+                                                     "scaled_rel_skill")]
+    return (pairwise.where((F.col("compare_against") == baseline) & (F.col(model) != baseline))
+            .select(*keep, F.col("scaled_rel_skill").alias("rel_wis")))
 
 
 def rel_wis(pairwise: DataFrame, label_week: int = 31) -> DataFrame:
@@ -171,3 +179,11 @@ def boxplot_stats(rw: DataFrame, value: str = "rel_wis", by: str = "target") ->
             .groupBy(by, "lower", "middle", "upper")
             .agg(F.min(F.when(inside, v)).alias("ymin"), F.max(F.when(inside, v)).alias("ymax"),
                  F.count(F.when(~inside, 1)).alias("n_outliers")))
+
+
+def boxplot_outliers(rw: DataFrame, value: str = "rel_wis", by: str = "target") -> DataFrame:
+    """The rows beyond the whiskers, with the hinge distance they exceed."""
+    h = boxplot_stats(rw, value, by).select(F.col(by).alias("_by"), "ymin", "ymax")
+    v = F.col(value)
+    return (rw.join(h, F.col(by).eqNullSafe(F.col("_by"))).where((v < F.col("ymin")) | (v > F.col("ymax")))
+            .drop("_by", "ymin", "ymax"))

@@ -6,18 +6,18 @@ Each model's quantiles define a piecewise-linear CDF through its knots
 level sits on the outer knots. The pool is the equal-weight mean of the
 models' CDFs, inverted at the requested levels.
 
-Plan (per target group G), a sweep over knots — no (knot, model) pairs:
+Plan (per target group G with M models, at most 23 knots each):
 
-1. knots: ``x = round(v, 9)``; per (G, model, x) ``pl = min(p)``, ``ph = max(p)``.
-2. each model's CDF is a sum of events at its own knots: a jump (value minus
-   left limit: ``ph`` at the first knot, ``ph - pl`` inside, ``1 - pl`` at the
-   last) and a slope change (next segment's slope minus the previous one's).
-   Found with one window over the model's knots (at most one per level).
-3. events of all models are summed per (G, x); running sums over x give, at
-   every knot, Σjumps, Σslope changes D and Σ(slope change · x_e) DX of the
-   events strictly before it, so the pooled left limit is
-   ``(J + x·D - DX) / M`` and the pooled value adds this knot's jumps / M
-   (M = number of models in G; rounded to 12 dp so equal steps compare equal).
+1. knots: ``x = round(v, 9)``; per (G, model, x) ``pl = min(p)``, ``ph = max(p)``;
+   each model's knots become one short array, in order of x.
+2. every distinct x of the group meets every model of the group: at most
+   23 M x M small rows, a bound set by the number of models, not by the data.
+   A model's CDF at x (left limit and value) is read off its own array: its
+   own step at x, linear interpolation between the two knots around x, 0
+   before its first knot and 1 from its last on. No running sums, so nothing
+   cancels and a flat stretch of the pool is flat to the last bit.
+3. the pool is the mean over models of left limits and values (rounded to
+   12 dp so that equal steps compare equal).
 4. each level p is answered at the point where the pooled CDF first reaches p:
    the point itself when p lies in its step, else linear interpolation on
    the segment before it.
@@ -28,7 +28,7 @@ knots is linear and the tails are clamped (no parametric tails).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajens.functions.quantiles import QUANTILE_LEVELS, label
@@ -44,30 +44,28 @@ def linear_pool(mq: DataFrame, keys=ENS_KEYS, levels=QUANTILE_LEVELS,
                        F.round(F.col("value"), 9).alias("x"))
              .groupBy(*keys, "_m", "x")
              .agg(F.min("_p").alias("pl"), F.max("_p").alias("ph")))
-    own = Window.partitionBy(*keys, "_m").orderBy("x")
-    k = (knots
-         .withColumn("_px", F.lag("x").over(own)).withColumn("_pph", F.lag("ph").over(own))
-         .withColumn("_nx", F.lead("x").over(own)).withColumn("_npl", F.lead("pl").over(own)))
-    slope_in = F.when(F.col("_px").isNotNull(),
-                      (F.col("pl") - F.col("_pph")) / (F.col("x") - F.col("_px"))).otherwise(F.lit(0.0))
-    slope_out = F.when(F.col("_nx").isNotNull(),
-                       (F.col("_npl") - F.col("ph")) / (F.col("_nx") - F.col("x"))).otherwise(F.lit(0.0))
-    left = F.when(F.col("_px").isNull(), F.lit(0.0)).otherwise(F.col("pl"))
-    right = F.when(F.col("_nx").isNull(), F.lit(1.0)).otherwise(F.col("ph"))
-    events = k.select(*keys, "_m", "x", (right - left).alias("_j"), (slope_out - slope_in).alias("_d"),
-                      F.col("_px").isNull().cast("int").alias("_first"))
-    per_x = (events.groupBy(*keys, "x")
-             .agg(F.sum("_j").alias("_j"), F.sum("_d").alias("_d"),
-                  F.sum(F.col("_d") * F.col("x")).alias("_dx"), F.sum("_first").alias("_first")))
-    sweep = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    run = (per_x
-           .withColumn("_nm", F.sum("_first").over(Window.partitionBy(*keys)))   # models in G
-           .withColumn("_cj", F.coalesce(F.sum("_j").over(sweep), F.lit(0.0)))
-           .withColumn("_cd", F.coalesce(F.sum("_d").over(sweep), F.lit(0.0)))
-           .withColumn("_cdx", F.coalesce(F.sum("_dx").over(sweep), F.lit(0.0))))
-    gl = (F.col("_cj") + F.col("x") * F.col("_cd") - F.col("_cdx")) / F.col("_nm")
-    gr = gl + F.col("_j") / F.col("_nm")
-    pooled = run.select(*keys, "x", F.round(gl, 12).alias("fl"), F.round(gr, 12).alias("fr"))
+    per_model = knots.groupBy(*keys, "_m").agg(F.array_sort(F.collect_list(F.struct("x", "pl", "ph"))).alias("_k"))
+    per_group = per_model.groupBy(*keys).agg(F.collect_list("_k").alias("_ks"))
+    points = per_group.select(*keys, "_ks", F.explode(F.array_distinct(F.flatten(
+        F.transform("_ks", lambda k: F.transform(k, lambda e: e["x"]))))).alias("x"))
+
+    def cdf(k: Column) -> Column:
+        """(left limit, value) of one model's CDF at the point's x."""
+        x = F.col("x")
+        at = F.get(F.filter(k, lambda e: e["x"] == x), 0)
+        lo = F.get(F.slice(F.filter(k, lambda e: e["x"] < x), -1, 1), 0)
+        hi = F.get(F.filter(k, lambda e: e["x"] > x), 0)
+        between = lo["ph"] + (hi["pl"] - lo["ph"]) * (x - lo["x"]) / (hi["x"] - lo["x"])
+        left = F.when(lo["x"].isNull(), 0.0).when(at["x"].isNotNull(), at["pl"]).when(hi["x"].isNull(), 1.0).otherwise(between)
+        right = F.when(hi["x"].isNull(), 1.0).when(at["x"].isNotNull(), at["ph"]).when(lo["x"].isNull(), 0.0).otherwise(between)
+        return F.struct(left.alias("l"), right.alias("r"))
+
+    at_x = points.select(*keys, "x", F.transform("_ks", cdf).alias("_f"))
+
+    def mean(side: str) -> Column:
+        return F.aggregate("_f", F.lit(0.0), lambda a, f: a + f[side], lambda a: a / F.size("_f"))
+
+    pooled = at_x.select(*keys, "x", F.round(mean("l"), 12).alias("fl"), F.round(mean("r"), 12).alias("fr"))
     order = Window.partitionBy(*keys).orderBy("x")
     pooled = (pooled.withColumn("x_prev", F.lag("x").over(order))
               .withColumn("fr_prev", F.coalesce(F.lag("fr").over(order), F.lit(0.0))))

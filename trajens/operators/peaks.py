@@ -40,13 +40,19 @@ def peaks_per_trajectory(peaks: DataFrame, keys=PEAK_KEYS) -> DataFrame:
 
 
 def peak_count_quantiles(peaks: DataFrame, levels=(0.05, 0.5, 0.95),
-                         by=("model", "scenario_id", "location", "target_variable")) -> DataFrame:
+                         by=("model", "scenario_id", "location", "target_variable"),
+                         include_zero: DataFrame | None = None) -> DataFrame:
     """Half-even rounded quantiles of the peak count per group, one
     column per level (``q0_05``, ``q0_5``, ``q0_95``). ``percentile`` keeps a
     value->count map per group; peak counts are small integers (at most
     half a trajectory's weeks), so that map stays tiny however many
-    trajectories a group holds."""
+    trajectories a group holds. ``include_zero``: the rows the peaks were
+    sought in; their trajectories without a peak then count as 0 (the
+    default leaves them out)."""
     counts = peaks_per_trajectory(peaks)
+    if include_zero is not None:
+        every = include_zero.select(*PEAK_KEYS).distinct()
+        counts = every.join(counts, PEAK_KEYS, "left").fillna(0, ["peaks"])
     qs = F.percentile(F.col("peaks"), F.array(*[F.lit(float(p)) for p in levels]))
     g = counts.groupBy(*by).agg(qs.alias("_q"))
     cols = [F.bround(F.col("_q")[i], 0).alias("q" + f"{p:g}".replace(".", "_"))

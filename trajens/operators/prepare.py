@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from trajens.functions.dates import epi_week, epi_year, horizon_end_date, parse_horizon
 
 TRAJ_KEYS = ["location", "target_variable", "model", "sample", "scenario_id"]
+SUM_DP = 9
 TARGET_KEYS = ["round", "location", "target_variable", "target_end_date", "scenario_id"]
 
 
@@ -30,13 +31,14 @@ def union_truth(*tagged: DataFrame) -> DataFrame:
 def weekly_truth(daily: DataFrame, pop: DataFrame) -> DataFrame:
     """Roll daily observations up to epi weeks (week ends at its last
     observed day), sum with NULLs ignored (all-NULL week -> 0), attach
-    population, tag ``model = "Observed"``."""
+    population, tag ``model = "Observed"``. Sums are snapped at ``SUM_DP``
+    decimal places: the order in which tasks add floats must not show."""
     weekly = (daily
               .withColumn("epi_year", epi_year("date"))
               .withColumn("epi_week", epi_week("date"))
               .groupBy("location", "location_name", "target_variable", "epi_year", "epi_week")
               .agg(F.max("date").alias("target_end_date"),
-                   F.coalesce(F.sum("value"), F.lit(0.0)).alias("value"))
+                   F.round(F.coalesce(F.sum("value"), F.lit(0.0)), SUM_DP).alias("value"))
               .drop("epi_year", "epi_week"))
     return (weekly.join(pop.select("location", "population"), "location", "left")
             .withColumn("model", F.lit("Observed")))
@@ -79,16 +81,26 @@ def attach_observed(results: DataFrame, obs: DataFrame) -> DataFrame:
 
 
 def series_population(obs: DataFrame) -> DataFrame:
-    """Population and name at each series' earliest week (ties kept)."""
-    first = (obs.groupBy("location", "location_name", "target_variable")
-             .agg(F.min("target_end_date").alias("target_end_date")))
-    return (obs.join(first, ["location", "location_name", "target_variable", "target_end_date"])
+    """Population and name at each series' earliest week, one aggregate."""
+    at = F.struct("target_end_date", "population")
+    return (obs.groupBy("location", "location_name", "target_variable")
+            .agg(F.min(at)["population"].alias("population"))
             .select("location", "target_variable", "location_name", "population"))
 
 
+def one_per_key(dim: DataFrame, keys) -> DataFrame:
+    """``dim`` as it is, but a second row of one key raises: a join on the keys can't multiply rows."""
+    values = [c for c in dim.columns if c not in keys]
+    g = dim.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
+    bad = F.concat(F.lit("more than one row for a key of " + ", ".join(keys) + ": "), F.concat_ws(", ", *keys))
+    checked = F.when(F.col("_n") > 1, F.raise_error(bad).cast("boolean")).otherwise(F.lit(True))
+    return g.where(checked).select(*keys, *values)
+
+
 def attach_population(results: DataFrame, obs: DataFrame) -> DataFrame:
     """J4 + P3: population join and per-100k scaling (NULL on zero population)."""
-    return (results.join(series_population(obs), ["location", "target_variable"], "left")
+    return (results.join(one_per_key(series_population(obs), ["location", "target_variable"]),
+                         ["location", "target_variable"], "left")
             .withColumn("value_100k", F.try_divide(F.col("value"), F.col("population")) * 100000.0)
             .withColumn("obs_100k", F.try_divide(F.col("obs"), F.col("population")) * 100000.0))
 

@@ -4,105 +4,102 @@ A window ``partitionBy(group).orderBy(x)`` sorts each group inside a single
 task, so one hot group (say a third of all rows) becomes one straggler that
 spills its whole share. Here groups are cut into ordered chunks instead:
 
-1. ``repartitionByRange(group, x, ties)`` — Spark samples the sort keys and
-   draws partition bounds, so a large group is spread over many partitions,
-   each holding one contiguous value range of it.
-2. Inside each (group, partition) chunk, running sums and the next value by
-   ordinary windows; a chunk is at most one range partition.
-3. A chunk table (one row per group and partition: its count, weight sums and
-   first value) gives each chunk the totals of the chunks before it, the
-   group totals, and the first value of the next chunk. It has at most
-   #groups + #partitions rows; its window holds at most #partitions rows per
-   group. It joins back on (group, partition), the partitioning the rows
-   already have, so the big side is not shuffled again.
+1. Equal values of a group are summed up first (combined map-side), so ties
+   cost one row however many there are.
+2. The chunk of a value is a fixed, order-preserving function of the value
+   alone (:func:`chunk_of`: 256 chunks per power of two). It depends on no
+   sampling, no physical partition and no other row, so every branch and every
+   retry of a plan gives a row the same chunk, whichever columns its consumer
+   reads.
+3. Inside each (group, chunk) running sums and the next value by ordinary
+   windows.
+4. A chunk table (one row per group and chunk) gives each chunk the totals of
+   the chunks before it, the group totals, and the first value of the next
+   chunk. A group has at most 256 chunks per power of two its values span, so
+   its window stays small.
 
-Both the rows and the chunk table read the one range shuffle (Spark reuses
-the identical exchange), so partition ids agree between them; the tests
-check exact ranks of a hot group spread over many partitions.
-
-Result: every row with its inclusive running count / weight in group order,
-the next value in the group, and the group totals — enough for type-7
-quantiles (rank lookup) and for the weighted Harrell–Davis quantile.
+Group keys travel as one struct column: a struct equals another where both
+have NULL in the same field, so NULL group keys are groups of their own in
+the join, too, without NULL-safe join keys (which would shuffle both sides
+again).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajens.functions.quantiles import QUANTILE_LEVELS, label
 
+_PER_OCTAVE = 256
+_CENTRE = 1100 * _PER_OCTAVE   # exponents of doubles lie within +-1075
+_LAST = 3 * _CENTRE            # infinities and NaN, which sort last
+
+
+def chunk_of(x: Column) -> Column:
+    """Order-preserving chunk number of a double: the larger the value the
+    larger (or equal) its chunk."""
+    size = F.floor(F.log2(F.abs(x)) * _PER_OCTAVE).cast("int") + _CENTRE
+    return (F.when(F.isnan(x) | (x == float("inf")), F.lit(_LAST))
+            .when(x == float("-inf"), F.lit(-_LAST))
+            .when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size))
 
-def ordered_positions(df: DataFrame, keys, x: str, weight: str | None = None,
-                      ties=()) -> DataFrame:
-    """Columns: keys, ``_x``, ``_w``, ``_rank`` (1-based position in group
-    order), ``_cw`` (running weight, inclusive), ``_nx`` (next value in the
-    group, NULL on the last row), ``_n``, ``_sw``, ``_sw2`` (group count, sum
-    of weights and of squared weights) and ``_bad`` (1 if the group has a
-    NULL weight). Rows with a NULL value are dropped (as quantiles skip them).
-    """
-    keys, ties = list(keys), list(ties)
-    w = F.col(weight) if weight else F.lit(1.0)
-    base = (df.where(F.col(x).isNotNull())
-            .select(*keys, *ties, F.col(x).alias("_x"), w.cast("double").alias("_w")))
-    order = [F.col("_x")] + [F.col(t) for t in ties]
-    ranged = (base.repartitionByRange(*[F.col(k) for k in keys], *order)
-              .withColumn("_pid", F.spark_partition_id()))
-    chunk = Window.partitionBy(*keys, "_pid").orderBy(*order)
+
+def ordered_positions(df: DataFrame, keys, x: str, weight: str | None = None) -> DataFrame:
+    """One row per group and distinct value: keys, ``_x``, ``_k`` (rows with the
+    value), ``_rank`` (position of the last of them, 1-based), ``_cw`` (running
+    weight, inclusive), ``_nx`` (next value in the group, NULL at the last),
+    ``_n``, ``_sw``, ``_sw2`` (group count, sum of weights and of squared
+    weights) and ``_bad`` (1 if the group has a NULL weight). Rows with a
+    NULL value are dropped (as quantiles skip them)."""
+    keys = list(keys)
+    w = (F.col(weight) if weight else F.lit(1.0)).cast("double")
+    values = (df.where(F.col(x).isNotNull())
+              .select(F.struct(*keys).alias("_g"), F.col(x).cast("double").alias("_x"), w.alias("_w"))
+              .groupBy("_g", "_x")
+              .agg(F.count(F.lit(1)).alias("_k"), F.sum("_w").alias("_w"), F.sum(F.col("_w") * F.col("_w")).alias("_w2"),
+                   F.max(F.col("_w").isNull().cast("int")).alias("_b"))
+              .withColumn("_c", chunk_of(F.col("_x"))))
+    chunk = Window.partitionBy("_g", "_c").orderBy("_x")
     run = chunk.rowsBetween(Window.unboundedPreceding, 0)
-    local = (ranged
-             .withColumn("_lrank", F.row_number().over(chunk))
-             .withColumn("_lcw", F.sum("_w").over(run))
+    local = (values.withColumn("_lk", F.sum("_k").over(run)).withColumn("_lw", F.sum("_w").over(run))
              .withColumn("_lnx", F.lead("_x").over(chunk)))
-    chunks = (local.groupBy(*keys, "_pid")
-              .agg(F.count(F.lit(1)).alias("_cn"), F.sum("_w").alias("_csw"),
-                   F.sum(F.col("_w") * F.col("_w")).alias("_csw2"),
-                   F.max(F.col("_w").isNull().cast("int")).alias("_cbad"),
-                   F.min("_x").alias("_cfirst")))
-    seq = Window.partitionBy(*keys).orderBy("_pid")
+    chunks = values.groupBy("_g", "_c").agg(
+        F.sum("_k").alias("_k"), F.sum("_w").alias("_w"), F.sum("_w2").alias("_w2"), F.max("_b").alias("_b"),
+        F.min("_x").alias("_first"))
+    seq, whole = Window.partitionBy("_g").orderBy("_c"), Window.partitionBy("_g")
     before = seq.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     offsets = chunks.select(
-        *keys, "_pid",
-        F.coalesce(F.sum("_cn").over(before), F.lit(0)).alias("_on"),
-        F.coalesce(F.sum("_csw").over(before), F.lit(0.0)).alias("_ow"),
-        F.lead("_cfirst").over(seq).alias("_nfirst"),
-        F.sum("_cn").over(whole).alias("_n"),
-        F.sum("_csw").over(whole).alias("_sw"),
-        F.sum("_csw2").over(whole).alias("_sw2"),
-        F.max("_cbad").over(whole).alias("_bad"))
-    # NULL group keys are a group of their own (as in groupBy): NULL-safe join
-    rk = [f"_k{i}" for i in range(len(keys))]
-    offsets = offsets.select(*[F.col(k).alias(r) for k, r in zip(keys, rk)],
-                             *[c for c in offsets.columns if c not in keys])
-    cond = local["_pid"] == offsets["_pid"]
-    for k, r in zip(keys, rk):
-        cond = cond & local[k].eqNullSafe(offsets[r])
-    joined = local.join(offsets, cond, "inner").drop(offsets["_pid"])
-    return joined.select(
-        *keys, *ties, "_x", "_w",
-        (F.col("_on") + F.col("_lrank")).alias("_rank"),
-        (F.col("_ow") + F.col("_lcw")).alias("_cw"),
-        F.coalesce(F.col("_lnx"), F.col("_nfirst")).alias("_nx"),
-        "_n", "_sw", "_sw2", "_bad")
+        "_g", "_c",
+        F.coalesce(F.sum("_k").over(before), F.lit(0)).alias("_ok"),
+        F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_ow"),
+        F.lead("_first").over(seq).alias("_onx"),
+        F.sum("_k").over(whole).alias("_n"), F.sum("_w").over(whole).alias("_sw"),
+        F.sum("_w2").over(whole).alias("_sw2"), F.max("_b").over(whole).alias("_bad"))
+    return local.join(offsets, ["_g", "_c"]).select(
+        *[F.col("_g")[k].alias(k) for k in keys], "_x", "_k",
+        (F.col("_ok") + F.col("_lk")).alias("_rank"), (F.col("_ow") + F.coalesce("_lw", F.lit(0.0))).alias("_cw"),
+        F.coalesce("_lnx", "_onx").alias("_nx"), "_n", "_sw", "_sw2", "_bad")
 
 
 def ranked_quantiles(df: DataFrame, keys, value: str, levels=QUANTILE_LEVELS,
                      with_count: bool = False) -> DataFrame:
     """Type-7 quantiles (same arithmetic as Spark's ``percentile``): position
-    ``h = (n-1)p``; the row at rank ``floor(h)+1`` answers level p from its
-    own value and the next one. Each row looks up the (usually zero) levels it
+    ``h = (n-1)p``; the value that holds rank ``floor(h)+1`` answers level p from
+    itself and the next one. Each row looks up the (usually zero) levels it
     answers with a higher-order ``filter`` — no per-level explode of the rows."""
     keys = list(keys)
     pos = ordered_positions(df, keys, value)
     lv = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(label(p)).alias("q"))
                    for p in levels])
     n1 = (F.col("_n") - 1).cast("double")
-    hits = F.filter(lv, lambda e: F.floor(e["p"] * n1) + 1 == F.col("_rank"))
-    rows = pos.select(*keys, "_n", "_x", "_nx", n1.alias("_n1"), F.explode(hits).alias("lv"))
+    hits = F.filter(lv, lambda e: (F.floor(e["p"] * n1) < F.col("_rank"))
+                    & (F.floor(e["p"] * n1) >= F.col("_rank") - F.col("_k")))
+    rows = pos.select(*keys, "_n", "_x", "_nx", "_rank", n1.alias("_n1"), F.explode(hits).alias("lv"))
     h = F.col("lv.p") * F.col("_n1")
     lo, hi = F.floor(h), F.ceil(h)
-    val = (F.when((lo == hi) | (F.col("_x") == F.col("_nx")), F.col("_x"))
+    # the upper neighbour (rank ceil(h) + 1) is this value too unless it lies past the last of them
+    val = (F.when((lo == hi) | (hi < F.col("_rank")) | (F.col("_x") == F.col("_nx")), F.col("_x"))
            .otherwise((hi - h) * F.col("_x") + (h - lo) * F.col("_nx")))
     extra = [F.col("_n").alias("n")] if with_count else []
     return rows.select(*keys, *extra, F.col("lv.p").alias("quantile_level"),

@@ -18,7 +18,7 @@ than with a window that would gather a whole group in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajens.functions.beta import beta_cdf, beta_cdf_jvm
@@ -31,8 +31,28 @@ TRAJ = ["location", "target_variable", "model", "sample", "scenario_id"]
 WEEK_KEYS = ["target_end_date", "location", "target_variable"]
 
 
-def score_trajectories(results: DataFrame, truncate_weeks: int = 0) -> DataFrame:
-    """Per trajectory ``mae``, ``inv_mae = 1/mae`` (NULL when mae = 0) and
+#: smallest error that an inverse error is taken of, per 100k: a perfect trajectory gets the weight
+#: of one that is off by this much, instead of none (or of all weight for a last-bit difference)
+MAE_FLOOR = 1e-6
+#: errors are taken at this many decimal places, so that float noise does not decide
+ERROR_DP = 9
+
+
+def abs_error() -> Column:
+    return F.round(F.abs(F.col("value_100k") - F.col("obs_100k")), ERROR_DP)
+
+
+def inverse_mae(mae_floor: float | None = MAE_FLOOR) -> Column:
+    """1 / max(mae, floor); with floor None, NULL for a perfect trajectory."""
+    if mae_floor is None:
+        return F.try_divide(F.lit(1.0), F.col("mae"))
+    return F.when(F.col("mae").isNotNull(), F.lit(1.0) / F.greatest(F.col("mae"), F.lit(float(mae_floor))))
+
+
+def score_trajectories(results: DataFrame, truncate_weeks: int = 0,
+                       mae_floor: float | None = MAE_FLOOR) -> DataFrame:
+    """Per trajectory ``mae``, ``inv_mae = 1/max(mae, mae_floor)`` (with
+    ``mae_floor=None``: NULL when mae = 0) and
     ``n_weeks_scored``, on rows with an observation and
     ``target_end_date <= max(target_end_date) - 7*truncate_weeks``."""
     scored = results.where(F.col("obs_100k").isNotNull())
@@ -40,10 +60,8 @@ def score_trajectories(results: DataFrame, truncate_weeks: int = 0) -> DataFrame
         cutoff = results.select(F.date_sub(F.max("target_end_date"), 7 * truncate_weeks)).scalar()
         scored = scored.where(F.col("target_end_date") <= cutoff)
     return (scored.groupBy(*TRAJ)
-            .agg(F.avg(F.abs(F.col("value_100k") - F.col("obs_100k"))).alias("mae"),
-                 F.count(F.lit(1)).alias("n_weeks_scored"))
-            .select(*TRAJ, "mae", F.try_divide(F.lit(1.0), F.col("mae")).alias("inv_mae"),
-                    "n_weeks_scored"))
+            .agg(F.avg(abs_error()).alias("mae"), F.count(F.lit(1)).alias("n_weeks_scored"))
+            .select(*TRAJ, "mae", inverse_mae(mae_floor).alias("inv_mae"), "n_weeks_scored"))
 
 
 def _share(df: DataFrame, keys) -> DataFrame:
@@ -65,23 +83,28 @@ def forecast_dates(results: DataFrame):
     return results.select(F.sort_array(F.collect_set("target_end_date"))).scalar()
 
 
+def mask_at(results: DataFrame, forecast_date) -> DataFrame:
+    """Observations at or after ``forecast_date`` (date, string or column)
+    hidden (``obs_100k`` NULL) — the data a scorer may see at that date. One
+    pass over the rows, no copy."""
+    f = forecast_date if isinstance(forecast_date, Column) else F.lit(forecast_date).cast("date")
+    return results.withColumn("obs_100k", F.when(F.col("target_end_date") < f, F.col("obs_100k")))
+
+
 def mask_history(results: DataFrame) -> DataFrame:
-    """The results once per forecast date f with observations at or after
-    f hidden (``obs_100k`` NULL) — the data a scorer may see at f."""
+    """Report form of :func:`mask_at`: the results once per forecast date."""
     dates = forecast_dates(results)
-    return (results.select("*", F.explode(dates).alias("forecast_date"))
-            .withColumn("obs_100k", F.when(F.col("target_end_date") < F.col("forecast_date"),
-                                           F.col("obs_100k"))))
+    return mask_at(results.select("*", F.explode(dates).alias("forecast_date")), F.col("forecast_date"))
 
 
-def expanding_mae(results: DataFrame, min_weeks: int = 0) -> DataFrame:
+def expanding_mae(results: DataFrame, min_weeks: int = 0, mae_floor: float | None = MAE_FLOOR) -> DataFrame:
     """For each forecast date f, each trajectory's MAE over observed weeks
     strictly before f. Trajectories without such weeks have no row (as in a
     plain score on masked data). Columns: forecast_date + A7 columns."""
     dates = forecast_dates(results)
     per_week = (results.where(F.col("obs_100k").isNotNull())
                 .groupBy(*TRAJ, "target_end_date")
-                .agg(F.sum(F.abs(F.col("value_100k") - F.col("obs_100k"))).alias("ae"),
+                .agg(F.sum(abs_error()).alias("ae"),
                      F.count(F.lit(1)).alias("k")))
     # Running sums inside one trajectory (a trajectory spans at most the
     # projection's weeks, so the window partition is small by construction).
@@ -99,7 +122,7 @@ def expanding_mae(results: DataFrame, min_weeks: int = 0) -> DataFrame:
            .select("forecast_date", *TRAJ,
                    (F.col("cum_ae") / F.col("cum_n")).alias("mae"), "cum_n"))
     out = out.select("forecast_date", *TRAJ, "mae",
-                     F.try_divide(F.lit(1.0), F.col("mae")).alias("inv_mae"),
+                     inverse_mae(mae_floor).alias("inv_mae"),
                      F.col("cum_n").alias("n_weeks_scored"))
     if min_weeks:
         out = out.where(F.col("n_weeks_scored") >= min_weeks)
@@ -107,22 +130,30 @@ def expanding_mae(results: DataFrame, min_weeks: int = 0) -> DataFrame:
 
 
 def expanding_weights(results: DataFrame, min_horizon: int | None = None,
-                      mae: DataFrame | None = None) -> DataFrame:
-    """E7 ``weights``: every results row once per forecast date f, joined to
-    the trajectory's expanding score at f, with inverse-MAE weight per
-    (f, target week). ``min_horizon`` keeps only weeks ``>= f + 7*h`` (the
-    report uses h = 0) and is applied before the joins."""
+                      mae: DataFrame | None = None, min_weeks: int = 0) -> DataFrame:
+    """E7 ``weights``: every results row once per forecast date f, with its
+    trajectory's expanding score at f (NULL before ``min_weeks`` of history) and
+    the inverse-MAE weight per (f, target week). ``min_horizon`` keeps only weeks
+    ``>= f + 7*h`` (the report uses h = 0).
+
+    Scores meet the rows at trajectory grain: each trajectory's scores become
+    one array over the forecast dates (bounded by the calendar), joined on the
+    trajectory key, and only then are the rows copied per date."""
     dates = forecast_dates(results)
-    mae = expanding_mae(results) if mae is None else mae
-    rows = results.select("*", F.explode(dates).alias("forecast_date"))
+    mae = expanding_mae(results, min_weeks) if mae is None else mae
+    scores = mae.groupBy(*TRAJ).agg(F.map_from_entries(F.collect_list(F.struct(
+        "forecast_date", F.struct("mae", "inv_mae", "n_weeks_scored")))).alias("_by"))
+    rows = (results.join(scores, TRAJ, "left")
+            .select("*", F.explode(dates).alias("forecast_date")))
     if min_horizon is not None:
         rows = rows.where(F.col("target_end_date") >= F.date_add("forecast_date", 7 * min_horizon))
-    joined = rows.join(mae, ["forecast_date"] + TRAJ, "left")
+    rows = rows.withColumn("_s", F.try_element_at("_by", F.col("forecast_date")))
+    joined = rows.select("*", "_s.mae", "_s.inv_mae", "_s.n_weeks_scored").drop("_s", "_by")
     return _share(joined, ["forecast_date"] + WEEK_KEYS)
 
 
 def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: str = "weight",
-                      levels=QUANTILE_LEVELS, order_ties=(), jvm_beta: bool = True) -> DataFrame:
+                      levels=QUANTILE_LEVELS, jvm_beta: bool = True) -> DataFrame:
     """Weighted Harrell–Davis quantiles per group.
 
     With values sorted ascending, normalised cumulative weights c_i (c_0 = 0,
@@ -132,23 +163,21 @@ def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: st
     level, no second window. A group with any NULL weight (or zero total)
     yields NULL, as NA propagates in the reference.
 
-    Running weights come from :func:`ordered_positions` (range-partitioned
-    chunks, never one task per group); the per-level sums are a plain
-    aggregate with map-side partial sums, so a hot group is split everywhere.
+    Running weights come from :func:`ordered_positions` (value chunks, never
+    one task per group; equal values are one row, which is exact, since steps
+    between equal values add nothing); the per-level sums are a plain aggregate
+    with map-side partial sums, so a hot group is split everywhere.
     """
     keys = list(keys)
-    pos = ordered_positions(df, keys, value, weight, ties=order_ties)
+    pos = ordered_positions(df, keys, value, weight)
     lv = F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(label(p)).alias("quantile"))
                    for p in levels])
     ok = (F.col("_bad") == 0) & (F.col("_sw") > 0)
     nw1 = F.col("_sw") * F.col("_sw") / F.col("_sw2") + 1.0
     inner = F.col("_nx").isNotNull() & ok
     cdf = F.least(F.col("_cw") / F.col("_sw"), F.lit(1.0))
-    # A row whose next value equals its own contributes exactly 0 at every
-    # level; a group that yields NULL needs only its last row. Both are
-    # dropped before the per-level expansion (exact, fewer beta evaluations).
-    last = F.col("_nx").isNull()
-    pos = pos.where(last | (ok & (F.col("_nx") != F.col("_x"))))
+    # a group that yields NULL needs only its last row
+    pos = pos.where(F.col("_nx").isNull() | ok)
     e = (pos.select(*keys, "_x", "_nx", F.when(ok, 1).otherwise(0).alias("_ok"),
                     F.when(inner, cdf).alias("_c"), F.when(ok, nw1).alias("_nw1"),
                     F.explode(lv).alias("lv"))
@@ -172,16 +201,15 @@ WEEKLY_KEYS = ["forecast_date", "location", "target_variable", "target_end_date"
 
 def weekly_ensembles(results: DataFrame, levels=QUANTILE_LEVELS, min_horizon: int | None = 0,
                      weights: DataFrame | None = None, include_weighted: bool = True,
-                     include_unweighted: bool = True) -> DataFrame:
+                     include_unweighted: bool = True, min_weeks: int = 0) -> DataFrame:
     """E7 ``ensembles``: for each forecast date, a weighted (Harrell–Davis,
     inverse-MAE) and an unweighted (type 7) quantile ensemble per
     (location, target, week, weeks of history), scenarios and models pooled.
-    Missing history -> ``n_weeks_scored = 0``; ``horizon = (week - f) / 7``."""
-    wts = expanding_weights(results, min_horizon=min_horizon) if weights is None else weights
+    Missing history (or less than ``min_weeks``) -> ``n_weeks_scored = 0``; ``horizon = (week - f) / 7``."""
+    wts = expanding_weights(results, min_horizon=min_horizon, min_weeks=min_weeks) if weights is None else weights
     parts = []
     if include_weighted:
-        wq = (weighted_quantile(wts, WEEKLY_KEYS, "value_100k", "weight", levels,
-                                order_ties=("model", "scenario_id", "sample"))
+        wq = (weighted_quantile(wts, WEEKLY_KEYS, "value_100k", "weight", levels)
               .withColumn("model", F.lit("Trajectories")).withColumn("scenario_id", F.lit("Weighted")))
         parts.append(wq)
     if include_unweighted:

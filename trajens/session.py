@@ -1,8 +1,8 @@
 """Session settings used by tests and the benchmark.
 
 On a cluster the session comes from the platform; the library only reads
-settings from it. ``checkpoint_dir`` honours ``spark.checkpoint.dir`` and only
-creates a scratch folder when that setting is absent (local tests).
+settings from it. ``checkpoint_dir`` honours ``spark.checkpoint.dir``; only a
+local-mode session (one machine, as in tests) may do without.
 """
 
 from __future__ import annotations
@@ -44,13 +44,15 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
-
-    Uses ``spark.checkpoint.dir`` when the cluster names one; otherwise (local
-    tests only) creates a fresh scratch folder and registers it.
-    """
+    """Shared folder for checkpoints and intermediate tables: what
+    ``spark.checkpoint.dir`` names. Where it is unset, a local-mode session
+    gets a scratch folder of its own; on a cluster that folder would be
+    another disk for every executor, so there it is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="trajens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
@@ -64,6 +66,6 @@ def materialize(df, name: str):
     back: cuts the lineage (a lost executor does not recompute the upstream)
     and lets several consumers in one query share one computation."""
     spark = df.sparkSession
-    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    path = f"{checkpoint_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)

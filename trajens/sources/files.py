@@ -5,7 +5,9 @@
   submission date parsed from each file's path (S5), files outside the round's
   submission window pruned *before* rows are parsed (S6), malformed rows kept
   apart in a reject table instead of failing or vanishing (S7).
-* :func:`write_table` — overwrite a table (S10).
+* :func:`read_round`, :func:`read_rounds`, :func:`load_projections` — round Parquet,
+  round metadata from a file, and the switch between the two sources (S8, S9, S11).
+* :func:`write_table`, :func:`write_submissions` — overwrite a table (S10), write a submission tree.
 
 Paths are given by the user; nothing is downloaded.
 """
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import (DateType, DoubleType, IntegerType, StringType, StructField,
                                StructType)
@@ -40,28 +42,30 @@ def read_observed_csv(spark: SparkSession, path: str, target_variable: str | Non
 
 
 def parse_submission_path(path_col, root: str = "") -> tuple:
-    """(date, model) from ``<root>/<model>/<yyyy-mm-dd>-....csv``: the first
-    date in the path, and the directory part after ``root`` with slashes
-    removed."""
+    """(date, model) from ``<root>/<model>/<yyyy-mm-dd>-....csv``: the first date in the path after
+    ``root``, and the folders between ``root`` and the dated name with slashes removed (a
+    submission may be a file or a folder of files)."""
     p = F.col(path_col) if isinstance(path_col, str) else path_col
     # compare without the URI scheme: Spark reports local files as "file:/..."
     p = F.regexp_replace(p, SCHEME, "")
     root = re.sub(SCHEME, "", root)
     rest = F.substring(p, len(root) + 1, 1 << 20) if root else p
-    date = F.to_date(F.regexp_extract(p, DATE_PATTERN, 0))
-    model = F.regexp_replace(F.regexp_extract(rest, r"/(.+)/", 0), "/", "")
+    date = F.to_date(F.nullif(F.regexp_extract(rest, DATE_PATTERN, 0), F.lit("")))
+    folders = F.regexp_replace(F.regexp_extract(rest, r"/(.+)/", 0), "/" + DATE_PATTERN + ".*$", "")
+    model = F.regexp_replace(folders, "/", "")
     return date, model
 
 
-def submission_paths(raw: DataFrame, root: str, origin) -> DataFrame:
-    """A submission tree's listing derived from a projection table: one path
-    per (model, scenario), dated ``origin + len(model) * (1 | 7)`` days."""
-    days = F.length("model") * F.when(F.col("scenario_id") == "A", 1).otherwise(7)
-    return (raw.select("model", "scenario_id").distinct()
-            .select(F.concat(F.lit(root + "/"), F.col("model"), F.lit("/"),
-                             F.date_format(F.date_add(F.lit(origin), days), "yyyy-MM-dd"),
-                             F.lit("-"), F.col("model"), F.lit("-"), F.col("scenario_id"),
-                             F.lit(".csv")).alias("path")))
+def list_files(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+    """Every matching file under ``root`` as (path, length), listed by Spark; contents are
+    not read (only metadata columns are selected)."""
+    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob)
+            .load(root).select("path", "length"))
+
+
+def relative_to(path: Column, root: str) -> Column:
+    """``path`` without scheme and without ``root``."""
+    return F.substring(F.regexp_replace(path, SCHEME, ""), len(re.sub(SCHEME, "", root)) + 1, 1 << 20)
 
 
 def parse_paths(paths: DataFrame, root: str) -> DataFrame:
@@ -81,36 +85,60 @@ def read_submissions(spark: SparkSession, root: str, rounds: DataFrame, round_:
                      schema: StructType = SUBMISSION_SCHEMA) -> tuple[DataFrame, DataFrame]:
     """Read every ``*.csv`` under ``root``; return (rows, rejects).
 
-    The window filter is on ``_metadata.file_path``, which Spark evaluates per
-    file, so out-of-window files are skipped without parsing their rows.
-    Malformed rows go to ``rejects`` (file path + raw line) instead of
-    aborting the read or silently disappearing.
-    """
-    bad = "_corrupt_record"
-    full = StructType(schema.fields + [StructField(bad, StringType())])
-    df = (spark.read.schema(full).option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", bad)
-          .option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-          .csv(root))
-    date, model = parse_submission_path(F.col("_metadata.file_path"), root)
+    The window filter is on the file path, which Spark evaluates per file
+    before reading it, so out-of-window files are skipped. Lines are read as
+    text and parsed with the full schema whatever columns the consumer asks
+    for, and a row is a row only if every field parses: malformed lines go to
+    ``rejects`` (file path + raw line) instead of aborting the read, vanishing,
+    or passing when their bad field happens not to be selected. One record per
+    line (quoted line breaks are not part of the format)."""
+    header = ",".join(f.name for f in schema.fields)
+    lines = (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").text(root)
+             # the path comes URL-encoded; a plus sign stands for itself there
+             .withColumn("_file", F.url_decode(F.regexp_replace(F.col("_metadata.file_path"), r"\+", "%2B"))))
+    date, model = parse_submission_path(F.col("_file"), root)
     r = rounds.where(F.col("round") == round_)
     lo = r.select(F.min("origin_date")).scalar()
     hi = r.select(F.max("submission_window_end")).scalar()
-    tagged = (df.withColumn("_date", date).withColumn("model", model)
-              .withColumn("_file", F.col("_metadata.file_path"))
-              .where(F.col("_date").between(lo, hi)))
-    rows = (tagged.where(F.col(bad).isNull()).drop(bad, "_date", "_file")
-            .withColumn("round", F.lit(round_)))
-    # The CSV reader parses only the columns a query needs, so the reject
-    # query reads every schema column too: a row is rejected on the same
-    # fields whichever table is asked for.
-    rejects = tagged.where(F.col(bad).isNotNull()).select(
-        "model", "_file", *[f.name for f in schema.fields], F.col(bad).alias("line"))
+    # every field is parsed by itself and checked, in the one filter both tables share
+    parts = F.split("value", ",", -1)
+    parsed = (lines.where(date.between(lo, hi) & (F.col("value") != header) & (F.trim("value") != ""))
+              .withColumn("model", model).withColumn("_parts", parts))
+    fields, fine = [], F.size("_parts") == len(schema.fields)
+    for i, f in enumerate(schema.fields):
+        raw = F.nullif(F.get("_parts", i), F.lit(""))
+        raw = F.regexp_replace(raw, '^"|"$', "")
+        typed = raw if isinstance(f.dataType, StringType) else raw.try_cast(f.dataType)
+        fine = fine & (raw.isNull() | typed.isNotNull())
+        fields.append(typed.alias(f.name))
+    rows = parsed.where(fine).select(*fields, "model", F.lit(round_).alias("round"))
+    rejects = parsed.where(~fine).select("model", "_file", F.col("value").alias("line"))
     return rows, rejects
 
 
-def _uri(root: str) -> str:
-    return root if "://" in root else "file://" + root
+def read_round(spark: SparkSession, path: str) -> DataFrame:
+    """One round's projections as Parquet, with the file's own schema."""
+    return spark.read.parquet(path)
+
+
+def read_rounds(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """Round metadata (round, origin_date, submission_window_end) from CSV, JSON or Parquet."""
+    schema = "round int, origin_date date, submission_window_end date"
+    if fmt == "parquet":
+        return spark.read.parquet(path).selectExpr("cast(round as int) round", "cast(origin_date as date) origin_date",
+                                                   "cast(submission_window_end as date) submission_window_end")
+    return spark.read.schema(schema).option("header", True).format(fmt).load(path)
+
+
+def load_projections(spark: SparkSession, source: str, path: str, rounds: DataFrame, round_: int) -> DataFrame:
+    """Raw projections from a tree of submissions (``source="files"``) or from the round's
+    Parquet (``source="parquet"``), in the same columns."""
+    names = [f.name for f in SUBMISSION_SCHEMA.fields] + ["model", "round"]
+    if source == "files":
+        return read_submissions(spark, path, rounds, round_)[0].select(*names)
+    if source == "parquet":
+        return read_round(spark, path).withColumn("round", F.lit(round_)).select(*names)
+    raise ValueError(f"unknown source {source!r}: files or parquet")
 
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=None) -> None:
@@ -120,3 +148,25 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", partition_by=Non
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.save(path)
+
+
+def write_submissions(raw: DataFrame, root: str, dates: Column, schema: StructType = SUBMISSION_SCHEMA) -> None:
+    """Write ``raw`` as a submission tree ``<root>/<model>/<date>-<scenario>/part-*.csv``:
+    one folder per model and submission, ``dates`` giving the submission date of a row. Spark
+    writes the files; folder names are then put into the tree's form by renames, one per folder."""
+    spark = raw.sparkSession
+    cols = [F.col(f.name) for f in schema.fields]
+    staged = f"{root}/_staged"
+    (raw.select(*cols, F.col("model").alias("m"), F.concat_ws("-", F.date_format(dates, "yyyy-MM-dd"), "scenario_id").alias("s"))
+     .repartition("m", "s").write.mode("overwrite").option("header", True).partitionBy("m", "s").csv(staged))
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    for m in fs.listStatus(jvm.org.apache.hadoop.fs.Path(staged)):
+        if not m.isDirectory():
+            continue
+        model = m.getPath().getName().partition("=")[2]
+        for s in fs.listStatus(m.getPath()):
+            fs.mkdirs(jvm.org.apache.hadoop.fs.Path(base, model))
+            fs.rename(s.getPath(), jvm.org.apache.hadoop.fs.Path(base, f"{model}/{s.getPath().getName().partition('=')[2]}"))
+    fs.delete(jvm.org.apache.hadoop.fs.Path(staged), True)

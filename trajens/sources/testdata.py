@@ -3,66 +3,66 @@
 The engine works on long trajectory tables; the test data is a TPC-H-like
 star schema. This adapter re-expresses it, entirely as Spark transforms:
 
-* projections: lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region, aggregated to
-  one value per (location, model, scenario, sample, horizon week).
-  location = region (or nation) name, model = market segment,
-  scenario A/B = line status F/O, sample = epi-year index + 5 * (suppkey mod S),
-  horizon = epi week 1..52 of the ship date, years 1995-1999;
+* season: the last epi-year in the data is the observed season, its first
+  Sunday the round's origin; it ends where the data end, so later weeks have
+  no observation. All earlier epi-years are simulated seasons.
+* projections: lineitem ⋈ orders ⋈ customer ⋈ nation ⋈ region shipped before
+  the origin, aggregated to one value per (location, model, scenario, sample,
+  horizon week): location = region (or nation) name, model = market segment,
+  scenario A/B = line status F/O, sample = epi-year, horizon = epi week 1..53;
   ``inc case`` = sum(quantity), ``inc death`` = line count.
-* truth_daily: the same join, ship dates 2000-01-02 .. 2000-09-02, per location
-  and day, each measure divided by 10*S (one projection cell's share).
+* truth_daily: the same join, shipped from the origin on, per location and
+  day, each measure divided by 10 (the share of one of 5 segments x 2 statuses).
 * population: customers per location * 1000.
 
-S (samples per cell) is derived from the data — max(1, #suppliers div 100) —
-so the number of trajectories grows with the input (1 at sf<=0.01, 10 at
-sf0.1). The supplier row count comes from parquet footers (no data pages are
-read) and is a single number, so it is fetched once per directory.
+Every line item is either in the projections or in the truth, at any scale.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajens.functions.dates import epi_wednesday
+from trajens.functions.dates import epi_wednesday, epi_week, epi_year
 
 TABLES = ("region", "nation", "customer", "supplier", "orders", "lineitem", "events")
 
-# Fixed values of the adapter (dates chosen so the test data's last ship year
-# becomes the "observed" season).
-ORIGIN_DATE = dt.date(2000, 1, 2)
-WINDOW_END = dt.date(2000, 1, 31)
-TRUTH_FIRST = dt.date(2000, 1, 2)
-TRUTH_LAST = dt.date(2000, 9, 2)
 ROUND = 2
+WINDOW_DAYS = 29   # length of the submission window after the origin
+SHARE = 10         # 5 market segments x 2 line statuses
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_S_CACHE: dict[str, int] = {}
+def season(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row (origin, last_date): first Sunday of the last epi-year and last
+    ship date; reads one lineitem column."""
+    last = read(spark, sf_dir, "lineitem").select(F.max(F.to_date("l_shipdate")).alias("last_date"))
+    new_year = F.make_date(F.year(epi_wednesday("last_date")), F.lit(1), F.lit(1))
+    # epi week 1 holds the year's first Wednesday (dayofweek 4) and starts three days before it
+    return last.select(F.date_add(new_year, F.pmod(F.lit(4) - F.dayofweek(new_year), F.lit(7)) - 3).alias("origin"),
+                       "last_date")
+
 
+def origin(spark: SparkSession, sf_dir: str) -> Column:
+    """The season's origin as a scalar subquery."""
+    return season(spark, sf_dir).select("origin").scalar()
 
-def samples_per_cell(spark: SparkSession, sf_dir: str) -> int:
-    """max(1, count(supplier) div 100)."""
-    if sf_dir not in _S_CACHE:
-        _S_CACHE[sf_dir] = max(1, read(spark, sf_dir, "supplier").count() // 100)
-    return _S_CACHE[sf_dir]
 
+def last_date(spark: SparkSession, sf_dir: str) -> Column:
+    return season(spark, sf_dir).select("last_date").scalar()
 
-def _line_facts(spark, sf_dir, level, lo: dt.date, hi: dt.date) -> DataFrame:
-    """Lines shipped in [lo, hi] with their location and market segment.
 
-    The ship-date bounds are on the raw column so they reach the parquet scan
-    (row-group skipping); only the five needed lineitem columns are read.
-    """
+def _line_facts(spark, sf_dir, level, observed: bool) -> DataFrame:
+    """Lines of the observed season or of all earlier ones, with their location
+    and market segment. Only the needed lineitem columns are read."""
+    day = F.to_date("l_shipdate")
+    start = origin(spark, sf_dir)
     li = (read(spark, sf_dir, "lineitem")
-          .select("l_orderkey", "l_suppkey", "l_quantity", "l_linestatus", "l_shipdate")
-          .where((F.col("l_shipdate") >= F.lit(dt.datetime.combine(lo, dt.time())))
-                 & (F.col("l_shipdate") < F.lit(dt.datetime.combine(hi + dt.timedelta(days=1), dt.time())))))
+          .select("l_orderkey", "l_quantity", "l_linestatus", "l_shipdate")
+          .where(day >= start if observed else day < start))
     orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     cust = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
     # nation (25 rows) and region (5 rows) are fixed-size dimensions: broadcast.
@@ -74,8 +74,7 @@ def _line_facts(spark, sf_dir, level, lo: dt.date, hi: dt.date) -> DataFrame:
             .join(cust, F.col("o_custkey") == cust.c_custkey)
             .join(F.broadcast(geo), F.col("c_nationkey") == geo.n_nationkey)
             .select(loc.alias("location"), F.col("c_mktsegment").alias("model"),
-                    "l_suppkey", "l_quantity", "l_linestatus",
-                    F.to_date("l_shipdate").alias("ship_date")))
+                    "l_quantity", "l_linestatus", F.to_date("l_shipdate").alias("ship_date")))
 
 
 def _two_measures(df: DataFrame, keys, scale=None) -> DataFrame:
@@ -91,16 +90,10 @@ def _two_measures(df: DataFrame, keys, scale=None) -> DataFrame:
 def projections_raw(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
     """Raw submissions: model, location, scenario_id, target_variable,
     horizon ("12 wk"), sample, value."""
-    s = samples_per_cell(spark, sf_dir)
-    facts = _line_facts(spark, sf_dir, level, dt.date(1994, 12, 25), dt.date(2000, 1, 1))
-    wed = epi_wednesday("ship_date")
-    week = (F.floor((F.dayofyear(wed) - 1) / 7) + 1).cast("int")
+    facts = _line_facts(spark, sf_dir, level, observed=False)
     cells = (facts
-             .withColumn("epi_year", F.year(wed)).withColumn("week", week)
-             .where(F.col("epi_year").between(1995, 1999) & (F.col("week") <= 52))
+             .withColumn("sample", epi_year("ship_date")).withColumn("week", epi_week("ship_date"))
              .withColumn("scenario_id", F.when(F.col("l_linestatus") == "F", "A").otherwise("B"))
-             .withColumn("sample", (F.col("epi_year") - 1994
-                                    + 5 * F.pmod(F.col("l_suppkey"), F.lit(s).cast("bigint"))).cast("int"))
              .groupBy("location", "model", "scenario_id", "sample", "week")
              .agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines")))
     cells = cells.withColumn("horizon", F.concat(F.col("week").cast("string"), F.lit(" wk")))
@@ -111,11 +104,10 @@ def projections_raw(spark: SparkSession, sf_dir: str, level: str = "region") ->
 
 def truth_daily(spark: SparkSession, sf_dir: str, level: str = "region") -> DataFrame:
     """Daily observations: location, location_name, date, value, target_variable."""
-    s = samples_per_cell(spark, sf_dir)
-    facts = _line_facts(spark, sf_dir, level, TRUTH_FIRST, TRUTH_LAST)
+    facts = _line_facts(spark, sf_dir, level, observed=True)
     daily = (facts.groupBy("location", F.col("ship_date").alias("date"))
              .agg(F.sum("l_quantity").alias("sum_qty"), F.count(F.lit(1)).alias("n_lines")))
-    out = _two_measures(daily, ["location", "date"], scale=s * 10)
+    out = _two_measures(daily, ["location", "date"], scale=SHARE)
     return out.select("location", F.col("location").alias("location_name"), "date",
                       "value", "target_variable")
 
@@ -139,11 +131,11 @@ def population(spark: SparkSession, sf_dir: str, level: str = "region") -> DataF
             .agg((F.sum("n") * 1000.0).alias("population")))
 
 
-def rounds(spark: SparkSession) -> DataFrame:
-    """Round metadata dimension (one row per round)."""
-    return spark.createDataFrame(
-        [(ROUND, ORIGIN_DATE, WINDOW_END)],
-        "round int, origin_date date, submission_window_end date")
+def rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Round metadata (one row per round): the observed season's."""
+    return season(spark, sf_dir).select(
+        F.lit(ROUND).alias("round"), F.col("origin").alias("origin_date"),
+        F.date_add("origin", WINDOW_DAYS).alias("submission_window_end"))
 
 
 def target_dim(spark: SparkSession, sf_dir: str) -> DataFrame:

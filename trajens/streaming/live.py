@@ -12,8 +12,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,15 +54,17 @@ def score_refresh(truth_weeks: DataFrame, results: DataFrame) -> DataFrame:
             .withColumn("mae", F.col("sum_ae") / F.col("n_weeks_scored")))
 
 
-def start(df: DataFrame, name: str, mode: str = "update", sink: str = "memory", path: str | None = None,
+def start(df: DataFrame, name: str, mode: str = "append", sink: str = "parquet", path: str | None = None,
           trigger: dict | None = None):
     """Start a streaming query with its checkpoint under the session's
-    ``spark.checkpoint.dir`` (shared storage on a cluster)."""
+    ``spark.checkpoint.dir`` (shared storage on a cluster). The default writes
+    finished rows as Parquet, to ``path`` or a folder beside the checkpoint;
+    ``sink="memory"`` gathers the result in the driver, for tests."""
     spark: SparkSession = df.sparkSession
-    ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    w = df.writeStream.outputMode(mode).option("checkpointLocation", ckpt).queryName(name)
+    base = f"{checkpoint_dir(spark)}/streams/{name}"
+    w = df.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/checkpoint").queryName(name)
     if trigger:
         w = w.trigger(**trigger)
     if sink == "memory":
         return w.format("memory").start()
-    return w.format(sink).start(path)
+    return w.format(sink).start(path or f"{base}/data")
