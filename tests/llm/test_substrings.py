@@ -45,15 +45,23 @@ def test_runs_hold_every_start_once_and_equal_strings_share_keys():
     assert all(len(v) == 1 for v in places.values())
 
 
-def test_slices_and_string_hashes(monkeypatch):
+def test_slices_hold_every_start_once(monkeypatch):
     data = text(random.Random(2), 900).encode()
-    at = np.arange(0, len(data) - 99)
-    whole = substrings.strings(data, 100, at)
     monkeypatch.setattr(substrings, "_SLICE", 512)
-    cut = substrings.strings(data, 100, at)
-    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
     _, _, s, n = substrings.runs(data, 100, 24)
-    assert [p for x, m in zip(s.tolist(), n.tolist()) for p in range(x, x + m)] == at.tolist()
+    assert [p for x, m in zip(s.tolist(), n.tolist()) for p in range(x, x + m)] == list(range(len(data) - 99))
+
+
+def test_string_hashes_depend_on_the_string_alone():
+    rng = random.Random(5)
+    a = text(rng, 60).encode()
+    spans = [a[:160], b"zz" + a[20:150], a[10:110]]
+    n = np.array([61, 33, 1])
+    h, i, off = substrings.strings(spans, n, 100)
+    seen = {}
+    for x, k, o in zip(h.tolist(), i.tolist(), off.tolist()):
+        assert seen.setdefault(x, spans[k][o:o + 100]) == spans[k][o:o + 100]
+    assert len(h) == 95 and len(seen) == len({spans[k][o:o + 100] for k, o in zip(i, off)})
 
 
 def make(rng):
@@ -77,8 +85,8 @@ def test_against_brute_force(spark):
     ids = rng.sample(range(-50, 1000), len(docs))
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in zip(ids, docs)], "doc_id long, text string, span string, n int")
     want = brute([(i, i, (t or "").encode()) for i, t in zip(ids, docs)], 100)
-    for batches in (1, 5):
-        assert got_rows(substrings.remove_repeats(df, batches=batches)) == want
+    for batches, group_rows in ((1, 10_000), (5, 10_000), (2, 0), (3, 4)):
+        assert got_rows(substrings.remove_repeats(df, batches=batches, group_rows=group_rows)) == want
     kept = substrings.remove_repeats(df, with_text=True).collect()
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in kept)
 

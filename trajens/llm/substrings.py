@@ -19,9 +19,12 @@ level, and before the next batch levels of equal size are merged, so n batches l
 levels and every entry is rewritten at most log n times. Semi joins never pair the members of a
 group, however large.
 
-Mixed runs are settled string by string: the first run of each (key, span) gives its strings' 128-bit
-hashes with their places, the least place per hash (combined map-side) stays, the rest are removed.
-This is linear in the runs, about 38 strings each.
+Mixed runs are settled string by string: the first run of each (key, span) sends its bytes to its
+key's task, where the strings' hashes are sorted with their places and all but the least place of
+each are removed. Strings are equal when key and 64-bit hash are. This is linear in the runs, about
+38 strings each. A key with more than ``group_rows`` different spans is too much for one task: its
+strings are dealt out by their own hashes instead, and the least place per hash is a map-side
+combined minimum.
 
 Texts are shuffled once to meet their runs; those without any are finished there, and only the
 touched ones are written for the last step.
@@ -122,17 +125,44 @@ def runs(data: bytes, length: int, k: int) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
-def strings(data: bytes, length: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent 64-bit hashes of the strings at ``starts`` (ascending)."""
-    a, c = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
-    for at in range(0, len(data), _SLICE):
-        lo, hi = np.searchsorted(starts, [at, at + _SLICE])
-        if lo < hi:
-            b = np.frombuffer(data, np.uint8, min(_SLICE + length - 1, len(data) - at), at)
-            s = starts[lo:hi] - at
-            for roll, into in ((_ONE, a), (_TWO, c)):
-                into[lo:hi] = mixed_up(roll.spans(roll.sums(b), s, s + length), 61).view(np.int64)
-    return a, c
+def strings(spans: list[bytes], n: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, number of the span, offset) of the first ``n[i]`` strings of each span."""
+    hashes, which, at = [], [], []
+    for lo in range(0, len(spans), 4096):
+        part, m = spans[lo:lo + 4096], n[lo:lo + 4096]
+        b = np.frombuffer(b"".join(part), np.uint8)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        first = np.repeat(np.cumsum(sizes) - sizes, m)
+        offset = np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m)
+        start = first + offset
+        hashes.append(mixed_up(_ONE.spans(_ONE.sums(b), start, start + length), 61).view(np.int64))
+        which.append(np.repeat(np.arange(lo, lo + len(part)), m))
+        at.append(offset)
+    if not hashes:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(which), np.concatenate(at)
+
+
+def later_strings(key: np.ndarray, doc: np.ndarray, s: np.ndarray, n: np.ndarray, spans: list[bytes],
+                  length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, start, n): intervals of starts whose string has an earlier place among these runs."""
+    h, i, off = strings(spans, n, length)
+    d, p, k = doc[i], s[i] + off, key[i]
+    order = np.lexsort((p, d, h, k))
+    h, d, p, k = h[order], d[order], p[order], k[order]
+    fresh = np.ones(len(h), bool)
+    fresh[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
+    group = np.cumsum(fresh) - 1
+    lead = np.flatnonzero(fresh)
+    gone = (d != d[lead][group]) | (p != p[lead][group])
+    d, p = d[gone], p[gone]
+    order = np.lexsort((p, d))
+    d, p = d[order], p[order]
+    begin = np.ones(len(d), bool)
+    begin[1:] = (d[1:] != d[:-1]) | (p[1:] > p[:-1] + 1)
+    at = np.flatnonzero(begin)
+    last = np.append(at[1:], len(p)) - 1
+    return d[at], p[at], p[last] - p[at] + 1 if len(at) else p[at]
 
 
 # --- the family --------------------------------------------------------------------------------
@@ -194,12 +224,23 @@ class SuffixFamily:
 
     def add(self, docs: DataFrame) -> None:
         """``docs``: (doc, text as binary), all later than what the family has."""
+        # tables bucketed by key are co-partitioned for joins on (key, span), too; by default Spark
+        # shuffles them again by all join keys. Everything in here runs before the setting goes back
+        setting = "spark.sql.requireAllClusterKeysForCoPartition"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, "false")
+        try:
+            self._add(docs)
+        finally:
+            self.spark.conf.set(setting, before)
+
+    def _add(self, docs: DataFrame) -> None:
         self._merge_equal()
         rows = suffix_rows(docs, self.length, self.k).repartition(self.buckets, "key")
         same = Window.partitionBy("key", "span").orderBy("doc", "s")
         new = self._write(rows.withColumn("dup", F.dense_rank().over(same) > 1))
         batch = self.spark.table(new)
-        place = ["doc", "s", "n"]
+        place = ["key", "doc", "s", "n"]
         found, unsettled = [batch.where("dup").select(*place)], []
         fresh = batch.where("not dup")
         for _, name in self.levels:
@@ -261,11 +302,83 @@ def kept_bytes(data: bytes, covered: list[tuple[int, int]]) -> tuple[int, int, b
     return gone, n, b"".join([*parts, data[at:]])
 
 
+def _settle(open_: DataFrame, length: int, group_rows: int) -> DataFrame:
+    """(doc, s, n): starts to remove among the mixed runs of ``open_`` (doc, text, and lists of
+    starts, lengths and keys)."""
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for doc, text, s, n, key in zip(*(b.column(i).to_pylist() for i in range(5))):
+                at = dict(zip(s, zip(key, n)))  # a run met in several scans counts once
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([k for k, _ in at.values()], pa.int64()), pa.array([doc] * len(at), pa.int64()),
+                     pa.array(list(at), pa.int64()), pa.array([m for _, m in at.values()], pa.int64()),
+                     pa.array([text[p:p + m + length - 1] for p, (_, m) in at.items()], pa.binary())], schema=run_schema)
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, full = [], None  # rows of the keys at hand; the key that outgrew its task
+
+        def columns(rows):
+            key, doc, s, n, raw = zip(*rows)
+            return np.array(key), np.array(doc), np.array(s), np.array(n), list(raw)
+
+        def done(rows):
+            d, p, m = later_strings(*columns(rows), length)
+            empty = np.zeros(len(d), bool)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(np.zeros(len(d), np.int64), mask=~empty), pa.array(d), pa.array(p), pa.array(m),
+                 pa.nulls(len(d), pa.binary())], schema=run_schema)
+
+        def pass_on(rows):
+            return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), run_schema)], schema=run_schema)
+
+        for b in batches:
+            rows = list(zip(*(b.column(i).to_pylist() for i in range(5))))
+            if full is not None:
+                own = [r for r in rows if r[0] == full]
+                if own:
+                    yield pass_on(own)
+                    rows = rows[len(own):]
+            held += rows
+            if held:
+                last = held[-1][0]
+                open_rows = [r for r in held if r[0] == last]
+                if len(held) > len(open_rows):
+                    yield done(held[:-len(open_rows)])
+                held = open_rows
+                if len(held) > group_rows:
+                    yield pass_on(held)
+                    full, held = last, []
+        if held:
+            yield done(held)
+
+    run_schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("s", pa.int64()), ("n", pa.int64()), ("span", pa.binary())])
+    columns = "key long, doc long, s long, n long, span binary"
+    by_key = open_.mapInArrow(cut, columns).repartition("key").sortWithinPartitions("key")
+    settled = store(by_key.mapInArrow(settle, columns), "suffix-settled")
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            key, doc, s, n = (b.column(i).to_numpy() for i in range(4))
+            for lo in range(0, b.num_rows, 4096):
+                h, i, off = strings(b.column(4).slice(lo, 4096).to_pylist(), n[lo:lo + 4096], length)
+                i = i + lo
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[i], h, doc[i], s[i] + off)],
+                                                 names=["key", "h", "doc", "s"])
+
+    single = settled.where("span is not null").mapInArrow(explode, "key long, h long, doc long, s long")
+    least = (single.groupBy("key", "h").agg(F.min(F.struct("doc", "s")).alias("low"), F.max(F.struct("doc", "s")).alias("high"))
+             .where("low != high").select("key", "h", "low"))
+    rest = (single.join(least, ["key", "h"]).where(F.struct("doc", "s") != F.col("low"))
+            .select("doc", "s", F.lit(1).cast("long").alias("n")))
+    return settled.where("span is null").select("doc", "s", "n").unionByName(rest)
+
+
 _DONE = "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
 def remove_repeats(docs: DataFrame, length: int = 100, k: int = 24, batches: int = 4,
-                   id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
+                   group_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text",
+                   with_text: bool = False) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), one row per input row; ``with_text``
     adds ``kept``, the bytes that are left.
 
@@ -287,7 +400,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 24, batches: int
     family.close()
 
     found = (repeats.withColumn("settled", F.lit(True)).unionByName(mixed.withColumn("settled", F.lit(False)))
-             .groupBy("doc").agg(*[F.collect_list(F.when(F.col("settled") == v, F.struct("s", "n"))).alias(c)
+             .groupBy("doc").agg(*[F.collect_list(F.when(F.col("settled") == v, F.struct("s", "n", "key"))).alias(c)
                                    for c, v in (("gone", True), ("open", False))]))
     met = rows.join(found.withColumnRenamed("doc", "f_doc"), F.col("doc") == F.col("f_doc"), "left")
     kept_type = ", kept binary" if with_text else ""
@@ -306,52 +419,40 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 24, batches: int
 
     # texts that hold no shared run are finished where they meet that fact
     extra = [("doc", pa.int64()), ("text", pa.binary()), ("gone", pa.list_(pa.int64())), ("gone_n", pa.list_(pa.int64())),
-             ("open", pa.list_(pa.int64())), ("open_n", pa.list_(pa.int64()))]
+             ("open", pa.list_(pa.int64())), ("open_n", pa.list_(pa.int64())), ("open_key", pa.list_(pa.int64()))]
     first_schema = pa.schema([*done_schema, *[pa.field(n, t) for n, t in extra]])
 
     def first(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
             out = []
-            for id_, doc, text, g, gn, o, on in zip(*(b.column(i).to_pylist() for i in range(7))):
+            for id_, doc, text, g, gn, o, on, ok in zip(*(b.column(i).to_pylist() for i in range(8))):
                 if g or o:
-                    out.append((id_, *[None] * (len(names) - 1), doc, text or b"", g, gn, o, on))
+                    out.append((id_, *[None] * (len(names) - 1), doc, text or b"", g, gn, o, on, ok))
                 else:
-                    out.append((*row(id_, text or b"", []), None, None, None, None, None, None))
+                    out.append((*row(id_, text or b"", []), *[None] * len(extra)))
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), first_schema)],
                                              schema=first_schema) if out else pa.RecordBatch.from_pylist([], schema=first_schema)
 
     staged = store(met.select("id", "doc", "text", F.col("gone.s").alias("gone"), F.col("gone.n").cast("array<long>").alias("gone_n"),
-                              F.col("open.s").alias("open"), F.col("open.n").cast("array<long>").alias("open_n"))
+                              F.col("open.s").alias("open"), F.col("open.n").cast("array<long>").alias("open_n"),
+                              F.col("open.key").alias("open_key"))
                    .mapInArrow(first, _DONE + kept_type + ", doc long, text binary, gone array<long>, gone_n array<long>, "
-                               "open array<long>, open_n array<long>"), "suffix-texts")
-
-    def explode(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches_:
-            for doc, text, o, on in zip(*(b.column(i).to_pylist() for i in range(4))):
-                at = np.unique(np.concatenate([np.arange(s, s + n) for s, n in zip(o, on)]))
-                a, c = strings(text, length, at)
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(c), pa.array(np.full(len(at), doc)), pa.array(at)],
-                                                 names=["a", "c", "doc", "p"])
-
+                               "open array<long>, open_n array<long>, open_key array<long>"), "suffix-texts")
     touched = staged.where("doc is not null")
-    single = touched.where(F.size("open") > 0).select("doc", "text", "open", "open_n").mapInArrow(
-        explode, "a long, c long, doc long, p long")
-    single = store(single, "suffix-strings")
-    least = (single.groupBy("a", "c").agg(F.min(F.struct("doc", "p")).alias("low"), F.max(F.struct("doc", "p")).alias("high"))
-             .where("low != high").select("a", "c", "low"))
-    again = (single.join(least, ["a", "c"]).where(F.struct("doc", "p") != F.col("low"))
-             .groupBy("doc").agg(F.collect_list("p").alias("single")).withColumnRenamed("doc", "a_doc"))
+    single = _settle(touched.where(F.size("open") > 0).select("doc", "text", "open", "open_n", "open_key"), length, group_rows)
+    again = (single.groupBy("doc").agg(F.collect_list(F.struct("s", "n")).alias("late")).withColumnRenamed("doc", "a_doc"))
 
     def last(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches_:
             out = []
-            for id_, text, g, gn, one in zip(*(b.column(i).to_pylist() for i in range(5))):
-                covered = [(s, s + n + length - 1) for s, n in zip(g or [], gn or [])]
-                out.append(row(id_, text, covered + [(p, p + length) for p in one or []]))
+            for id_, text, g, gn, late, late_n in zip(*(b.column(i).to_pylist() for i in range(6))):
+                starts = [*zip(g or [], gn or []), *zip(late or [], late_n or [])]
+                out.append(row(id_, text, [(s, s + n + length - 1) for s, n in starts]))
             yield batch_of(out)
 
     settled = (touched.join(again, F.col("doc") == F.col("a_doc"), "left")
-               .select("id", "text", "gone", "gone_n", "single").mapInArrow(last, _DONE + kept_type))
+               .select("id", "text", "gone", "gone_n", F.col("late.s").alias("late"), F.col("late.n").alias("late_n"))
+               .mapInArrow(last, _DONE + kept_type))
     return (staged.where("doc is null").select(*names).unionByName(settled)
             .withColumnRenamed("id", "doc_id"))
 
