@@ -7,7 +7,7 @@ counts come from all training texts, hashed into ``bins`` and summed in Spark; w
 driver is languages x bins numbers.
 
 Decoding is loss weighted: bit j counts for language l by the share of l's training texts on which
-classifier j gets l's bit right, measured on a bounded sample of ``check_rows`` training texts
+classifier j gets l's bit right, measured on a sample of about ``check_rows`` training texts
 (weights only). Distance of l is the weighted mean logistic loss between the margins and l's
 codeword; the nearest codeword wins. ``score`` is the softmin share of the winner, and a text is
 ``ambiguous`` when the runner-up is within ``doubt`` of it.
@@ -75,7 +75,7 @@ class Model:
     weights: np.ndarray    # bins x bits
     trust: np.ndarray      # languages x bits, rows sum to 1
     scale: float = 4.0
-    doubt: float = 0.02
+    doubt: float = 0.002
 
 
 def fit(counts: dict[str, np.ndarray], bins: int, scale: float, doubt: float) -> Model:
@@ -142,7 +142,7 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          bins: int = 1 << 14, check_rows: int = 4000, scale: float = 4.0, doubt: float = 0.02) -> Model:
+          bins: int = 1 << 14, check_rows: int = 4000, scale: float = 4.0, doubt: float = 0.002) -> Model:
     """Fit on the rows that are not held out and have a language; reads text and language only.
     ``bins``: a power of two."""
     rows = (docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
@@ -150,8 +150,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        texts_seen = 0
         for b in batches:
             by: dict[str, list] = {}
+            texts_seen += b.num_rows
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(l, []).append(t)
             for l, texts in by.items():
@@ -160,6 +162,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                     data = folded(t)
                     for at in range(0, len(data) - 2, _SLICE):
                         into += np.bincount(trigram_bins(data[at:at + _SLICE + 2], bins), minlength=bins)
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1], pa.int32()), pa.array([texts_seen], pa.int64())],
+                                         names=["lang", "bin", "n"])
         for l, c in sums.items():
             at = np.flatnonzero(c)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)),
@@ -168,13 +172,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # one row per language and bin: languages x bins at most
     counted = rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n")).collect()
     counts: dict[str, np.ndarray] = {}
+    n_texts = sum(n for _, b, n in counted if b < 0)
     for l, b, n in counted:
+        if b < 0:
+            continue
         counts.setdefault(l, np.zeros(bins))[b] = n
     model = fit(counts, bins, scale, doubt)
     if len(model.langs) < 2:
         return model
-    # bounded sample of training texts, for the weights of bits: the first by hash
-    sample = rows.orderBy(F.xxhash64("text"), "lang").limit(check_rows)
+    # bounded sample of training texts, for the weights of bits: those whose hash falls in a share
+    # that gives about check_rows of them; read where they lie
+    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, check_rows / max(1, n_texts)) * (1 << 30))))
     index, signs = {l: i for i, l in enumerate(model.langs)}, model.code
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
