@@ -161,10 +161,12 @@ def _exploded(df: DataFrame, bits, t: int) -> DataFrame:
 def links(fps: DataFrame, radius: int = 2, plan_rows: int = 4096, hot_bucket: int = 64) -> DataFrame:
     """Links (a, b) among the distinct values of ``fps.fp``: a spanning set of all pairs within
     ``radius`` bits (same components; pairs inside full buckets come as stars)."""
-    # the sample is bounded by plan_rows and only sets the division
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(plan_rows).collect()],
-                      dtype=np.int64).view(np.uint64)
-    parts = plan(sample, fps.count(), radius)
+    n = fps.count()
+    # about plan_rows fingerprints by hash; they only set the division
+    share = F.lit(int(min(1.0, plan_rows / max(1, n)) * (1 << 30)))
+    chosen = fps.where(F.pmod(F.xxhash64(F.lit(1), "fp"), F.lit(1 << 30)) < share).collect()
+    sample = np.array(sorted(r[0] for r in chosen), dtype=np.int64).view(np.uint64)
+    parts = plan(sample, n, radius)
     index, probes = [], []
     for i, (bits, t) in enumerate(parts):
         mask = F.lit(_signed(sum(1 << b for b in bits)))
