@@ -64,6 +64,12 @@ def test_string_hashes_depend_on_the_string_alone():
     assert len(h) == 95 and len(seen) == len({spans[k][o:o + 100] for k, o in zip(i, off)})
 
 
+def test_later_copies_leave_the_first_place():
+    key, span = np.array([5, 5, 5, 7, 5]), np.array([1, 1, 2, 1, 1])
+    doc, s = np.array([9, 3, 3, 1, 3]), np.array([0, 8, 8, 0, 8])
+    assert substrings.later_copies(key, span, doc, s).tolist() == [True, False, False, False, False]
+
+
 def make(rng):
     base = [text(rng, 60) for _ in range(12)]
     passage = text(rng, 25)

@@ -167,8 +167,23 @@ def later_strings(key: np.ndarray, doc: np.ndarray, s: np.ndarray, n: np.ndarray
 
 # --- the family --------------------------------------------------------------------------------
 
+def later_copies(key: np.ndarray, span: np.ndarray, doc: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """Which runs have an equal (key, span) at an earlier place among these."""
+    order = np.lexsort((s, doc, span, key))
+    k, p, d, a = key[order], span[order], doc[order], s[order]
+    fresh = np.ones(len(k), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (p[1:] != p[:-1])
+    lead = np.flatnonzero(fresh)[np.cumsum(fresh) - 1]
+    out = np.zeros(len(k), bool)
+    out[order] = (d != d[lead]) | (a != a[lead])
+    return out
+
+
 def suffix_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
-    """Runs of ``docs`` (doc, text as binary): (key, span, doc, s, n)."""
+    """Runs of ``docs`` (doc, text as binary): (key, span, doc, s, n, dup). ``dup`` marks runs with an
+    equal one earlier among the runs of a scan's batch: they are repeats whatever else there is, and no
+    entry of the array. Their key no longer matters and becomes a hash of their place, so the copies
+    of one frequent passage don't all go to its key's task."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, docs_, counts, size = [], [], [], 0
@@ -178,7 +193,7 @@ def suffix_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
                 docs_.append(doc)
                 counts.append(len(r[0]))
                 size += len(r[0])
-                if size >= 100_000:
+                if size >= 400_000:
                     yield pack(held, docs_, counts)
                     held, docs_, counts, size = [], [], [], 0
             if size:
@@ -187,10 +202,12 @@ def suffix_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     def pack(held, docs_, counts):
         key, span, s, n = (np.concatenate(c) for c in zip(*held))
         doc = np.repeat(np.array(docs_, np.int64), counts)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (key, span, doc, s, n)],
-                                          names=["key", "span", "doc", "s", "n"])
+        dup = later_copies(key, span, doc, s)
+        place = mixed_up(mixed_up(doc.view(_U), 71) + s.view(_U), 73).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(dup, place, key), span, doc, s, n, dup)],
+                                          names=["key", "span", "doc", "s", "n", "dup"])
 
-    return docs.select("doc", "text").mapInArrow(scan, "key long, span long, doc long, s long, n int")
+    return docs.select("doc", "text").mapInArrow(scan, "key long, span long, doc long, s long, n int, dup boolean")
 
 
 class SuffixFamily:
@@ -238,7 +255,7 @@ class SuffixFamily:
         self._merge_equal()
         rows = suffix_rows(docs, self.length, self.k).repartition(self.buckets, "key")
         same = Window.partitionBy("key", "span").orderBy("doc", "s")
-        new = self._write(rows.withColumn("dup", F.dense_rank().over(same) > 1))
+        new = self._write(rows.withColumn("dup", F.col("dup") | (F.dense_rank().over(same) > 1)))
         batch = self.spark.table(new)
         place = ["key", "doc", "s", "n"]
         found, unsettled = [batch.where("dup").select(*place)], []
