@@ -183,7 +183,7 @@ def suffix_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
     """Runs of ``docs`` (doc, text as binary): (key, span, doc, s, n, dup). ``dup`` marks runs with an
     equal one earlier among the runs of a scan's batch: they are repeats whatever else there is, and no
     entry of the array. Their key no longer matters and becomes a hash of their place, so the copies
-    of one frequent passage don't all go to its key's task."""
+    of one frequent passage don't all go to its key's task; their span becomes 0."""
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held, docs_, counts, size = [], [], [], 0
@@ -204,8 +204,8 @@ def suffix_rows(docs: DataFrame, length: int, k: int) -> DataFrame:
         doc = np.repeat(np.array(docs_, np.int64), counts)
         dup = later_copies(key, span, doc, s)
         place = mixed_up(mixed_up(doc.view(_U), 71) + s.view(_U), 73).view(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (np.where(dup, place, key), span, doc, s, n, dup)],
-                                          names=["key", "span", "doc", "s", "n", "dup"])
+        columns = (np.where(dup, place, key), np.where(dup, 0, span), doc, s, n, dup)
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["key", "span", "doc", "s", "n", "dup"])
 
     return docs.select("doc", "text").mapInArrow(scan, "key long, span long, doc long, s long, n int, dup boolean")
 
@@ -255,14 +255,16 @@ class SuffixFamily:
         self._merge_equal()
         rows = suffix_rows(docs, self.length, self.k).repartition(self.buckets, "key")
         same = Window.partitionBy("key", "span").orderBy("doc", "s")
-        new = self._write(rows.withColumn("dup", F.col("dup") | (F.dense_rank().over(same) > 1)))
+        marked = rows.withColumn("dup", F.col("dup") | (F.dense_rank().over(same) > 1))
+        new = self._write(marked.withColumn("span", F.when(F.col("dup"), 0).otherwise(F.col("span"))))
         batch = self.spark.table(new)
-        place = ["key", "doc", "s", "n"]
-        found, unsettled = [batch.where("dup").select(*place)], []
+        where = ["doc", "s", "n"]
+        place = ["key", *where]
+        found, unsettled = [batch.where("dup").select(*where)], []
         fresh = batch.where("not dup")
         for _, name in self.levels:
             level = self.spark.table(name).where("not dup")
-            found.append(fresh.join(level.select("key", "span"), ["key", "span"], "left_semi").select(*place))
+            found.append(fresh.join(level.select("key", "span"), ["key", "span"], "left_semi").select(*where))
             fresh = fresh.join(level.select("key", "span"), ["key", "span"], "left_anti")
         for _, name in self.levels:
             level = self.spark.table(name).where("not dup")
@@ -416,6 +418,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 24, batches: int
     repeats, mixed = family.repeats, family.mixed
     family.close()
 
+    repeats = repeats.withColumn("key", F.lit(None).cast("long"))  # only mixed runs need theirs
     found = (repeats.withColumn("settled", F.lit(True)).unionByName(mixed.withColumn("settled", F.lit(False)))
              .groupBy("doc").agg(*[F.collect_list(F.when(F.col("settled") == v, F.struct("s", "n", "key"))).alias(c)
                                    for c, v in (("gone", True), ("open", False))]))
