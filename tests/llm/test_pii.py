@@ -100,3 +100,19 @@ def test_op5_over_the_table(spark):
     for r in got:
         assert (r.text, r.n_found) == (want[r.doc_id][0], sum(want[r.doc_id][1].values()))
     assert sum(r.n_found for r in got) > 0
+
+
+def test_phones_and_addresses_outside_the_assigned_ranges():
+    for t in ("+1 (017) 555-7713", "+1 (212) 055-0123", "+10175557713", "+1 017 5557713", "+1-017-55-57-713", "017-555-7713", "(117) 155 7713"):
+        new = done(t)
+        assert kinds(t) == {"phone": 1} and new != t and [c.isdigit() for c in new] == [c.isdigit() for c in t], (t, new)
+        assert kinds(new) == {"phone": 1}
+        d = "".join(c for c in new if c.isdigit())[-10:]
+        assert d[0] in "01" or d[3] in "01", (t, new)  # apart from the pseudonyms of assigned numbers
+    assert done("017-555-7713") in done("+1 017-555-7713") and done("+1 (017) 555-7713") == "+1 (" + done("017-555-7713")[:3] + ") " + done("017-555-7713")[4:]
+    seen = set()
+    for t in ("0.1.2.3", "127.0.0.0", "127.0.0.2", "127.9.8.7", "224.0.0.251", "255.255.255.255"):
+        new = done(t)
+        assert kinds(t) == {"ip": 1} == kinds(new) and int(new.split(".")[0]) in {0, 127, *range(224, 256)}, (t, new)
+        seen.add(new)
+    assert len(seen) == 6 and "127.0.0.1" not in seen

@@ -12,8 +12,10 @@ Permutation: E is a balanced Feistel network over [0, a*b), a*b >= n, with keyed
 functions, walked until it lands below n. The pseudonym is E^-1(E(x) + s mod n) with a keyed shift
 s != 0 mod n, a bijection without fixed points: no value stays as it was (if n > 1).
 
-Kinds: email (local part and host labels before the last two), phone (NANP or +country), card
-(first digit kept), iban (country kept), ssn, ip (unicast IPv4), date (1900-2099, same calendar
+Kinds: email (local part and host labels before the last two), phone (+country, +1 with ten digits
+in any grouping, or ten digits grouped as in North America; area codes and exchanges that begin with
+0 or 1 stay among such), card (first digit kept), iban (country kept), ssn, ip (IPv4 but 127.0.0.1;
+unicast stays unicast), date (1900-2099, same calendar
 day in any of the formats gives the same day), secret (access keys, and values after password,
 token, secret or api key; per character class, hex stays hex).
 
@@ -143,9 +145,13 @@ def phone(key: bytes, m: re.Match) -> str | None:
         return "+" + put_back(m[0][1:], d[:keep] + permuted(key, "phone", d[keep:], [DIGITS] * (len(d) - keep)), str.isdigit)
     lead, rest = d[:-10], d[-10:]
     first = DIGITS[2:]
-    if lead not in ("", "1") or len(rest) < 10 or rest[0] not in first or rest[3] not in first:
-        return None
-    out = permuted(key, "nanp", rest, [first, DIGITS, DIGITS, first, *[DIGITS] * 6])
+    if rest[0] in first and rest[3] in first:
+        out = permuted(key, "nanp", rest, [first, DIGITS, DIGITS, first, *[DIGITS] * 6])
+    else:  # not assigned, but written as a phone: permuted among the numbers of this sort
+        pairs = [a + b for a in DIGITS for b in DIGITS if a not in first or b not in first]
+        x = pairs.index(rest[0] + rest[3]) * 10**8 + int(rest[1:3] + rest[4:])
+        pair, x = divmod(Permutation(key, "nanp-other", len(pairs) * 10**8)(x), 10**8)
+        out = pairs[pair][0] + f"{x:08d}"[:2] + pairs[pair][1] + f"{x:08d}"[2:]
     return put_back(m[0], lead + out, str.isdigit)
 
 
@@ -161,10 +167,20 @@ def ssn(key: bytes, m: re.Match) -> str | None:
     return f"{a + 1 if a < 665 else a + 2:03d}-{g + 1:02d}-{s + 1:04d}"
 
 
+_LOCALHOST, _NOT_UNICAST = [127, 0, 0, 1], [0, 127, *range(224, 256)]
+
+
 def ip(key: bytes, m: re.Match) -> str | None:
     o = [int(x) for x in m[0].split(".")]
-    if max(o) > 255 or any(len(x) > 1 and x[0] == "0" for x in m[0].split(".")) or not 1 <= o[0] <= 223 or o[0] == 127:
+    if max(o) > 255 or any(len(x) > 1 and x[0] == "0" for x in m[0].split(".")) or o == _LOCALHOST:
         return None
+    if o[0] in _NOT_UNICAST:
+        # among the addresses of this sort; localhost's place, the same on every host, is left out
+        here = int.from_bytes(bytes(_LOCALHOST[1:]), "big") + (_NOT_UNICAST.index(127) << 24)
+        x = _NOT_UNICAST.index(o[0]) << 24 | o[1] << 16 | o[2] << 8 | o[3]
+        x = Permutation(key, "ip-other", (len(_NOT_UNICAST) << 24) - 1)(x - (x > here))
+        x += x >= here
+        return ".".join(map(str, (_NOT_UNICAST[x >> 24], x >> 16 & 255, x >> 8 & 255, x & 255)))
     first = o[0] - 1 if o[0] < 127 else o[0] - 2
     x = Permutation(key, "ip", 222 << 24)((first << 24) | o[1] << 16 | o[2] << 8 | o[3])
     first = x >> 24
@@ -241,7 +257,7 @@ _DETECTORS = [
     ("phone", DIGITS, re.compile(
         r"(?<![\w+])(?:\+1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
         r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\w)"
-        r"|(?<![\w+])\+1\d{10}(?!\w)"), phone),
+        r"|(?<![\w+])\+1(?:[ .\-]?\(?\d\)?){10}(?!\w)"), phone),
     ("card", DIGITS, re.compile(r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-]?\d)"), card),
 ]
 
