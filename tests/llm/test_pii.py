@@ -116,3 +116,23 @@ def test_phones_and_addresses_outside_the_assigned_ranges():
         assert kinds(t) == {"ip": 1} == kinds(new) and int(new.split(".")[0]) in {0, 127, *range(224, 256)}, (t, new)
         seen.add(new)
     assert len(seen) == 6 and "127.0.0.1" not in seen
+
+
+def test_values_beside_other_groups_are_found():
+    card, es = "4111 1111 1111 1111", "ES9121000418450200051332"
+    plain = done("4111111111111111")
+    for t, found in ((f"{card} 123", {"card": 1}), ("item 5 4111111111111111", {"card": 1}), ("97.51.17.173 4111111111111111", {"ip": 1, "card": 1}),
+                     (f"1 {card} 2 5500-0000-0000-0004 3", {"card": 2}), ("4111-1111-1111-1111-1234", {"card": 1}),
+                     (f"123 456 {card}", {"card": 1}), (f"+44 7946 0958 {card}", {"card": 1, "phone": 1}),
+                     (f"+44 20 7946 0958 {card}", {"card": 1, "phone": 1})):
+        assert kinds(t) == found, (t, kinds(t))
+        assert plain in done(t).replace(" ", "").replace("-", ""), (t, done(t))
+    assert done("97.51.17.173 4111111111111111") == f"{done('97.51.17.173')} {plain}"
+    for t in (f"{es} PAID", f"{es} EUR", f"{es} PAID BACK", f"AB12 {es}", f"REF1 AB12 CD34 {es} PAID"):
+        assert kinds(t) == {"iban": 1} and done(t) == t.replace(es, done(es)), (t, done(t))
+    assert kinds("+44 20 7946 0958 1234") == {"phone": 1} and done("+44 20 7946 0958 1234").endswith(" 1234")
+
+
+def test_long_runs_of_groups_take_linear_time():
+    for t in ("4 " * 50_000, "4444 " * 20_000, "AB12 " * 20_000, "+44 1234 5678 9012 3456 7890 " * 4_000):
+        assert len(done(t)) == len(t)

@@ -19,8 +19,10 @@ unicast stays unicast), date (1900-2099, same calendar
 day in any of the formats gives the same day), secret (access keys, and values after password,
 token, secret or api key; per character class, hex stays hex).
 
-Edge cases: null text stays null with no findings; empty and very long texts are read whole; equal
-findings that overlap give way to the earlier, then the longer; repeated rows and null ids keep
+Edge cases: null text stays null with no findings; empty and very long texts are read whole; where
+findings overlap, secrets and emails come first, then IBANs and cards of a usual form, then the
+earlier, then the longer; a match that is not valid is tried again without its last groups, and
+from its later ones; repeated rows and null ids keep
 their rows; all columns pass through, and count columns get a free name when theirs is taken; an
 empty table gives an empty result.
 """
@@ -128,21 +130,83 @@ def luhn_digit(payload: str) -> str:
     return str(-total % 10)
 
 
-def card(key: bytes, m: re.Match) -> str | None:
-    d = re.sub(r"\D", "", m[0])
-    if not 13 <= len(d) <= 19 or d[0] not in "23456" or luhn_digit(d[:-1]) != d[-1]:
-        return None
+def card(key: bytes, text: str) -> str:
+    d = re.sub(r"\D", "", text)
     body = d[0] + permuted(key, "card", d[1:-1], [DIGITS] * (len(d) - 2))
-    return put_back(m[0], body + luhn_digit(body), str.isdigit)
-
-
-def phone(key: bytes, m: re.Match) -> str | None:
-    d = re.sub(r"\D", "", m[0])
-    if m[0].startswith("+") and not m[0].startswith("+1"):
+    return put_back(text, body + luhn_digit(body), str.isdigit)
+
+
+def usual(d: str, sizes: tuple[int, ...]) -> bool:
+    """Whether an issuer gives out cards of this prefix and length, and prints them in these groups."""
+    if len(sizes) > 1 and sizes not in ((4, 6, 5), (4, 6, 4)) and (set(sizes[:-1]) != {4} or sizes[-1] > 4):
+        return False
+    a, b, c = int(d[0]), int(d[:2]), int(d[:4])
+    return len(d) in ((13, 16, 19) if a == 4 else (16,) if 51 <= b <= 55 or 2221 <= c <= 2720 else (15,) if b in (34, 37)
+                      else range(14, 20) if b in (30, 36, 38, 39) else range(16, 20) if b == 35 else range(13, 20) if a in (5, 6) else ())
+
+
+def cards(key: bytes, text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, str, bool]]:
+    """Valid ranges of each run of digit groups that begin and end with a group: first the usual
+    ones, then the longer, then the earlier. The last item says whether the range is a usual one."""
+    for m in pattern.finditer(text):
+        groups = [g.span() for g in re.finditer(r"\d+", m[0])]
+        if groups[-1][1] - groups[0][0] < 13:
+            continue
+        d = "".join(m[0][a:b] for a, b in groups)
+        # Luhn sums of the digits before a place, with the digits at even or at odd places doubled
+        before = [[0], [0]]
+        for i, c in enumerate(d):
+            for odd in (0, 1):
+                x = int(c) << (i % 2 == odd)
+                before[odd].append(before[odd][-1] + (x - 9 if x > 9 else x))
+        starts = [0]
+        for a, b in groups:
+            starts.append(starts[-1] + b - a)
+        # a group that runs on into a word with digits ends no number
+        n, found = len(groups) - bool(re.compile(r"[^\W\d]\d").match(text, m.end())), []
+        for i in range(n):
+            if d[starts[i]] not in "23456":
+                continue
+            for j in range(i, n):
+                at, end = starts[i], starts[j + 1]
+                if end - at > 19:
+                    break
+                sums = before[end % 2]
+                if end - at >= 13 and (sums[end] - sums[at]) % 10 == 0:
+                    sizes = tuple(b - a for a, b in groups[i:j + 1])
+                    found.append((not usual(d[at:end], sizes), at - end, i, j))
+        taken = bytearray(len(groups))
+        for other, _, i, j in sorted(found):
+            if not any(taken[i:j + 1]):
+                taken[i:j + 1] = b"\1" * (j + 1 - i)
+                s, e = m.start() + groups[i][0], m.start() + groups[j][1]
+                yield s, e, card(key, text[s:e]), not other
+
+
+def longest(act, border: re.Pattern, key: bytes, text: str, pattern: re.Pattern) -> Iterator[tuple[int, int, str, bool]]:
+    """Each match, or the longest part from its start to a border that is valid; after one that
+    isn't, the search goes on behind its first group."""
+    at = 0
+    while m := pattern.search(text, at):
+        ends = [m.start() + b.start() for b in border.finditer(m[0])] + [m.end()]
+        at = max(ends[0], m.start() + 1)
+        for e in reversed(ends):
+            new = act(key, text[m.start():e])
+            if new is not None:
+                yield m.start(), e, new, True
+                at = e
+                break
+
+
+def phone(key: bytes, text: str) -> str | None:
+    d = re.sub(r"\D", "", text)
+    if text.startswith("+") and not text.startswith("+1"):
         if not 8 <= len(d) <= 15:
             return None
         keep = min(2, len(d) - 6)
-        return "+" + put_back(m[0][1:], d[:keep] + permuted(key, "phone", d[keep:], [DIGITS] * (len(d) - keep)), str.isdigit)
+        return "+" + put_back(text[1:], d[:keep] + permuted(key, "phone", d[keep:], [DIGITS] * (len(d) - keep)), str.isdigit)
+    if len(d) < 10:
+        return None
     lead, rest = d[:-10], d[-10:]
     first = DIGITS[2:]
     if rest[0] in first and rest[3] in first:
@@ -152,7 +216,7 @@ def phone(key: bytes, m: re.Match) -> str | None:
         x = pairs.index(rest[0] + rest[3]) * 10**8 + int(rest[1:3] + rest[4:])
         pair, x = divmod(Permutation(key, "nanp-other", len(pairs) * 10**8)(x), 10**8)
         out = pairs[pair][0] + f"{x:08d}"[:2] + pairs[pair][1] + f"{x:08d}"[2:]
-    return put_back(m[0], lead + out, str.isdigit)
+    return put_back(text, lead + out, str.isdigit)
 
 
 def ssn(key: bytes, m: re.Match) -> str | None:
@@ -187,13 +251,13 @@ def ip(key: bytes, m: re.Match) -> str | None:
     return ".".join(map(str, (first + 1 if first < 126 else first + 2, x >> 16 & 255, x >> 8 & 255, x & 255)))
 
 
-def iban(key: bytes, m: re.Match) -> str | None:
-    v = re.sub(r"\s", "", m[0])
+def iban(key: bytes, text: str) -> str | None:
+    v = re.sub(r"\s", "", text)
     number = lambda s: int("".join(str(int(c, 36)) for c in s))
     if not 15 <= len(v) <= 34 or number(v[4:] + v[:4]) % 97 != 1:
         return None
     body = permuted(key, "iban", v[4:], [class_of(c) for c in v[4:]])
-    return put_back(m[0], f"{v[:2]}{98 - number(body + v[:2] + '00') % 97:02d}{body}", str.isalnum)
+    return put_back(text, f"{v[:2]}{98 - number(body + v[:2] + '00') % 97:02d}{body}", str.isalnum)
 
 
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
@@ -258,8 +322,12 @@ _DETECTORS = [
         r"(?<![\w+])(?:\+1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
         r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\w)"
         r"|(?<![\w+])\+1(?:[ .\-]?\(?\d\)?){10}(?!\w)"), phone),
-    ("card", DIGITS, re.compile(r"(?<![\w\-])\d(?:[ \-]?\d){12,18}(?![\w\-]?\d)"), card),
+    ("card", DIGITS, re.compile(r"(?<![\w\-])\d+(?:[ \-]\d+)*"), None),
 ]
+#: where a shorter part of a match may end
+_BORDERS = {"iban": re.compile(" "), "phone": re.compile(r"(?<=[\d)])(?=[ .\-(])")}
+#: kinds known by their context, then those with check digits (cards of usual form), then the rest
+_STEPS = (("secret", "email"), ("iban", "card"), ("ip", "date", "ssn", "phone", "card"))
 
 
 class _Date:
@@ -272,22 +340,38 @@ class _Date:
         return tuple(self.m[n] if self.m[n] is not None else self.m[f"{n}2"] for n in names)
 
 
+def candidates(kind: str, pattern: re.Pattern, act, text: str, key: bytes) -> Iterator[tuple[int, int, str, bool]]:
+    """(start, end, pseudonym, sure) of the valid values of a kind."""
+    if kind == "card":
+        yield from cards(key, text, pattern)
+    elif kind in _BORDERS:
+        yield from longest(act, _BORDERS[kind], key, text, pattern)
+    else:
+        for m in pattern.finditer(text):
+            new = date(key, _Date(m)) if kind == "date" else act(key, m)
+            if new is not None:
+                yield m.start(), m.end(), new, True
+
+
 def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
-    """[(start, end, kind, pseudonym)] in order, without overlaps."""
-    out = []
-    for kind, need, pattern, act in _DETECTORS:
-        if any(c in text for c in need):
-            for m in pattern.finditer(text):
-                new = date(key, _Date(m)) if kind == "date" else act(key, m)
-                if new is not None:
-                    out.append((m.start(), m.end(), kind, new))
-    out.sort(key=lambda x: (x[0], -x[1]))
-    kept, end = [], 0
-    for x in out:
-        if x[0] >= end:
-            kept.append(x)
-            end = x[1]
-    return kept
+    """[(start, end, kind, pseudonym)] in order, without overlaps. Each step reads what the steps
+    before it left, so that a value is not lost to a neighbour that a looser pattern draws in."""
+    kept = []
+    for step in _STEPS:
+        out = []
+        for kind, need, pattern, act in _DETECTORS:
+            if kind in step and any(c in text for c in need):
+                out += [(s, e, kind, new) for s, e, new, sure in candidates(kind, pattern, act, text, key) if sure or step is _STEPS[-1]]
+        out.sort(key=lambda x: (x[0], -x[1]))
+        end, parts, at = 0, [], 0
+        for x in out:
+            if x[0] >= end:
+                kept.append(x)
+                parts += [text[at:x[0]], "\0" * (x[1] - x[0])]
+                at = end = x[1]
+        if parts:
+            text = "".join([*parts, text[at:]])
+    return sorted(kept)
 
 
 def pseudonymized(text: str | None, key: bytes) -> tuple[str | None, dict[str, int]]:
