@@ -136,3 +136,22 @@ def test_values_beside_other_groups_are_found():
 def test_long_runs_of_groups_take_linear_time():
     for t in ("4 " * 50_000, "4444 " * 20_000, "AB12 " * 20_000, "+44 1234 5678 9012 3456 7890 " * 4_000):
         assert len(done(t)) == len(t)
+
+
+def test_digits_of_other_scripts():
+    scripts = ["٠١٢٣٤٥٦٧٨٩", "०१२३४५६७८९", "０１２３４５６７８９", "𝟎𝟏𝟐𝟑𝟒𝟓𝟔𝟕𝟖𝟗"]
+    back = {ord(c): str(i) for s in scripts for i, c in enumerate(s)}
+    assert kinds("+20 ١٢٣ ٤٥٦٧ ٨٩") == {"phone": 1}
+    for kind, values in VALID.items():
+        for v in values:
+            for script in scripts:
+                written = v.translate({48 + i: c for i, c in enumerate(script)})
+                mixed = "".join(script[int(c)] if c.isdigit() and n % 2 else c for n, c in enumerate(v))
+                for t in (written, mixed):
+                    new = done(t)
+                    assert kinds(t) == {kind: 1} and new.translate(back) == done(v), (t, new)
+                if kind in ("phone", "card", "ssn", "ip", "date"):
+                    assert {c for c in done(written) if c.isdecimal()} <= set(script), (written, done(written))
+                if kind in ("phone", "card", "ssn", "date"):
+                    assert [c in script for c in done(mixed)] == [c in script for c in mixed], (mixed, done(mixed))
+    assert done("x² ٣ ½ Ⅳ") == "x² ٣ ½ Ⅳ"

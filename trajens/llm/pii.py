@@ -5,7 +5,7 @@ calendar, octet and area ranges). A validated value is a list of positions, each
 alphabet, and so a number below the product of the alphabet sizes. A keyed permutation of that range gives
 the pseudonym, written back in the same positions: same length, same punctuation, check digits
 recomputed. The same value gives the same pseudonym in every document and every spelling
-(separators are not part of the value), so links between documents stay; without the key nothing
+(separators and the script of the digits are not part of the value), so links between documents stay; without the key nothing
 leads back.
 
 Permutation: E is a balanced Feistel network over [0, a*b), a*b >= n, with keyed BLAKE2b round
@@ -33,6 +33,7 @@ import calendar
 import datetime as dt
 import hashlib
 import re
+import unicodedata
 from collections.abc import Iterator
 from math import isqrt, prod
 
@@ -353,9 +354,30 @@ def candidates(kind: str, pattern: re.Pattern, act, text: str, key: bytes) -> It
                 yield m.start(), m.end(), new, True
 
 
+_OTHER_DIGIT = re.compile(r"[^\D0-9]")
+
+
+def in_digits_of(new: str, old: str) -> str:
+    """``new`` with its n-th digit written in the digit set of the n-th (or the last) digit of ``old``."""
+    zeros = [ord(c) - unicodedata.decimal(c) for c in old if c.isdecimal()]
+    if not zeros:
+        return new
+    n, out = 0, []
+    for c in new:
+        if c.isdecimal():
+            c = chr(zeros[min(n, len(zeros) - 1)] + int(c))
+            n += 1
+        out.append(c)
+    return "".join(out)
+
+
 def findings(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """[(start, end, kind, pseudonym)] in order, without overlaps. Each step reads what the steps
-    before it left, so that a value is not lost to a neighbour that a looser pattern draws in."""
+    before it left, so that a value is not lost to a neighbour that a looser pattern draws in.
+    Decimal digits of any script are read by their value and written back in their script."""
+    if not text.isascii() and _OTHER_DIGIT.search(text):
+        plain = _OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+        return [(s, e, kind, in_digits_of(new, text[s:e])) for s, e, kind, new in findings(plain, key)]
     kept = []
     for step in _STEPS:
         out = []
