@@ -155,3 +155,22 @@ def test_digits_of_other_scripts():
                 if kind in ("phone", "card", "ssn", "date"):
                     assert [c in script for c in done(mixed)] == [c in script for c in mixed], (mixed, done(mixed))
     assert done("x² ٣ ½ Ⅳ") == "x² ٣ ½ Ⅳ"
+
+
+def test_written_forms_of_dates_and_ssns():
+    same = ["2021-03-14", "2021-3-14", "14.3.2021", "3/14/2021", "14/3/2021", "14 March 2021", "March 14, 2021", "14th of march 2021",
+            "Mar. 14th, 2021", "14-MAR-2021", "14 Mar 2021"]
+    want = done("2021-03-14").split("-")
+    names = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
+    for t in same:
+        new = done(f"on {t}.")
+        assert kinds(f"on {t}.") == {"date": 1} and new[:3] == "on " and new[-1] == ".", (t, new)
+        words = [w for w in "".join(c if c.isalnum() else " " for c in new[3:]).split() if w != "of"]
+        got = [f"{names.index(w[:3].lower()) + 1}" if w[:3].lower() in names else w.rstrip("thsndr") for w in words]
+        assert sorted(map(int, got)) == sorted(map(int, want)), (t, new)
+        assert want[0] in got
+    assert done("14 March 2021").split()[1].istitle() and done("14-MAR-2021")[-8:-5].isupper()
+    assert kinds("born 1984-2-9") == {"date": 1} and kinds("Sept 5 2001, May 5, 2001") == {"date": 2}
+    assert done("123 45 6789") == done("123-45-6789").replace("-", " ")
+    for t in ("30 February 2021", "2021-2-30", "March 2021", "in 2021", "1.2.3", "13/13/2021", "000 12 3456", "14 Marchand 2021"):
+        assert done(t) == t, (t, done(t))

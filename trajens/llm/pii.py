@@ -15,8 +15,9 @@ s != 0 mod n, a bijection without fixed points: no value stays as it was (if n >
 Kinds: email (local part and host labels before the last two), phone (+country, +1 with ten digits
 in any grouping, or ten digits grouped as in North America; area codes and exchanges that begin with
 0 or 1 stay among such), card (first digit kept), iban (country kept), ssn, ip (IPv4 but 127.0.0.1;
-unicast stays unicast), date (1900-2099, same calendar
-day in any of the formats gives the same day), secret (access keys, and values after password,
+unicast stays unicast), date (1900-2099 in digits or with an English month name, same calendar
+day in any of the formats gives the same day; its length may change with a month name or a number
+without leading zero), secret (access keys, and values after password,
 token, secret or api key; per character class, hex stays hex).
 
 Edge cases: null text stays null with no findings; empty and very long texts are read whole; where
@@ -221,7 +222,7 @@ def phone(key: bytes, text: str) -> str | None:
 
 
 def ssn(key: bytes, m: re.Match) -> str | None:
-    area, group, serial = map(int, m.groups())
+    area, group, serial = map(int, m.group(1, 3, 4))
     if area in (0, 666) or area >= 900 or not group or not serial:
         return None
     n = 898 * 99 * 9999
@@ -229,7 +230,7 @@ def ssn(key: bytes, m: re.Match) -> str | None:
     x = Permutation(key, "ssn", n)((a * 99 + group - 1) * 9999 + serial - 1)
     x, s = divmod(x, 9999)
     a, g = divmod(x, 99)
-    return f"{a + 1 if a < 665 else a + 2:03d}-{g + 1:02d}-{s + 1:04d}"
+    return f"{a + 1 if a < 665 else a + 2:03d}{m[2]}{g + 1:02d}{m[2]}{s + 1:04d}"
 
 
 _LOCALHOST, _NOT_UNICAST = [127, 0, 0, 1], [0, 127, *range(224, 256)]
@@ -264,6 +265,12 @@ def iban(key: bytes, text: str) -> str | None:
 _DAY0, _DAYS = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal() - dt.date(1900, 1, 1).toordinal()
 
 
+def day(key: bytes, y: int, mo: int, d: int) -> dt.date | None:
+    if not (1900 <= y < 2100 and 1 <= mo <= 12 and 1 <= d <= calendar.monthrange(y, mo)[1]):
+        return None
+    return dt.date.fromordinal(_DAY0 + Permutation(key, "date", _DAYS)(dt.date(y, mo, d).toordinal() - _DAY0))
+
+
 def date(key: bytes, m: re.Match) -> str | None:
     a, sep, b, c = m.group("a", "sep", "b", "c")
     if len(a) == 4:
@@ -272,13 +279,45 @@ def date(key: bytes, m: re.Match) -> str | None:
         # dots and dashes: day first; slashes: month first unless the first number can't be a month
         y, form = int(c), "dmy" if sep != "/" or int(a) > 12 else "mdy"
         d, mo = (int(a), int(b)) if form == "dmy" else (int(b), int(a))
-    if not (1900 <= y < 2100 and 1 <= mo <= 12 and 1 <= d <= calendar.monthrange(y, mo)[1]):
+    t = day(key, y, mo, d)
+    if t is None:
         return None
-    t = dt.date.fromordinal(_DAY0 + Permutation(key, "date", _DAYS)(dt.date(y, mo, d).toordinal() - _DAY0))
-    parts = {"ymd": (f"{t.year:04d}", f"{t.month:02d}", f"{t.day:02d}"),
-             "dmy": (f"{t.day:02d}", f"{t.month:02d}", f"{t.year:04d}"),
-             "mdy": (f"{t.month:02d}", f"{t.day:02d}", f"{t.year:04d}")}[form]
-    return sep.join(parts)
+    # written without leading zeros if it has a single digit
+    year, month, dom = f"{t.year:04d}", str(t.month), str(t.day)
+    if min(len(a), len(b), len(c)) > 1:
+        month, dom = month.zfill(2), dom.zfill(2)
+    return sep.join({"ymd": (year, month, dom), "dmy": (dom, month, year), "mdy": (month, dom, year)}[form])
+
+
+_MONTHS = [x.lower() for x in ("January", "February", "March", "April", "May", "June", "July", "August", "September",
+                               "October", "November", "December")]
+_MONTH = "|".join(f"{x}|{x[:3]}" for x in _MONTHS) + "|sept"
+#: a date with the month's English name, up to the end of its year
+_NAMED = re.compile(rf"(?<!\w)(?:(?P<d>\d{{1,2}})(?P<th>st|nd|rd|th)?(?: of |\. |[ \-])(?P<mo>{_MONTH})\.?(?:,? |-)"
+                    rf"|(?P<mo2>{_MONTH})\.?[ \-](?P<d2>\d{{1,2}})(?P<th2>st|nd|rd|th)?(?:,? |-))(?P<y>\d{{4}})\Z", re.I | re.A)
+
+
+def named_dates(key: bytes, text: str, years: re.Pattern) -> Iterator[tuple[int, int, str, bool]]:
+    for at in years.finditer(text):
+        m = _NAMED.search(text, max(0, at.start() - 24), at.end())
+        if m is None:
+            continue
+        mo, d, th = (n if m[n] is not None else f"{n}2" for n in ("mo", "d", "th"))
+        t = day(key, int(m["y"]), [x[:3] for x in _MONTHS].index(m[mo][:3].lower()) + 1, int(m[d]))
+        if t is None:
+            continue
+        name = _MONTHS[t.month - 1]
+        name = name[:3] if len(m[mo]) < 5 and m[mo].lower() not in _MONTHS or text[m.end(mo)] == "." else name
+        ordinal = "th" if 11 <= t.day <= 13 else {1: "st", 2: "nd", 3: "rd"}.get(t.day % 10, "th")
+        new = {mo: name.upper() if m[mo].isupper() else name.title() if m[mo][0].isupper() else name,
+               d: f"{t.day:02d}" if m[d][0] == "0" else str(t.day), "y": str(t.year)}
+        if m[th]:
+            new[th] = ordinal.upper() if m[th].isupper() else ordinal
+        out, end = [], m.start()
+        for n in sorted(new, key=m.start):
+            out += [text[end:m.start(n)], new[n]]
+            end = m.end(n)
+        yield m.start(), m.end(), "".join(out), True
 
 
 def email(key: bytes, m: re.Match) -> str | None:
@@ -316,9 +355,10 @@ _DETECTORS = [
     ("iban", DIGITS, re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"), iban),
     ("ip", ".", re.compile(r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\.?\d)"), ip),
     ("date", DIGITS, re.compile(
-        r"(?<![\d\-/.])(?:(?P<a>\d{4})(?P<sep>[\-/.])(?P<b>\d{2})(?P=sep)(?P<c>\d{2})"
-        r"|(?P<a2>\d{2})(?P<sep2>[\-/.])(?P<b2>\d{2})(?P=sep2)(?P<c2>\d{4}))(?![\d\-/]|\.\d)"), None),
-    ("ssn", "-", re.compile(r"(?<![\d\-])(\d{3})-(\d{2})-(\d{4})(?![\d\-])"), ssn),
+        r"(?<![\d\-/.])(?:(?P<a>\d{4})(?P<sep>[\-/.])(?P<b>\d{1,2})(?P=sep)(?P<c>\d{1,2})"
+        r"|(?P<a2>\d{1,2})(?P<sep2>[\-/.])(?P<b2>\d{1,2})(?P=sep2)(?P<c2>\d{4}))(?![\d\-/]|\.\d)"), None),
+    ("date", DIGITS, re.compile(r"(?<=[,.\- ])(?:19|20)\d\d(?![^\W_])"), named_dates),
+    ("ssn", DIGITS, re.compile(r"(?<![\d\-])(\d{3})([\- ])(\d{2})\2(\d{4})(?![\d\-])"), ssn),
     ("phone", DIGITS, re.compile(
         r"(?<![\w+])(?:\+1[ .\-]?)?(?:\(\d{3}\)[ .\-]?|\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\w)"
         r"|(?<![\w+])\+[2-9]\d{0,2}(?:[ .\-]?\(?\d{1,4}\)?){2,5}(?!\w)"
@@ -345,6 +385,8 @@ def candidates(kind: str, pattern: re.Pattern, act, text: str, key: bytes) -> It
     """(start, end, pseudonym, sure) of the valid values of a kind."""
     if kind == "card":
         yield from cards(key, text, pattern)
+    elif act is named_dates:
+        yield from named_dates(key, text, pattern)
     elif kind in _BORDERS:
         yield from longest(act, _BORDERS[kind], key, text, pattern)
     else:
