@@ -101,3 +101,17 @@ def test_op9_over_the_table(spark):
     docs = [(r.doc_id, brute_fp(r.text)) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
     got = sorted(((r.doc_id, int(r.fingerprint, 16), r.component_id) for r in simhash.op9_simhash(spark, sf).collect()), key=str)
     assert got == brute_components(docs)
+
+
+def test_one_row_stays_per_component_where_ids_repeat_or_lack(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join(rng.choice("ab cd ef gh ij kl mn op qr st".split()) for _ in range(60))
+    texts = [text() for _ in range(8)]
+    rows = [(5, texts[0]), (5, texts[1]), (3, texts[1]), (5, texts[2]), (5, texts[2]), (None, texts[2]), (None, texts[3]), (None, texts[3]),
+            (None, texts[4]), (7, texts[4].upper()), (8, texts[5]), (8, texts[6]), (8, texts[5]), (9, None), (None, "")]
+    df = spark.createDataFrame([(i, d, t) for i, (d, t) in enumerate(rows)], "_id int, doc_id long, text string")
+    out = simhash.keep_one_per_group(df, hot_bucket=2)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    want = [(5, texts[0]), (3, texts[1]), (5, texts[2]), (None, texts[3]), (7, texts[4].upper()), (8, texts[5]), (8, texts[6]), (9, None)]
+    assert got == sorted(want, key=str)

@@ -34,7 +34,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trajens.llm.common import free_name, store, table
@@ -63,17 +63,19 @@ def simhash64(text: bytes | None, shingle: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                 shingle: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. One row per input row."""
+                 shingle: int = 3, seed: int = 42, hashed: bool = False) -> DataFrame:
+    """(doc_id, fp): fp is the fingerprint as a signed long. One row per input row. If ``hashed``,
+    also text_hash, which with the id names a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([simhash64(t, shingle, seed) for t in b.column(1).to_pylist()],
                           dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
-                       F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, fp long")
+                       F.col(text_col).cast("binary").alias("text"),
+                       *([F.xxhash64(text_col).alias("text_hash")] if hashed else []))
+    return rows.mapInArrow(run, "doc_id long, fp long" + (", text_hash long" if hashed else ""))
 
 
 # --- planning on a bounded sample ------------------------------------------------------------
@@ -208,33 +210,47 @@ def links(fps: DataFrame, radius: int = 2, plan_rows: int = 4096, hot_bucket: in
     return out.unionByName(swapped) if swapped is not None else out
 
 
+def _rooted(rows: DataFrame, first: Column, radius: int, plan_rows: int, hot_bucket: int) -> DataFrame:
+    """(fp, first, root) per distinct fingerprint: ``first`` is taken over its rows, ``root`` is the
+    same throughout a component."""
+    fps = store(rows.groupBy("fp").agg(first.alias("first")), "simhash-fps")
+    cc = components(links(fps.select("fp"), radius, plan_rows, hot_bucket), "simhash-links")
+    return fps.join(cc, fps["fp"] == cc["node"], "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3,
                    radius: int = 2, seed: int = 42, plan_rows: int = 4096,
                    hot_bucket: int = 64) -> DataFrame:
     """(doc_id, fp, component_id) per input row; component_id is the smallest id reachable."""
     rows = store(fingerprints(docs, id_col, text_col, shingle, seed), "simhash-rows")
-    fps = store(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "simhash-fps")
-    cc = components(links(fps.select("fp"), radius, plan_rows, hot_bucket), "simhash-links")
-    rooted = fps.join(cc, fps["fp"] == cc["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    rooted = _rooted(rows, F.min("doc_id"), radius, plan_rows, hot_bucket)
+    smallest = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                       **options) -> DataFrame:
-    """Rows of ``docs`` whose id names their component; of repeated rows with one id, one stays
-    (smallest text hash). All columns are kept. Rows with a null id can't be named as the one
-    that stays: they are not compared and all stay."""
-    known, unknown = docs.where(F.col(id_col).isNotNull()), docs.where(F.col(id_col).isNull())
-    groups = simhash_groups(known, id_col, text_col, **options)
-    keep, nth = free_name(docs, "_keep"), free_name(docs, "_nth")
-    keepers = groups.where("doc_id = component_id").select(F.col("doc_id").alias(keep)).distinct()
-    kept = known.join(keepers, F.col(id_col).cast("long") == F.col(keep), "left_semi")
-    one = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col))
-    return (kept.withColumn(nth, F.row_number().over(one)).where(F.col(nth) == 1).drop(nth)
-            .unionByName(unknown))
+                       shingle: int = 3, radius: int = 2, seed: int = 42, plan_rows: int = 4096,
+                       hot_bucket: int = 64) -> DataFrame:
+    """One row of ``docs`` per component: the least in (id, text hash), null ids last. Id and text
+    hash together name a document, so different texts with one id go or stay each for itself; of
+    repeated rows with one id and text, one stays. All columns are kept."""
+    rows = store(fingerprints(docs, id_col, text_col, shingle, seed, hashed=True), "simhash-rows")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash")))
+    rooted = _rooted(rows, least, radius, plan_rows, hot_bucket)
+    keepers = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    own = {n: free_name(docs, f"_{n}") for n in ("none", "id", "hash")}
+    theirs = {n: free_name(docs, f"_keep_{n}") for n in own}
+    nth = free_name(docs, "_nth")
+    at = F.col(id_col).cast("long")
+    named = docs.withColumns({own["none"]: at.isNull(), own["id"]: F.coalesce(at, F.lit(0)), own["hash"]: F.xxhash64(text_col)})
+    # repeated rows are cut by a per-group limit before the exchange, which the join then shares
+    once = Window.partitionBy(*own.values()).orderBy(own["hash"])
+    single = named.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
+    keep = keepers.select(*[F.col("first")[n].alias(theirs[n]) for n in own])
+    met = [F.col(own[n]) == F.col(theirs[n]) for n in own]
+    return single.join(keep, met, "left_semi").drop(*own.values())
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
