@@ -94,3 +94,17 @@ def test_op4_over_the_table(spark):
     ids, x = np.array([i for i, _ in t]), np.array([v for _, v in t], float)
     want = brute(ids, x, [i for i in ids.tolist() if i % 20 == 0], 20)
     assert recall(rows_of(ann.op4_nearest(spark, sf).collect()), want) >= 0.9
+
+
+def test_copies_are_one_observation(spark):
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(60, 32))
+    # near most queries only copies of one vector; the rest of the neighbours lie in all directions
+    x = np.vstack([np.repeat(centres, 17, axis=0), rng.normal(size=(1500, 32))])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = rng.permutation(len(x))
+    want = brute(ids, x.astype(float), [i for i in ids.tolist() if i % 20 == 0], 20)
+    got = rows_of(ann.nearest(frame(spark, ids, x), F.col("vec_id") % 20 == 0, block=64).collect())
+    assert recall(got, want) >= 0.99
+    h = ann.vector_hash(np.array([[0.0, 1.0], [-0.0, 1.0], [1.0, 0.0], [1.0, 1.0]]))
+    assert h[0] == h[1] and len(set(h.tolist())) == 3

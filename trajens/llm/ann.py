@@ -9,8 +9,9 @@ and scores are inner products of the original vectors in double precision.
 
 The rest. Neighbours spread over many directions don't stay together on any curve. How many a query
 has missed is estimated from how often its neighbours were found (Chao's estimate from those seen
-on one curve only and on two). Where that is over ``missed`` of k, or fewer than k were found, the
-stated query is compared with every block of one ordering; only vectors that reach the
+on one curve only and on two). Copies of one vector share a key and are found together, so what
+counts is different vectors. Where the estimate is over ``missed`` of those found, or they are less
+than half of k, or fewer than k rows were found, the stated query is compared with every block of one ordering; only vectors that reach the
 k-th score it already has come back. These scans are exact.
 
 Copies. Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so further
@@ -102,6 +103,15 @@ def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: i
             yield i, ids[at], exact_scores(q[i], x[at])
 
 
+def vector_hash(x: np.ndarray) -> np.ndarray:
+    """64-bit hash of each row of doubles."""
+    h = np.full(len(x), 0x9E3779B97F4A7C15, np.uint64)
+    for column in np.ascontiguousarray(x + 0.0).view(np.uint64).T:
+        h = (h ^ column) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def _vectors(raw, dtype: str, dim: int) -> np.ndarray:
     return np.frombuffer(raw if isinstance(raw, bytes) else b"".join(raw), dtype).reshape(-1, dim).astype(np.float64)
 
@@ -213,20 +223,25 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 8,
                 got = [(np.full(len(i), qid[n]), i, s) for n, i, s in best_of(q, qid, x, ids, k)]
                 if got:
                     qs, i, s = (np.concatenate(c) for c in zip(*got))
-                    yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(i), pa.array(s), pa.array(np.full(len(qs), r["curve"], np.int32))],
-                                                     names=["query_id", "vec_id", "score", "curve"])
+                    by_id = np.argsort(ids)
+                    same = vector_hash(x)[by_id[np.searchsorted(ids, i, sorter=by_id)]]
+                    yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(i), pa.array(s), pa.array(np.full(len(qs), r["curve"], np.int32)), pa.array(same)],
+                                                     names=["query_id", "vec_id", "score", "curve", "same"])
 
     seen = asked.join(offered, ["curve", "no"]).select("curve", "qids", "qvecs", "ids", "vecs").mapInArrow(
-        rerank, out + ", curve int")
-    merged = seen.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.count_distinct("curve").alias("hits"))
+        rerank, out + ", curve int, same long")
+    # as bits, the curves on which a row was found; copies add up to those of their vector
+    merged = seen.groupBy("query_id", "vec_id").agg(
+        F.max("score").alias("score"), F.max("same").alias("same"), F.bit_or(F.expr("shiftleft(1L, curve)")).alias("on"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     top = store(merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "ann-found")
     once, twice = F.sum((F.col("hits") == 1).cast("int")), F.sum((F.col("hits") == 2).cast("int"))
     unseen = F.when(twice > 0, once * once / (2 * twice)).otherwise(once * (once - 1) / 2)
-    known = top.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), unseen.alias("unseen"), F.min("score").alias("kth"))
+    known = (top.groupBy("query_id", "same").agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or("on")).alias("hits"), F.min("score").alias("kth"))
+             .groupBy("query_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), unseen.alias("unseen"), F.min("kth").alias("kth")))
     queries = rows.where("is_query").select(F.col("id").alias("query_id"), "v")
     open_ = store(queries.join(known, "query_id", "left").where(
-        F.col("n").isNull() | (F.col("n") < k) | (F.col("unseen") > missed * k))
+        F.col("n").isNull() | (F.col("n") < k) | (2 * F.col("distinct") < k) | (F.col("unseen") > missed * F.col("distinct")))
         .select("query_id", "v", F.when(F.col("n") >= k, F.col("kth")).alias("kth")), "ann-open")
 
     # the stated queries that are left, in groups, against all blocks of the first ordering
