@@ -87,3 +87,31 @@ def test_op8_over_the_table(spark):
     assert len(got) == len(want)
     out = [r for r in got if r.held_out]
     assert sum(r.lang_pred == want[r.doc_id] for r in out) >= 0.95 * len(out)
+
+
+def test_half_and_half_texts_are_ambiguous_and_clean_ones_are_not(spark):
+    df = corpus(spark, 2000)
+    model = L.train(df)
+    clean = L.identify(df, model).collect()
+    assert sum(r.ambiguous for r in clean) <= 0.005 * len(clean)
+    rng, langs, half = np.random.default_rng(5), list(WORDS), []
+    for i in range(200):
+        a, b = rng.choice(4, 2, replace=False)
+        half.append((i, " ".join(w for x in (a, b) for w in rng.choice(WORDS[langs[x]].split(), 100))))
+    got = L.identify(spark.createDataFrame(half, "doc_id long, text string"), model).collect()
+    assert sum(r.ambiguous for r in got) >= 0.1 * len(got)
+
+
+def test_doubt_keeps_to_the_stated_rate():
+    at = lambda g: int((np.log2(g) - L._LEAST_GAP) * L._GAP_BINS)
+    counts = {at(0.01): 1, at(0.1): 4, at(8.0): 995}
+    assert L.doubt_of(counts, 0.0) <= 0.01 < L.doubt_of(counts, 0.001) <= 0.1 < L.doubt_of(counts, 0.005) <= 0.8
+    assert L.doubt_of({}, 0.001) is None and L.doubt_of({0: 10}, 0.001) == 0.0
+
+
+def test_copies_of_a_text_are_sampled_each_for_itself(spark):
+    df = spark.range(9000).selectExpr("'en' as lang", "cast(if(id % 3 = 0, 'one text', concat('text ', id)) as binary) as text", "id")
+    for seed_rows in (300, 900, 3000):
+        got = L.check_sample(df, seed_rows, 9000)
+        copies = got.where("cast(text as string) = 'one text'").count()
+        assert 0.8 * seed_rows <= got.count() <= 1.2 * seed_rows and 0.2 * seed_rows <= copies <= 0.5 * seed_rows

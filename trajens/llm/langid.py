@@ -10,7 +10,9 @@ Decoding is loss weighted: bit j counts for language l by the share of l's train
 classifier j gets l's bit right, measured on a sample of about ``check_rows`` training texts
 (weights only). Distance of l is the weighted mean logistic loss between the margins and l's
 codeword; the nearest codeword wins. ``score`` is the softmin share of the winner, and a text is
-``ambiguous`` when the runner-up is within ``doubt`` of it.
+``ambiguous`` when the runner-up is within ``doubt`` of it. Unless stated, doubt is set on the same
+sample: at most a share ``false_rejections`` of its rightly decoded texts have a smaller gap to the
+runner-up, and it is at most a tenth of their median gap (beyond that one language prevails).
 
 Edge cases: null text or text without a letter is ``und`` with score 0; very long texts are
 read whole, in bounded slices; ties between languages go to the first in code-point order; training
@@ -132,9 +134,34 @@ def decode(f: np.ndarray, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndar
     best = dist.argmin(axis=1)
     p = np.exp(-(dist - dist.min(axis=1, keepdims=True)) * model.scale)
     score = 1 / p.sum(axis=1)
-    near = np.sort(dist, axis=1)
-    gap = near[:, 1] - near[:, 0] if dist.shape[1] > 1 else np.full(len(f), np.inf)
-    return best, score, gap < model.doubt
+    return best, score, gaps(f, model) < model.doubt
+
+
+def gaps(f: np.ndarray, model: Model) -> np.ndarray:
+    """How far the runner-up is behind, per row of margins."""
+    if len(model.langs) < 2:
+        return np.full(len(f), np.inf)
+    loss = np.logaddexp(0, -model.scale * f[:, None, :] * model.code[None])
+    near = np.sort((loss * model.trust[None]).sum(axis=2), axis=1)
+    return near[:, 1] - near[:, 0]
+
+
+#: gaps are counted in bins of a 32nd of a power of two, from 2^-30
+_GAP_BINS, _LEAST_GAP = 32, -30
+
+
+def doubt_of(counts: dict[int, int], false_rejections: float) -> float | None:
+    """Largest doubt (a lower end of a bin) of the stated rate, from right decodings per gap bin."""
+    total, below, most, median = sum(counts.values()), 0, None, None
+    end = lambda b: 2.0 ** (b / _GAP_BINS + _LEAST_GAP)
+    for b in sorted(counts):
+        if most is None and below + counts[b] > false_rejections * total:
+            most = end(b) if b > 0 else 0.0
+        below += counts[b]
+        if 2 * below >= total:
+            median = end(b)
+            break
+    return None if median is None else min(most, 0.1 * median)
 
 
 def held_out(id_col: str):
@@ -142,11 +169,12 @@ def held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          bins: int = 1 << 14, check_rows: int = 4000, scale: float = 4.0, doubt: float = 0.002) -> Model:
-    """Fit on the rows that are not held out and have a language; reads text and language only.
-    ``bins``: a power of two."""
+          bins: int = 1 << 14, check_rows: int = 4000, scale: float = 4.0, doubt: float | None = None, false_rejections: float = 0.001) -> Model:
+    """Fit on the rows that are not held out and have a language; reads id, text and language only.
+    ``bins``: a power of two. ``doubt``: set on the check sample if None."""
     rows = (docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text")))
+            .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"),
+                    F.col(id_col).alias("id")))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -170,19 +198,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                               pa.array(c[at])], names=["lang", "bin", "n"])
 
     # one row per language and bin: languages x bins at most
-    counted = rows.mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n")).collect()
+    counted = rows.drop("id").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n")).collect()
     counts: dict[str, np.ndarray] = {}
     n_texts = sum(n for _, b, n in counted if b < 0)
     for l, b, n in counted:
         if b < 0:
             continue
         counts.setdefault(l, np.zeros(bins))[b] = n
-    model = fit(counts, bins, scale, doubt)
+    model = fit(counts, bins, scale, Model.doubt if doubt is None else doubt)
     if len(model.langs) < 2:
         return model
-    # bounded sample of training texts, for the weights of bits: those whose hash falls in a share
-    # that gives about check_rows of them; read where they lie
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < F.lit(int(min(1.0, check_rows / max(1, n_texts)) * (1 << 30))))
+    sample = check_sample(rows, check_rows, n_texts)
     index, signs = {l: i for i, l in enumerate(model.langs)}, model.code
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,9 +228,29 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     for l, j, ok, n in hits:
         acc[l, j] = (ok + 1) / (n + 2)
     model.trust = acc / acc.sum(axis=1, keepdims=True)
+    if doubt is None:
+        def gap_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                f = margins(b.column(1).to_pylist(), model)
+                right = decode(f, model)[0] == np.array([index[l] for l in b.column(0).to_pylist()], np.int64)
+                at = np.floor((np.log2(np.maximum(gaps(f, model)[right], 2.0 ** _LEAST_GAP)) - _LEAST_GAP) * _GAP_BINS)
+                at, n = np.unique(at.astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n, pa.int64())], names=["bin", "n"])
+
+        # a number per bin comes back, not the texts' gaps
+        told = sample.mapInArrow(gap_bins, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).collect()
+        set_to = doubt_of({r.bin: r.n for r in told}, false_rejections)
+        model.doubt = model.doubt if set_to is None else set_to
     return model
 
 
+def check_sample(rows: DataFrame, check_rows: int, n_texts: int) -> DataFrame:
+    """(lang, text) of about check_rows training rows: those whose hash falls in a share that gives
+    as many, read where they lie. The hash is of id and text, so copies are drawn each for itself."""
+    share = int(min(1.0, check_rows / max(1, n_texts)) * (1 << 30))
+    return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(share)).drop("id")
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score, ambiguous), one row per input row."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"),
