@@ -245,12 +245,15 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nth = free_name(docs, "_nth")
     at = F.col(id_col).cast("long")
     named = docs.withColumns({own["none"]: at.isNull(), own["id"]: F.coalesce(at, F.lit(0)), own["hash"]: F.xxhash64(text_col)})
-    # repeated rows are cut by a per-group limit before the exchange, which the join then shares
     once = Window.partitionBy(*own.values()).orderBy(own["hash"])
-    single = named.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
+    single = lambda d: d.withColumn(nth, F.row_number().over(once)).where(F.col(nth) == 1).drop(nth)
     keep = keepers.select(*[F.col("first")[n].alias(theirs[n]) for n in own])
     met = [F.col(own[n]) == F.col(theirs[n]) for n in own]
-    return single.join(keep, met, "left_semi").drop(*own.values())
+    known, unknown = named.where(F.col(id_col).isNotNull()), named.where(F.col(id_col).isNull())
+    # join and window share one exchange and one sort; rows without an id may be many copies of one
+    # text: they are cut by a per-group limit before their exchange
+    return (single(known.join(keep, met, "left_semi")).unionByName(single(unknown).join(keep, met, "left_semi"))
+            .drop(*own.values()))
 
 
 def op9_simhash(spark, sf_dir: str) -> DataFrame:
