@@ -8,6 +8,7 @@ from trajens.llm.mixing import op2_mixing
 from trajens.llm.packing import op3_packing
 from trajens.llm.pii import op5_pii
 from trajens.llm.quality import op7_quality
+from trajens.llm.runs import op11_periodic_runs
 from trajens.llm.sharding import op6_sharding
 from trajens.llm.simhash import op9_simhash
 from trajens.llm.substrings import op1_suffix_dedup
@@ -24,5 +25,6 @@ QUERIES = {
     "op8_langid": op8_langid,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 ORACLE: dict[str, str] = {}
