@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from trajens.llm.ann import op4_nearest
+from trajens.llm.audit import OP12_SQL, op12_filter_audit
 from trajens.llm.langid import op8_langid
 from trajens.llm.mixing import op2_mixing
 from trajens.llm.packing import op3_packing
@@ -26,5 +27,6 @@ QUERIES = {
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_filter_audit": op12_filter_audit,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op12_filter_audit": OP12_SQL}
