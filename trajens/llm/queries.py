@@ -10,6 +10,7 @@ from trajens.llm.packing import op3_packing
 from trajens.llm.pii import op5_pii
 from trajens.llm.quality import op7_quality
 from trajens.llm.runs import op11_periodic_runs
+from trajens.llm.secretscan import op13_secrets
 from trajens.llm.sharding import op6_sharding
 from trajens.llm.simhash import op9_simhash
 from trajens.llm.substrings import op1_suffix_dedup
@@ -28,5 +29,6 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_filter_audit": op12_filter_audit,
+    "op13_secrets": op13_secrets,
 }
 ORACLE: dict[str, str] = {"op12_filter_audit": OP12_SQL}
