@@ -94,6 +94,28 @@ def beta_cdf(x, a, b) -> Column:
     return _beta_udf(x, a, b)
 
 
+def beta_steps(share, before, last, size, levels, tail: float):
+    """Harrell–Davis factors of positions: I_c(a, b) for c = ``share`` and, per level p, a = size * p,
+    b = size * (1-p), and whether c is the first share that counts whole (I = 1). Rows x levels.
+
+    A beta(a, b) variable with mean p is within sqrt(T / (2 (a+b+1))) of p but for a probability of
+    2 exp(-T) (it is sub-Gaussian with variance factor 1 / (4 (a+b+1))): shares further below give 0,
+    shares further above count whole. Between, Chernoff's bound exp(-(a+b) KL(p, c)) on the smaller
+    tail settles most of the others; the continued fraction is taken only where neither does."""
+    c = np.where(last, 1.0, np.minimum(share, 1.0))[:, None]
+    p, n = np.asarray(levels)[None, :], size[:, None]
+    with np.errstate(all="ignore"):
+        t = np.sqrt((tail + 0.7) / (2.0 * (n + 1.0)))
+        whole = (c >= 1.0) | (c - p > t)
+        first = whole & ~((before[:, None] - 1e-12 >= 1.0) | (before[:, None] - 1e-12 - p > t))
+        far = n * (p * np.log(c / p) + (1.0 - p) * np.log1p((p - c) / (1.0 - p))) < -tail
+    value = np.where(c > p, 1.0, 0.0)
+    row, col = np.nonzero(~whole & (c > 0.0) & (p - c <= t) & ~far)
+    value[whole] = 0.0
+    value[row, col] = regularized_beta(c[row, 0], size[row] * p[0, col], size[row] * (1.0 - p[0, col]))
+    return value, first
+
+
 def beta_cdf_jvm(x: Column, a: Column, b: Column) -> Column:
     """I_x(a, b) through commons-math3 ``Beta.regularizedBeta``; callers must
     keep NULLs away (``reflect`` fails on NULL arguments)."""

@@ -68,6 +68,10 @@ class Late:
     expand: Callable[[Column, Column], Column]
 
 
+def shuffle_partitions(spark) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def large_groups(rows: DataFrame, most: int) -> DataFrame | None:
     """Stored table of the groups ``_g`` with more than ``most`` rows, None if there are none."""
     big = materialize(rows.groupBy("_g").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > most), "large-groups")
@@ -191,7 +195,9 @@ def positions(df: DataFrame, keys, x: str, weight: str | None = None, most: int
 
     big = large_groups(rows.select("_g"), most)
     small = rows if big is None else rows.join(big, "_g", "left_anti")
-    pos = _whole(multiplied(small.repartition("_g")), group)
+    # rows that multiply are dealt into all shuffle partitions: their size before says little
+    dealt = small.repartition(shuffle_partitions(df.sparkSession), "_g") if late else small.repartition("_g")
+    pos = _whole(multiplied(dealt), group)
     if big is not None:
         hot = rows.join(big, "_g", "left_semi")
         pos = pos.unionByName(_chunked(multiplied(hot), group, most, hot.select("_g", "_x").distinct()))
@@ -213,22 +219,24 @@ def levels_array(levels) -> Column:
     return F.array(*[F.struct(F.lit(float(p)).alias("p"), F.lit(label(p)).alias("q")) for p in levels])
 
 
+def type7(p: Column) -> Column:
+    """Type-7 quantile at level ``p`` at the position that answers it: position ``h = (n-1)p``, between
+    this value and the next one."""
+    h = p * (F.col("_n") - 1).cast("double")
+    lo, hi = F.floor(h), F.ceil(h)
+    # the upper neighbour (rank ceil(h) + 1) is this value too unless it lies past the last of them
+    own = (lo == hi) | (hi < F.col("_rank")) | (F.col("_x") == F.col("_nx"))
+    return F.when(own, F.col("_x")).otherwise((hi - h) * F.col("_x") + (h - lo) * F.col("_nx"))
+
+
 def ranked_hits(levels) -> Column:
     """Of a position, the levels it answers (type 7, same arithmetic as Spark's ``percentile``), as
-    structs of level, label and value: position ``h = (n-1)p``; the value that holds rank
-    ``floor(h)+1`` answers level p from itself and the next one."""
+    structs of level, label and value: the value that holds rank ``floor((n-1)p)+1`` answers p."""
     n1 = (F.col("_n") - 1).cast("double")
     hits = F.filter(levels_array(levels), lambda e: (F.floor(e["p"] * n1) < F.col("_rank"))
                     & (F.floor(e["p"] * n1) >= F.col("_rank") - F.col("_k")))
 
-    def answer(e: Column) -> Column:
-        h = e["p"] * n1
-        lo, hi = F.floor(h), F.ceil(h)
-        # the upper neighbour (rank ceil(h) + 1) is this value too unless it lies past the last of them
-        own = (lo == hi) | (hi < F.col("_rank")) | (F.col("_x") == F.col("_nx"))
-        return F.when(own, F.col("_x")).otherwise((hi - h) * F.col("_x") + (h - lo) * F.col("_nx"))
-
-    return F.transform(hits, lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), answer(e).alias("value")))
+    return F.transform(hits, lambda e: F.struct(e["p"].alias("p"), e["q"].alias("q"), type7(e["p"]).alias("value")))
 
 
 def ranked_quantiles(df: DataFrame, keys, value: str, levels=QUANTILE_LEVELS,

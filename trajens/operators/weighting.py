@@ -20,13 +20,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
-from trajens.functions.beta import beta_cdf, beta_cdf_jvm
+from trajens.functions.beta import beta_cdf_jvm, beta_steps
 from trajens.functions.dates import weeks_between
-from trajens.functions.quantiles import QUANTILE_LEVELS
-from trajens.operators.ranked import MOST, Late, levels_array, positions, ranked_hits
+from trajens.functions.quantiles import QUANTILE_LEVELS, label
+from trajens.operators.ranked import MOST, Late, levels_array, positions, ranked_hits, shuffle_partitions, type7
 from trajens.session import materialize
 
 TRAJ = ["location", "target_variable", "model", "sample", "scenario_id"]
@@ -166,7 +169,9 @@ def expanding_weights(results: DataFrame, min_horizon: int | None = None,
 
     The rows with their scores are stored once; the totals of a series and week come as one array over
     the forecast dates, joined on (series, week), and only then are the rows copied per date."""
-    rows = materialize(_with_scores(results, min_weeks, mae), "scored-rows")
+    # dealt into all shuffle partitions: each row becomes one per date when it is read again
+    scored = _with_scores(results, min_weeks, mae).repartition(shuffle_partitions(results.sparkSession), *WEEK_KEYS)
+    rows = materialize(scored, "scored-rows")
     kept = lambda e: F.lit(True) if min_horizon is None else F.col("target_end_date") >= F.date_add(e["f"], 7 * min_horizon)
     sums = (rows.select(*WEEK_KEYS, F.explode(F.filter("_by", kept)).alias("e"))
             .groupBy(*WEEK_KEYS, "e.f").agg(F.coalesce(F.sum("e.inv_mae"), F.lit(0.0)).alias("s"))
@@ -215,25 +220,68 @@ def _weighted_hits(levels) -> Column:
     return F.when(ok, F.flatten(F.transform(facts, of))).when(last, nothing).otherwise(none)
 
 
-def _beta(c: Column, a: Column, b: Column, jvm_beta: bool) -> Column:
+def _beta(c: Column, a: Column, b: Column) -> Column:
     """I_c(a, b) where c isn't NULL, without the call where Chernoff's bound settles it: the smaller
     tail is at most exp(-(a+b) KL(p, c))."""
     n = a + b
     p = a / n
     far = n * (p * F.log(c / p) + (1.0 - p) * F.log((1.0 - c) / (1.0 - p))) < -_TAIL
     settled = F.when(c <= 0, 0.0).when(c >= 1, 1.0).when(far, F.when(c > p, 1.0).otherwise(0.0))
-    open_ = c.isNotNull() & settled.isNull()
-    exact = F.when(open_, beta_cdf_jvm(c, a, b)) if jvm_beta else beta_cdf(F.when(open_, c), a, b)
-    return F.coalesce(settled, exact)
+    return F.coalesce(settled, F.when(c.isNotNull() & settled.isNull(), beta_cdf_jvm(c, a, b)))
+
+
+def _steps(levels) -> Column:
+    """Of a position, one array: per level what its step adds, then per level the value from which on
+    all steps count whole (infinite where that isn't this position's)."""
+    levels = [float(p) for p in levels]
+
+    @arrow_udf("array<double>")
+    def steps(x: pa.Array, nx: pa.Array, share: pa.Array, before: pa.Array, size: pa.Array) -> pa.Array:
+        x, nx, share, before, size = (a.to_numpy(zero_copy_only=False) for a in (x, nx, share, before, size))
+        last = np.isnan(nx)  # NULL: there is no next value
+        value, first = beta_steps(share, before, last, size, levels, _TAIL)
+        out = np.concatenate([value * np.where(last, 0.0, nx - x)[:, None], np.where(first, x[:, None], np.inf)], axis=1)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * out.shape[1]), pa.array(out.ravel()))
+
+    ok = (F.col("_bad") == 0) & (F.col("_sw") > 0)
+    size = F.when(ok, F.col("_sw") * F.col("_sw") / F.col("_sw2") + 1.0).otherwise(2.0)
+    share = lambda c: F.when(ok, F.col(c) / F.col("_sw")).otherwise(0.0)
+    return steps("_x", "_nx", share("_cw"), share("_pw"), size)
+
+
+def _in_batches(pos: DataFrame, group, levels, kinds) -> DataFrame:
+    """group, ``_v``: array of (kind, p, q, value). One row per position through Arrow, summed per
+    group by plain aggregates."""
+    m, aggs, made = len(levels), [], []
+    if "weighted" in kinds:
+        pos = pos.withColumn("_st", _steps(levels))
+        aggs += [F.sum(F.get("_st", F.lit(i))).alias(f"_t{i}") for i in range(m)]
+        aggs += [F.min(F.get("_st", F.lit(m + i))).alias(f"_top{i}") for i in range(m)]
+        aggs += [F.max("_bad").alias("_bad"), F.max("_sw").alias("_sw")]
+        ok = (F.col("_bad") == 0) & (F.col("_sw") > 0)
+        made += [("weighted", p, F.when(ok, F.col(f"_top{i}") - F.col(f"_t{i}"))) for i, p in enumerate(levels)]
+    if "unweighted" in kinds:
+        n1 = (F.col("_n") - 1).cast("double")
+        for i, p in enumerate(levels):
+            rank = F.floor(F.lit(float(p)) * n1)
+            hit = (rank < F.col("_rank")) & (rank >= F.col("_rank") - F.col("_k"))
+            aggs.append(F.max(F.when(hit, type7(F.lit(float(p))))).alias(f"_u{i}"))
+            made.append(("unweighted", p, F.col(f"_u{i}")))
+    entry = lambda kind, p, v: F.struct(F.lit(kind).alias("kind"), F.lit(float(p)).alias("p"), F.lit(label(p)).alias("q"), v.alias("value"))
+    return pos.groupBy(*group).agg(*aggs).select(*group, F.array(*[entry(*e) for e in made]).alias("_v"))
 
 
 def group_ensembles(df: DataFrame, keys, value: str = "value_100k", weight: str | None = "weight", levels=QUANTILE_LEVELS,
-                    kinds: Sequence[str] = ("weighted", "unweighted"), jvm_beta: bool = True, most: int = MOST,
+                    kinds: Sequence[str] = ("weighted", "unweighted"), jvm_beta: bool = False, most: int = MOST,
                     late: Late | None = None) -> DataFrame:
     """Weighted (E6) and type-7 quantiles of the same groups from one pass: keys, ``kind``,
     quantile_level, quantile, value. See :func:`weighted_quantile`."""
     pos, group, out = positions(df, keys, value, weight, most, late)
     names = [*keys, *(late.names if late else ())]
+    if not jvm_beta:
+        return (_in_batches(pos, group, levels, kinds).select(*out, F.explode("_v").alias("v"))
+                .select(*names, F.col("v.kind").alias("kind"), F.col("v.p").alias("quantile_level"),
+                        F.col("v.q").alias("quantile"), F.col("v.value").alias("value")))
     parts = []
     if "weighted" in kinds:
         parts.append(F.transform(_weighted_hits(levels), lambda e: F.struct(
@@ -245,7 +293,7 @@ def group_ensembles(df: DataFrame, keys, value: str = "value_100k", weight: str
             F.lit("unweighted").alias("kind"), e["p"].alias("p"), e["q"].alias("q"), no.alias("a"), no.alias("b"), no.alias("c"),
             e["value"].alias("top"))))
     hits = pos.select(*group, (F.col("_nx") - F.col("_x")).alias("_dx"), F.explode(F.concat(*parts)).alias("lv"))
-    step = _beta(F.col("lv.c"), F.col("lv.a"), F.col("lv.b"), jvm_beta) * F.col("_dx")
+    step = _beta(F.col("lv.c"), F.col("lv.a"), F.col("lv.b")) * F.col("_dx")
     return (hits.select(*group, F.col("lv.kind").alias("kind"), F.col("lv.p").alias("quantile_level"),
                         F.col("lv.q").alias("quantile"), F.col("lv.top").alias("_top"), step.alias("_t"))
             .groupBy(*group, "kind", "quantile_level", "quantile")
@@ -255,7 +303,7 @@ def group_ensembles(df: DataFrame, keys, value: str = "value_100k", weight: str
 
 
 def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: str = "weight",
-                      levels=QUANTILE_LEVELS, jvm_beta: bool = True, most: int = MOST) -> DataFrame:
+                      levels=QUANTILE_LEVELS, jvm_beta: bool = False, most: int = MOST) -> DataFrame:
     """Weighted Harrell–Davis quantiles per group.
 
     With values sorted ascending, normalised cumulative weights c_i (c_0 = 0,
@@ -268,7 +316,8 @@ def weighted_quantile(df: DataFrame, keys, value: str = "value_100k", weight: st
 
     Running weights come from :func:`trajens.operators.ranked.positions` (no large group in one task;
     equal values are one row, which is exact, since steps between equal values add nothing); the
-    per-level sums are a plain aggregate with map-side partial sums."""
+    per-level sums are a plain aggregate with map-side partial sums. The beta is evaluated for a batch
+    of positions and all levels at once (NumPy over Arrow); ``jvm_beta`` takes it per row in the JVM."""
     return group_ensembles(df, keys, value, weight, levels, ("weighted",), jvm_beta, most).drop("kind")
 
 
