@@ -100,3 +100,15 @@ def test_op7_over_the_table(spark):
         b = brute(texts[r.doc_id])
         assert tuple(r[f] for f in FIELDS) == b
         assert r.base_failed == (b[0] < 10 or 100 * b[5] > 20 * b[0]) and not (r.kept and r.base_failed)
+
+
+def test_copies_of_a_labelled_row_are_no_trials(spark):
+    """Each label fifty times over, and each row: the cutoffs are those of one row per id."""
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(30)) + " #" * (i % 7 == 0)) for i in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 > 0)) for i in range(700)], "doc_id long, quality int")
+    many = lambda df: df.crossJoin(spark.range(50).select()).select(*df.columns)
+    key = lambda t: sorted(tuple(r) for r in t.collect())
+    once = key(Q.thresholds(Q.measures(docs), labels, Q.Risk(alpha=0.2)))
+    assert once and once == key(Q.thresholds(Q.measures(many(docs)), many(labels), Q.Risk(alpha=0.2)))

@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajens.llm.common import table
+from trajens.llm.common import slices, table
 
 _LETTER = regex.compile(r"\p{L}")
 #: bytes: letters of ASCII in lower case, other ASCII as a space, the rest as it is
@@ -179,7 +179,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         texts_seen = 0
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list] = {}
             texts_seen += b.num_rows
             for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -212,7 +212,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     index, signs = {l: i for i, l in enumerate(model.langs)}, model.code
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             f = margins(b.column(1).to_pylist(), model)
             lang = np.array([index[l] for l in b.column(0).to_pylist()], np.int64)
             ok = (f * signs[lang] > 0).astype(np.int64)
@@ -230,7 +230,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     model.trust = acc / acc.sum(axis=1, keepdims=True)
     if doubt is None:
         def gap_bins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 f = margins(b.column(1).to_pylist(), model)
                 right = decode(f, model)[0] == np.array([index[l] for l in b.column(0).to_pylist()], np.int64)
                 at = np.floor((np.log2(np.maximum(gaps(f, model)[right], 2.0 ** _LEAST_GAP)) - _LEAST_GAP) * _GAP_BINS)
@@ -261,7 +261,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model, at: int) -> Iterator[pa.RecordBatch]:
     names = np.array([*model.langs, "und"], dtype=object)
-    for b in batches:
+    for b in slices(batches):
         texts = b.column(at).to_pylist()
         lettered = [i for i, t in enumerate(texts) if model.langs and t and _LETTER.search(t)]
         best = np.full(len(texts), len(model.langs))
@@ -279,7 +279,7 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
     at, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             said = next(_predict(iter([b.select([b.schema.names[at]])]), model, 0))
             keep = np.array([l != "und" for l in said.column(0).to_pylist()]) & ~np.array(said.column(2).to_pylist(), bool)
             yield b.filter(pa.array(keep, pa.bool_()))

@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajens.llm.common import free_name, table
+from trajens.llm.common import free_name, slices, table
 
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
@@ -460,7 +460,7 @@ def pseudonymize(docs: DataFrame, key: bytes = TRIAL_KEY, text_col: str = "text"
     schema = T.StructType([*docs.schema.fields, *[T.StructField(n, T.LongType()) for n in extra.values()]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             done = [pseudonymized(t, key) for t in b.column(at).to_pylist()]
             columns = list(b.columns)
             columns[at] = pa.array([t for t, _ in done], b.schema.field(at).type)

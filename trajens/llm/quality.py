@@ -20,7 +20,8 @@ Five-word windows are compared by their 64-bit hashes within one document.
 
 Edge cases: null, empty or blank text has no words and fails the base rule; a label counts as good
 only if all labels of its document are 1, null labels count for nothing; labels of unknown
-documents and null ids match nothing; repeated rows each keep their row; other columns are not
+documents and null ids match nothing; repeated rows each keep their row, but count once (by their least
+measures) where cutoffs are chosen; other columns are not
 read; empty tables give an empty result or no thresholds.
 """
 
@@ -128,7 +129,10 @@ def thresholds(measured: DataFrame, labels: DataFrame, risk: Risk = Risk(), id_c
     ``measured``: output of ``measures``; ``labels``: (id, 0/1)."""
     marks = (labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id"))
              .agg(F.min(label_col).cast("int").alias("good")))
-    held = (measured.join(marks, "doc_id").where("n_words >= 10")
+    # one row per labelled id: a document's repeated rows are no further trials
+    own = [c for c in measured.columns if c != "doc_id"]
+    once = measured.join(marks, "doc_id").groupBy("doc_id", "good").agg(F.min(F.struct(*own)).alias("m")).select("good", "m.*")
+    held = (once.where("n_words >= 10")
             .select(stratum(risk.bands).alias("stratum"), "good",
                     F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), share(r).alias("v")) for r in RULES])).alias("x")))
     # per label, the number of grid steps its value exceeds; counts per step are one small table

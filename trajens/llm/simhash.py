@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajens.llm.common import free_name, store, table
+from trajens.llm.common import free_name, slices, store, table
 from trajens.llm.graph import components
 
 
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """(doc_id, fp): fp is the fingerprint as a signed long. One row per input row. If ``hashed``,
     also text_hash, which with the id names a document."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([simhash64(t, shingle, seed) for t in b.column(1).to_pylist()],
                           dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
