@@ -17,23 +17,37 @@ from trajens.llm.pii import pseudonymize
 from trajens.llm.simhash import keep_one_per_group
 
 
+#: rows of an Arrow batch between the JVM and a Python worker: documents may be long, and both hold a batch
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language codes: documents whose language can't be told go."""
+    small_batches(spark)
     return accepted(docs, train(docs))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """SimHash near-dedup: one document of each component stays, the one with the smallest id."""
+    small_batches(spark)
     return keep_one_per_group(docs, shingle=3, radius=2)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms in place of personal data; n_chars follows the new text."""
+    small_batches(spark)
     return with_length(pseudonymize(docs, counted=False))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources mixed to target weights: each document as often as it is taken."""
+    small_batches(spark)
     return with_length(mixed_documents(docs))
 
 
@@ -45,6 +59,7 @@ def with_length(docs: DataFrame) -> DataFrame:
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Concatenate and cut into sequences of 2048 token ids."""
+    small_batches(spark)
     return pack(docs)
 
 
