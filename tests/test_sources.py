@@ -112,3 +112,85 @@ def test_written_tree_reads_back_and_sources_agree(spark):
     assert rows(a, *cols) == rows(b.where("scenario_id = 'A'"), *cols) and a.columns == b.columns
     listed = FS.list_files(spark, f"{root}/hub")
     assert {r.model for r in FS.parse_paths(listed, f"{root}/hub").collect()} == {"m1", "m 2"}
+
+
+ROUNDS = "round int, origin_date date, submission_window_end date"
+
+
+def test_columns_are_found_by_each_files_header(spark):
+    root = _scratch()
+    _write(f"{root}/m1/2022-07-24-a.csv", "scenario_id,location,target_variable,horizon,sample,value\nA,BE,inc case,1 wk,1,5.5\n")
+    _write(f"{root}/m2/2022-07-25-b.csv", "\ufeff\"value\",\"sample\", note ,horizon,target_variable,scenario_id,location\n"
+           "7.5,3,\"a, \"\"quoted\"\" note\",2 wk,inc case,A,\"B,E\"\n8.5,4,,2 wk,inc case,A,NL\n")
+    _write(f"{root}/m3/2022-07-26-c.csv", "location,scenario_id,target_variable,horizon,sample,value\n"
+           "BE,A,inc case,1 wk,1,\"1.5\"\nBE,A,\"inc case,1 wk,1,2.5\nBE,A,inc case,1 wk,1,2.5,extra\nBE,A,inc case,1 wk,one,2.5\n")
+    _write(f"{root}/m4/2022-07-27-d.csv", "location,scenario_id,target_variable,horizon,sample\nBE,A,inc case,1 wk,1\n")     # a column lacks
+    _write(f"{root}/m5/2022-07-27-e.csv", "BE,A,inc case,1 wk,1,9.0\n")                                                      # no header
+    _write(f"{root}/m6/2022-07-27-f.csv", "location,scenario_id,target_variable,horizon,sample,value\nBE,A,inc case,1 wk,1,1.0\n"
+           "value,location,scenario_id,target_variable,horizon,sample\n2.0,BE,A,inc case,1 wk,1\n")                          # two headers
+    _write(f"{root}/m7/2022-07-27-g.csv", "")                                                                                # empty: neither
+    _write(f"{root}/m 8/2022-07-27-h [x].csv", "location,scenario_id,target_variable,horizon,sample,value\nBE,A,inc case,1 wk,1,4.0\n")
+    rounds = spark.createDataFrame([(2, dt.date(2022, 7, 24), dt.date(2022, 7, 31))], ROUNDS)
+    good, bad = FS.read_submissions(spark, root, rounds, 2)
+    assert rows(good, "model", "location", "scenario_id", "horizon", "sample", "value") == [
+        ("m 8", "BE", "A", "1 wk", 1, 4.0), ("m1", "BE", "A", "1 wk", 1, 5.5), ("m2", "B,E", "A", "2 wk", 3, 7.5),
+        ("m2", "NL", "A", "2 wk", 4, 8.5), ("m3", "BE", "A", "1 wk", 1, 1.5)]
+    assert good.count() == 5 and rows(good.select("sample")) == [(1,), (1,), (1,), (3,), (4,)]
+    got = rows(bad, "model", "reason")
+    assert got == [("m3", "number of fields"), ("m3", "quotes"), ("m3", "sample"), ("m4", "unreadable or no header"),
+                   ("m5", "unreadable or no header"), ("m6", "unreadable or no header")]
+    assert bad.where("line is null").count() == 3 and bad.where("line like '%extra'").count() == 1
+
+
+def test_a_file_that_cannot_be_opened_is_rejected_whole(spark):
+    root = _scratch()
+    head = "location,scenario_id,target_variable,horizon,sample,value\n"
+    _write(f"{root}/m1/2022-07-24-a.csv", head + "BE,A,inc case,1 wk,1,5.5\n")
+    _write(f"{root}/m2/2022-07-25-b/part.csv", head + "NL,A,inc case,1 wk,1,6.5\n")
+    _write(f"{root}/m3/2022-07-25-c.csv", head + "NL,A,inc case,1 wk,1,7.5\n")
+    os.chmod(f"{root}/m3/2022-07-25-c.csv", 0)
+    closed = not os.access(f"{root}/m3/2022-07-25-c.csv", os.R_OK)
+    rounds = spark.createDataFrame([(2, dt.date(2022, 7, 24), dt.date(2022, 7, 31))], ROUNDS)
+    good, bad = FS.read_submissions(spark, root, rounds, 2)
+    assert {r.model for r in good.collect()} == {"m1", "m2"} | (set() if closed else {"m3"})
+    assert {(r.model, r.line) for r in bad.collect()} == ({("m3", None)} if closed else set())
+
+
+def test_no_file_in_the_window(spark):
+    root = _scratch()
+    _write(f"{root}/m1/2023-07-24-a.csv", "x\n")
+    rounds = spark.createDataFrame([(2, dt.date(2022, 7, 24), dt.date(2022, 7, 31))], ROUNDS)
+    good, bad = FS.read_submissions(spark, root, rounds, 2)
+    assert good.count() == 0 == bad.count()
+
+
+def test_truth_population_and_rounds_by_name(spark):
+    import pytest
+    root = _scratch()
+    _write(f"{root}/t.csv", "value,date,location,extra,location_name\n3,2022-07-24,BE,x,\"Bel, gium\"\n")
+    _write(f"{root}/p.csv", "name,population,location\nBelgium,11500000,BE\n")
+    _write(f"{root}/r.csv", "submission_window_end,round,origin_date\n2022-07-31,2,2022-07-24\n")
+    _write(f"{root}/r.json", '{"round": 2, "submission_window_end": "2022-07-31", "origin_date": "2022-07-24"}\n')
+    assert rows(FS.read_observed_csv(spark, f"{root}/t.csv")) == [("BE", "Bel, gium", dt.date(2022, 7, 24), 3.0)]
+    assert rows(FS.read_population(spark, f"{root}/p.csv")) == [("BE", 11500000.0)]
+    want = [(2, dt.date(2022, 7, 24), dt.date(2022, 7, 31))]
+    assert rows(FS.read_rounds(spark, f"{root}/r.csv")) == want == rows(FS.read_rounds(spark, f"{root}/r.json", "json"))
+    with pytest.raises(Exception, match="population"):
+        FS.read_population(spark, f"{root}/t.csv").collect()
+
+
+def test_a_submission_is_written_by_several_tasks(spark):
+    root = _scratch()
+    raw = spark.range(4000).select(F.lit("m1").alias("model"), F.lit("BE").alias("location"), F.lit("A").alias("scenario_id"),
+                                   F.lit("inc case").alias("target_variable"), F.lit("1 wk").alias("horizon"),
+                                   F.col("id").cast("int").alias("sample"), F.lit(1.0).alias("value"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged here
+    try:
+        FS.write_submissions(raw, f"{root}/hub", F.lit("2022-07-25").cast("date"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    files = [f for _, _, fs in os.walk(f"{root}/hub/m1") for f in fs if f.endswith(".csv")]
+    assert 1 < len(files) <= 8
+    rounds = spark.createDataFrame([(2, dt.date(2022, 7, 24), dt.date(2022, 7, 31))], ROUNDS)
+    good, bad = FS.read_submissions(spark, f"{root}/hub", rounds, 2)
+    assert good.select("sample").distinct().count() == 4000 == good.count() and bad.count() == 0
