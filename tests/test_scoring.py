@@ -163,3 +163,36 @@ def test_pairwise_uses_each_pairs_own_overlap(spark):
 def test_boxplot_outliers(spark):
     rw = spark.createDataFrame([("t", float(v)) for v in (1, 2, 3, 4, 5, 50)] + [("u", 1.0)], "target string, rel_wis double")
     assert [(r.target, r.rel_wis) for r in E.boxplot_outliers(rw).collect()] == [("t", 50.0)]
+
+
+def test_wis_of_pairs(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for m in ("a", "b"):
+        for t in range(4):
+            y = float(rng.gamma(3, 5))
+            rows += [(m, t, p, float(q), y) for p, q in zip(QUANTILE_LEVELS, np.sort(rng.gamma(3, 5, len(QUANTILE_LEVELS))))]
+    schema = "model string, t int, quantile double, prediction double, true_value double"
+    df = spark.createDataFrame(rows, schema)
+    whole = {r.model: r for r in E.wis_of_pairs(df, ["model", "t"], ["model"]).collect()}
+    plain = {r.model: r.interval_score for r in E.wis(df, ["model"]).collect()}
+    for m, r in whole.items():
+        assert math.isclose(r.interval_score, plain[m], rel_tol=1e-12) and (r.levels, r.incomplete_units) == (4 * 23, 0)
+    # a level gone in one unit: its partner counts no more, everything else as before
+    less = df.where(~((F.col("model") == "a") & (F.col("t") == 2) & (F.col("quantile") == 0.9)))
+    got = {r.model: r for r in E.wis_of_pairs(less, ["model", "t"], ["model"]).collect()}
+    kept = less.where(~((F.col("model") == "a") & (F.col("t") == 2) & (F.col("quantile") == 0.1)))
+    assert math.isclose(got["a"].interval_score, E.wis(kept, ["model"]).where("model = 'a'").first().interval_score, rel_tol=1e-12)
+    assert (got["a"].levels, got["a"].incomplete_units) == (90, 1) and got["b"] == whole["b"]
+    # no median, a NULL prediction, an unknown truth
+    odd = spark.createDataFrame([("c", 1, 0.25, 1.0, 2.0), ("c", 1, 0.75, 3.0, 2.0), ("c", 2, 0.25, None, 2.0), ("c", 2, 0.75, 3.0, 2.0),
+                                 ("c", 2, 0.5, 2.0, 2.0), ("d", 1, 0.5, 1.0, None)], schema)
+    got = {r.model: r for r in E.wis_of_pairs(odd, ["model", "t"], ["model"], log=False).collect()}
+    assert math.isclose(got["c"].interval_score, (2 * 0.25 * 2.0 + 0.0) / 3) and (got["c"].levels, got["c"].incomplete_units) == (3, 2)
+    assert got["d"].interval_score is None and (got["d"].levels, got["d"].incomplete_units) == (0, 1)
+
+
+def test_boxplot_keeps_the_null_group(spark):
+    rw = spark.createDataFrame([(None, 1.0), (None, 2.0), (None, 30.0), ("t", 1.0)], "target string, rel_wis double")
+    got = {r.target: r for r in E.boxplot_stats(rw).collect()}
+    assert set(got) == {None, "t"} and got[None].middle == 2.0

@@ -4,7 +4,8 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trajens.streaming.live import daily_from_events, score_refresh, start, weekly_rollup
+from trajens.streaming.live import (_versions, daily_from_events, read_scores, score_refresh, start, start_score_table,
+                                    update_scores, weekly_rollup)
 from conftest import rows
 
 SF = "/root/testdata/sf0.001"
@@ -78,3 +79,77 @@ def test_append_mode_drops_late_rows_and_resumes_to_parquet(spark):
     run()                                                              # same name: resumes from its checkpoint
     got = spark.read.parquet(f"{root}/out")
     assert rows(got, "location", "value", "n_obs") == [("x", 3.0, 2), ("x", 6.0, 2)]
+
+
+WEEKS = "location string, target_variable string, target_end_date date, value double"
+
+
+def _scored_world(spark):
+    import datetime as dt
+    d = [dt.date(2022, 1, 1) + dt.timedelta(days=7 * i) for i in range(6)]
+    res = spark.createDataFrame(
+        [("BE", "inc case", m, s, "A", d[i], float(i + s * (m == "a")), 1000.0 + s) for m in "ab" for s in range(4) for i in range(6)],
+        "location string, target_variable string, model string, sample int, scenario_id string, "
+        "target_end_date date, value_100k double, population double")
+    weeks = [("BE", "inc case", d[i], 0.01 * i + 0.003) for i in range(5)] + [("BE", "inc case", d[5], None)]
+    return res, weeks
+
+
+def _same(spark, path, res, weeks):
+    cols = ("model", "sample", "n_weeks_scored")
+    got, want = read_scores(spark, path), score_refresh(spark.createDataFrame(weeks, WEEKS), res)
+    assert rows(got, *cols) == rows(want, *cols)
+    for a, b in zip(rows(got, "model", "sample", "mae"), rows(want, "model", "sample", "mae"), strict=True):
+        assert a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-9
+
+
+def test_a_replayed_batch_changes_nothing(spark):
+    res, weeks = _scored_world(spark)
+    path = tempfile.mkdtemp(prefix="trajens-test-scores-", dir=os.environ.get("TMPDIR", "/tmp")) + "/t"
+    assert read_scores(spark, path).count() == 0
+    for b, (lo, hi) in enumerate([(0, 1), (1, 3), (3, 3), (3, 6)]):  # one batch is empty, one has a NULL week
+        batch = spark.createDataFrame(weeks[lo:hi], WEEKS)
+        update_scores(batch, b, res, path)
+        _same(spark, path, res, weeks[:hi])
+        update_scores(batch, b, res, path)
+        _same(spark, path, res, weeks[:hi])
+    assert _versions(spark, path) == [2, 3]
+    # a version whose write was cut off is no version
+    os.makedirs(f"{path}/batch=4")
+    _same(spark, path, res, weeks)
+
+
+def test_score_table_stream_restarts_and_replays(spark):
+    res, weeks = _scored_world(spark)
+    root = tempfile.mkdtemp(prefix="trajens-test-weeks-", dir=os.environ.get("TMPDIR", "/tmp"))
+    name, n = f"t_table_{uuid.uuid4().hex[:8]}", 0
+
+    def put(*some):
+        nonlocal n
+        n += 1
+        spark.createDataFrame(list(some), WEEKS).coalesce(1).write.parquet(f"{root}/in/{n}")
+
+    def run():
+        stream = (spark.readStream.schema(WEEKS).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(f"{root}/in"))
+        q = start_score_table(stream, res, name, path=f"{root}/scores", trigger={"availableNow": True})
+        q.awaitTermination(300)
+        assert q.exception() is None
+
+    put(*weeks[:2])
+    put(weeks[2])
+    run()
+    _same(spark, f"{root}/scores", res, weeks[:3])
+    put(*weeks[3:])
+    run()                                     # resumes: only the new weeks
+    _same(spark, f"{root}/scores", res, weeks)
+    # the last batch's commit is lost: it is replayed under its own number
+    from trajens.session import checkpoint_dir
+    commits = f"{checkpoint_dir(spark).split(':', 1)[-1]}/streams/{name}/checkpoint/commits"
+    last = max((f for f in os.listdir(commits) if f.isdigit()), key=int)
+    for f in (last, f".{last}.crc"):
+        if os.path.exists(f"{commits}/{f}"):
+            os.remove(f"{commits}/{f}")
+    before = _versions(spark, f"{root}/scores")
+    run()
+    assert _versions(spark, f"{root}/scores") == before
+    _same(spark, f"{root}/scores", res, weeks)

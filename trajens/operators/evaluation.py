@@ -97,6 +97,26 @@ def interval_scores(forecasts: DataFrame, unit, level: str = "quantile", log: bo
                         F.col("dispersion") + F.col("overprediction") + F.col("underprediction")))
 
 
+def wis_of_pairs(forecasts: DataFrame, unit, by, level: str = "quantile", log: bool = True) -> DataFrame:
+    """E8 where levels may be missing: mean weighted interval score per ``by`` group from the interval
+    form. Per forecast unit (``unit``: the columns that name one, ``by`` among them) each level is matched with
+    its mirror image; an interval counts with its weight α/2 and for both of its levels, the median
+    once, and a level whose partner (or value, or truth) is missing counts nowhere. Also ``levels``
+    (levels counted) and ``incomplete_units`` (units with a level left out or without a median). On complete
+    symmetric levels this equals :func:`wis`."""
+    unit = list(unit)
+    known = forecasts.where(F.col(level).isNotNull())
+    pairs = interval_scores(known, unit, level, log)
+    scored = pairs.select(*unit, "interval", F.col("interval_score").alias("_s"),
+                          F.when(F.col("interval_score").isNull(), 0).when(F.col("interval") == 0, 1).otherwise(2).alias("_n"))
+    per_unit = scored.groupBy(*unit).agg(
+        F.sum(F.col("_s") * F.col("_n")).alias("_sum"), F.sum("_n").alias("_n"),
+        (F.max((F.col("_n") == 0).cast("int")) + 1 - F.max((F.col("interval") == 0).cast("int"))).alias("_gaps"))
+    return (per_unit.groupBy(*by)
+            .agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("interval_score"), F.sum("_n").alias("levels"),
+                 F.count(F.when(F.col("_gaps") > 0, 1)).alias("incomplete_units")))
+
+
 def pairwise_skill(scores: DataFrame, by, baseline: str, metric: str = "interval_score",
                    model: str = "model") -> DataFrame:
     """Each model against ``baseline`` within ``by`` groups:
@@ -175,7 +195,7 @@ def boxplot_stats(rw: DataFrame, value: str = "rel_wis", by: str = "target") ->
     lo_f, hi_f = F.col("lower") - 1.5 * iqr, F.col("upper") + 1.5 * iqr
     v = F.col(value)
     inside = (v >= lo_f) & (v <= hi_f)
-    return (rw.join(h, by)
+    return (_null_safe_join(rw, h, [by])
             .groupBy(by, "lower", "middle", "upper")
             .agg(F.min(F.when(inside, v)).alias("ymin"), F.max(F.when(inside, v)).alias("ymax"),
                  F.count(F.when(~inside, 1)).alias("n_outliers")))

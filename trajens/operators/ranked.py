@@ -246,6 +246,8 @@ def ranked_quantiles(df: DataFrame, keys, value: str, levels=QUANTILE_LEVELS,
     pos, _, out = positions(df, keys, value, most=most, late=late)
     names = [*keys, *(late.names if late else ())]
     extra = [F.col("_n").alias("n")] if with_count else []
-    return (pos.select(*out, *extra, F.explode(ranked_hits(levels)).alias("lv"))
+    # the keys leave their struct below the explode: above it, column pruning may lose track of them
+    return (pos.select(*out, *extra, ranked_hits(levels).alias("_hits"))
+            .select(*names, *(["n"] if with_count else []), F.explode("_hits").alias("lv"))
             .select(*names, *(["n"] if with_count else []), F.col("lv.p").alias("quantile_level"),
                     F.col("lv.q").alias("quantile"), F.col("lv.value").alias("value")))

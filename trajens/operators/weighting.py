@@ -279,7 +279,7 @@ def group_ensembles(df: DataFrame, keys, value: str = "value_100k", weight: str
     pos, group, out = positions(df, keys, value, weight, most, late)
     names = [*keys, *(late.names if late else ())]
     if not jvm_beta:
-        return (_in_batches(pos, group, levels, kinds).select(*out, F.explode("_v").alias("v"))
+        return (_in_batches(pos, group, levels, kinds).select(*out, "_v").select(*names, F.explode("_v").alias("v"))
                 .select(*names, F.col("v.kind").alias("kind"), F.col("v.p").alias("quantile_level"),
                         F.col("v.q").alias("quantile"), F.col("v.value").alias("value")))
     parts = []

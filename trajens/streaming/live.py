@@ -8,6 +8,10 @@
   projections, then a keyed streaming aggregate of (sum |error|, n) per
   trajectory; MAE = sum / n is exact under incremental updates and the state
   store (checkpointed) survives executor loss.
+* :func:`start_score_table` — the same scores as a table that each micro-batch
+  updates (``foreachBatch``), for readers outside the stream: :func:`read_scores`.
+  A version of the table is named by its batch and made from the last version
+  before it, so a batch that is replayed after a failure writes what it wrote before.
 """
 
 from __future__ import annotations
@@ -54,6 +58,64 @@ def score_refresh(truth_weeks: DataFrame, results: DataFrame) -> DataFrame:
             .withColumn("mae", F.col("sum_ae") / F.col("n_weeks_scored")))
 
 
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Batch ids of the complete versions under ``path``, ascending."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(root):
+        return []
+    names = [s.getPath() for s in fs.listStatus(root) if s.getPath().getName().startswith("batch=")]
+    done = [p for p in names if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))]
+    return sorted(int(p.getName().partition("=")[2]) for p in done)
+
+
+def _drop_version(spark: SparkSession, path: str, batch: int) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/batch={batch}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+_SCORES = "location string, target_variable string, model string, sample int, scenario_id string, sum_ae double, n_weeks_scored long"
+
+
+def update_scores(batch: DataFrame, batch_id: int, results: DataFrame, path: str, keep: int = 2) -> None:
+    """Version ``batch_id`` of the score table: the last version before it plus this batch's closed
+    weeks (location, target_variable, target_end_date, value). Run twice, it gives the same
+    version: a version never reads itself or a later one. The ``keep`` latest versions stay, so that
+    readers of the one before aren't disturbed and a replay finds its base. Rows are one per
+    trajectory: the whole table is that small beside the projections."""
+    spark = batch.sparkSession
+    new = score_refresh(batch, results).select(*TRAJ, "sum_ae", "n_weeks_scored")
+    before = [v for v in _versions(spark, path) if v < batch_id]
+    if before:
+        old = spark.read.schema(new.schema).parquet(f"{path}/batch={before[-1]}")
+        new = (old.unionByName(new).groupBy(*TRAJ)
+               .agg(F.sum("sum_ae").alias("sum_ae"), F.sum("n_weeks_scored").alias("n_weeks_scored")))
+    new.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+    for v in [v for v in _versions(spark, path) if v <= batch_id][:-keep]:
+        _drop_version(spark, path, v)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """The latest complete version, with ``mae``."""
+    versions = _versions(spark, path)
+    table = spark.read.parquet(f"{path}/batch={versions[-1]}") if versions else spark.createDataFrame([], _SCORES)
+    return table.withColumn("mae", F.col("sum_ae") / F.col("n_weeks_scored"))
+
+
+def start_score_table(truth_weeks: DataFrame, results: DataFrame, name: str, path: str | None = None,
+                      trigger: dict | None = None):
+    """ST2 as a stream: each micro-batch of closed truth weeks (each week once, as the append mode of
+    :func:`weekly_rollup` gives them) updates the score table under ``path`` (by default beside the
+    checkpoint). ``results`` is read anew by every batch: store it first."""
+    spark = truth_weeks.sparkSession
+    base = f"{checkpoint_dir(spark)}/streams/{name}"
+    path = path or f"{base}/scores"
+    w = (truth_weeks.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+         .foreachBatch(lambda batch, batch_id: update_scores(batch, batch_id, results, path)))
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
 def start(df: DataFrame, name: str, mode: str = "append", sink: str = "parquet", path: str | None = None,
           trigger: dict | None = None):
     """Start a streaming query with its checkpoint under the session's
