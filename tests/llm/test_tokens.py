@@ -48,6 +48,17 @@ def test_resynchronisation_in_one_task(chunk, overlap):
         assert tokens.resynchronised(BYTE, t, chunk, overlap) == len(b.encode(t, add_special_tokens=False).ids)
 
 
+def test_work_on_a_text_without_boundaries_is_linear(monkeypatch):
+    encoded, plain = [], tokens.piece_starts
+    monkeypatch.setattr(tokens, "piece_starts", lambda name, text, at, stop: encoded.append(len(text)) or plain(name, text, at, stop))
+    b = lib(BYTE)
+    head = "some words " * 300
+    for t in ("x" * 40_000, "x" * 80_000, head + "Ab9" * 20_000 + " tail of it" * 400, (head + "y" * 5000) * 6):
+        encoded.clear()
+        assert tokens.resynchronised(BYTE, t, 1000, 100) == len(b.encode(t, add_special_tokens=False).ids)
+        assert sum(encoded) <= 5 * len(t), sum(encoded) / len(t)
+
+
 def docs_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, text string, lang string, i int, h string")
 
