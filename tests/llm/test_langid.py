@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from trajens.llm import langid as L
 
@@ -111,7 +112,37 @@ def test_doubt_keeps_to_the_stated_rate():
 
 def test_copies_of_a_text_are_sampled_each_for_itself(spark):
     df = spark.range(9000).selectExpr("'en' as lang", "cast(if(id % 3 = 0, 'one text', concat('text ', id)) as binary) as text", "id")
-    for seed_rows in (300, 900, 3000):
-        got = L.check_sample(df, seed_rows, 9000)
+    for seed_rows in (300, 900, 1800):
+        got = df.where(L.sampled(seed_rows, 9000))
         copies = got.where("cast(text as string) = 'one text'").count()
         assert 0.8 * seed_rows <= got.count() <= 1.2 * seed_rows and 0.2 * seed_rows <= copies <= 0.5 * seed_rows
+
+
+def test_the_check_sample_is_not_counted(spark, monkeypatch):
+    df = corpus(spark, 600).select("doc_id", "text", "lang")
+    n = df.where(~L.held_out("doc_id")).count()
+    odd = L.sampled(60, n)
+    keyed = df.withColumn("id", F.col("doc_id")).withColumn("raw", F.col("text").cast("binary"))
+    drawn = {r.doc_id for r in keyed.select("doc_id", "id", F.col("raw").alias("text")).where(odd & ~L.held_out("doc_id")).collect()}
+    seen = {}
+    fit = L.fit
+    monkeypatch.setattr(L, "fit", lambda counts, *a: seen.update(counts) or fit(counts, *a))
+    L.train(df, check_rows=60)
+    want = {}
+    for r in df.collect():
+        if not held(r.doc_id) and r.doc_id not in drawn:
+            bins = L.trigram_bins(L.folded(r.text.encode()), 1 << 14)
+            want[r.lang] = want.get(r.lang, 0) + np.bincount(bins, minlength=1 << 14)
+    assert 30 <= len(drawn) <= 120 and set(seen) == set(want) and all((seen[l] == want[l]).all() for l in want)
+
+
+def test_a_language_with_all_its_texts_in_the_sample_is_learned(spark):
+    df = corpus(spark, 400).select("doc_id", "text", "lang")
+    n = df.where(~L.held_out("doc_id")).count() + 1
+    text = "wir und ihr zusammen"
+    raw = spark.range(10_000, 20_000).select(F.col("id"), F.lit(text).cast("binary").alias("text"))
+    rare = next(r.id for r in raw.where(L.sampled(4000, n)).orderBy("id").collect() if not held(r.id))
+    model = L.train(df.unionByName(spark.createDataFrame([(rare, text, "xx")], df.schema)))
+    assert "xx" in model.langs
+    got = L.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert got.lang_pred == "xx"

@@ -7,8 +7,9 @@ counts come from all training texts, hashed into ``bins`` and summed in Spark; w
 driver is languages x bins numbers.
 
 Decoding is loss weighted: bit j counts for language l by the share of l's training texts on which
-classifier j gets l's bit right, measured on a sample of about ``check_rows`` training texts
-(weights only). Distance of l is the weighted mean logistic loss between the margins and l's
+classifier j gets l's bit right, measured on a sample of about ``check_rows`` texts (a fifth of them at
+most) that the trigram counts leave out. A language all of whose texts fall into the sample is counted from
+them and gets even weights. Distance of l is the weighted mean logistic loss between the margins and l's
 codeword; the nearest codeword wins. ``score`` is the softmin share of the winner, and a text is
 ``ambiguous`` when the runner-up is within ``doubt`` of it. Unless stated, doubt is set on the same
 sample: at most a share ``false_rejections`` of its rightly decoded texts have a smaller gap to the
@@ -172,43 +173,40 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           bins: int = 1 << 14, check_rows: int = 4000, scale: float = 4.0, doubt: float | None = None, false_rejections: float = 0.001) -> Model:
     """Fit on the rows that are not held out and have a language; reads id, text and language only.
     ``bins``: a power of two. ``doubt``: set on the check sample if None."""
-    rows = (docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-            .select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"),
-                    F.col(id_col).alias("id")))
+    taught = docs.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = taught.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("binary").alias("text"),
+                         F.col(id_col).alias("id"))
+    drawn = sampled(check_rows, taught.count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        texts_seen = 0
+        sums: dict[tuple, np.ndarray] = {}
         for b in slices(batches):
-            by: dict[str, list] = {}
-            texts_seen += b.num_rows
-            for l, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                by.setdefault(l, []).append(t)
+            by: dict[tuple, list] = {}
+            for l, t, d in zip(*(b.column(i).to_pylist() for i in range(3))):
+                by.setdefault((l, d), []).append(t)
             for l, texts in by.items():
                 into = sums.setdefault(l, np.zeros(bins, np.int64))
                 for t in texts:
                     data = folded(t)
                     for at in range(0, len(data) - 2, _SLICE):
                         into += np.bincount(trigram_bins(data[at:at + _SLICE + 2], bins), minlength=bins)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([-1], pa.int32()), pa.array([texts_seen], pa.int64())],
-                                         names=["lang", "bin", "n"])
-        for l, c in sums.items():
+        for (l, d), c in sums.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array(at.astype(np.int32)),
-                                              pa.array(c[at])], names=["lang", "bin", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([l] * len(at), pa.string()), pa.array([d] * len(at), pa.bool_()),
+                                              pa.array(at.astype(np.int32)), pa.array(c[at])], names=["lang", "drawn", "bin", "n"])
 
-    # one row per language and bin: languages x bins at most
-    counted = rows.drop("id").mapInArrow(count, "lang string, bin int, n long").groupBy("lang", "bin").agg(F.sum("n")).collect()
+    # one row per language, bin and whether drawn: 2 x languages x bins at most
+    counted = (rows.select("lang", "text", drawn.alias("drawn")).mapInArrow(count, "lang string, drawn boolean, bin int, n long")
+               .groupBy("lang", "drawn", "bin").agg(F.sum("n")).collect())
     counts: dict[str, np.ndarray] = {}
-    n_texts = sum(n for _, b, n in counted if b < 0)
-    for l, b, n in counted:
-        if b < 0:
-            continue
-        counts.setdefault(l, np.zeros(bins))[b] = n
+    apart = {l for l, d, *_ in counted if not d}
+    for l, d, b, n in counted:
+        if not d or l not in apart:
+            counts.setdefault(l, np.zeros(bins))[b] = n
     model = fit(counts, bins, scale, Model.doubt if doubt is None else doubt)
     if len(model.langs) < 2:
         return model
-    sample = check_sample(rows, check_rows, n_texts)
+    sample = rows.where(drawn & F.col("lang").isin(sorted(apart))).drop("id")
     index, signs = {l: i for i, l in enumerate(model.langs)}, model.code
 
     def right(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,11 +242,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def check_sample(rows: DataFrame, check_rows: int, n_texts: int) -> DataFrame:
-    """(lang, text) of about check_rows training rows: those whose hash falls in a share that gives
-    as many, read where they lie. The hash is of id and text, so copies are drawn each for itself."""
-    share = int(min(1.0, check_rows / max(1, n_texts)) * (1 << 30))
-    return rows.where(F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(share)).drop("id")
+def sampled(check_rows: int, n_texts: int):
+    """Whether a row (id, text) is in the check sample: its hash falls in a share that gives about check_rows of
+    n_texts rows, a fifth at most. The hash is of id and text, so copies are drawn each for itself."""
+    share = int(min(0.2, check_rows / max(1, n_texts)) * (1 << 30))
+    return F.pmod(F.xxhash64("id", "text"), F.lit(1 << 30)) < F.lit(share)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
