@@ -36,6 +36,26 @@ def test_null_and_repeated_rows_and_empty(spark):
     assert sorted(r.shard for r in few) == [0, 1, 2] and {r.slot for r in few} == {0}
 
 
+def test_copies_fill_no_block(spark, monkeypatch):
+    # a third of the rows is one row, another sixth one with a null id
+    df = spark.createDataFrame([(7, "same")] * 2000 + [(None, "")] * 1000 + [(i, f"text {i}") for i in range(100, 3100)],
+                               "doc_id long, text string").repartition(6)
+    made = {}
+    keep = sharding.store
+    monkeypatch.setattr(sharding, "store", lambda d, name: made.setdefault(name, keep(d, name)))
+    monkeypatch.setattr(sharding, "MATRIX_SLICE", 5)
+    cut = sharding.matrix_table
+    monkeypatch.setattr(sharding, "matrix_table", lambda s, b, m: made.setdefault("sizes", [sum(r) for r in m]) and cut(s, b, m))
+    got = sharding.shuffle_to_shards(df, least_blocks=16).collect()
+    check(got, 6000)
+    assert max(made["sizes"]) < 2 * 6000 / 16 and len(made["sizes"]) == 16
+    subs = [r["count"] for r in made["shard-sent"].groupBy("shard", "sub").count().collect()]
+    assert max(subs) < 2.5 * 6000 / (8 * 16)
+    assert sum(r.doc_id == 7 for r in got) == 2000 and sum(r.doc_id is None for r in got) == 1000
+    per = Counter(r.shard for r in got if r.doc_id == 7)
+    assert min(per.values()) > 180 and max(per.values()) < 320
+
+
 def test_hypergeometric_law():
     rng = random.Random(1)
     n, good, bad, draws = 20000, 30, 50, 20
