@@ -150,6 +150,7 @@ def mix(docs: DataFrame, share: float = 1.5, cap: int = 2, weights=(5, 2, 1), se
     left = (rounded.groupBy("source").agg((F.round(F.first("target")).cast("long")
                                            - F.sum(F.col("copies") * F.col("size"))).alias("left"))
             .withColumnRenamed("source", "l_source"))
+    left = store(left, "mix-left")  # of known size: documents needn't be dealt out by source to meet it
     room = (rounded.join(left, F.col("source").eqNullSafe(F.col("l_source"))).drop("l_source")
             .withColumn("room", F.when(F.col("left") > 0, (cap - F.col("copies")) * F.col("size"))
                         .otherwise(F.col("copies") * F.col("size"))))

@@ -407,16 +407,18 @@ def remove_repeats(docs: DataFrame, length: int = 100, k: int = 24, batches: int
     edges = rows.agg(F.percentile_approx("doc", [i / batches for i in range(1, batches)], 10000)).first()[0] or []
     family = SuffixFamily(spark, length, k)
     lower = None
-    for upper in [*sorted(set(edges)), None]:
-        part = rows
-        if lower is not None:
-            part = part.where(F.col("doc") > lower)
-        if upper is not None:
-            part = part.where(F.col("doc") <= upper)
-        family.add(part)
-        lower = upper
+    try:
+        for upper in [*sorted(set(edges)), None]:
+            part = rows
+            if lower is not None:
+                part = part.where(F.col("doc") > lower)
+            if upper is not None:
+                part = part.where(F.col("doc") <= upper)
+            family.add(part)
+            lower = upper
+    finally:
+        family.close()
     repeats, mixed = family.repeats, family.mixed
-    family.close()
 
     repeats = repeats.withColumn("key", F.lit(None).cast("long"))  # only mixed runs need theirs
     found = (repeats.withColumn("settled", F.lit(True)).unionByName(mixed.withColumn("settled", F.lit(False)))
