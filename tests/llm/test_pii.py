@@ -4,7 +4,7 @@ import pytest
 
 from trajens.llm import pii
 
-KEY = b"k"
+KEY = b"sixteen bytes or"
 
 
 def done(t):
@@ -83,18 +83,34 @@ def test_many_random_cards_keep_luhn_and_differ():
 def test_operator_keeps_rows_columns_and_nulls(spark):
     rows = [(1, "mail a.b@c.org now", "x", 7), (None, None, None, None), (1, "", "y", 1), (1, "mail a.b@c.org now", "x", 7)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_email string, N_CARD int")
-    out = pii.pseudonymize(df)
+    out = pii.pseudonymize(df, KEY)
     assert out.columns[:4] == df.columns and len({c.lower() for c in out.columns}) == len(out.columns)
     got = out.collect()
     assert [r[1] is None for r in got] == [False, True, False, False] and got[0] == got[3] and got[0][1] != rows[0][1]
     assert [r["_n_email"] for r in got] == [1, 0, 0, 1]
-    plain = pii.pseudonymize(df, counted=False)
-    assert plain.schema == df.schema and pii.pseudonymize(df.limit(0)).count() == 0
-
-
-def test_op5_over_the_table(spark):
+    plain = pii.pseudonymize(df, KEY, counted=False)
+    assert plain.schema == df.schema and pii.pseudonymize(df.limit(0), KEY).count() == 0
+
+
+def test_key_comes_from_the_session_or_is_fresh(spark):
+    assert pii.configured_key(spark) != pii.configured_key(spark) and len(pii.configured_key(spark)) == 32
+    spark.conf.set(pii.KEY_SETTING, KEY.hex())
+    try:
+        assert pii.configured_key(spark) == KEY
+    finally:
+        spark.conf.unset(pii.KEY_SETTING)
+    df = spark.createDataFrame([(1, "mail a.b@c.org now")] * 3, "doc_id long, text string")
+    for short in (b"", b"short", b"x" * 65):
+        with pytest.raises(ValueError):
+            pii.pseudonymize(df, short)
+    fresh = {r.text for r in pii.pseudonymize(df, pii.configured_key(spark)).collect()}
+    assert len(fresh) == 1 and fresh != {r.text for r in pii.pseudonymize(df, pii.configured_key(spark)).collect()}
+
+
+def test_op5_over_the_table(spark, monkeypatch):
     sf = "/root/testdata/sf0.001"
-    want = {r.doc_id: pii.pseudonymized(r.text, pii.TRIAL_KEY) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    monkeypatch.setattr(pii, "configured_key", lambda _: KEY)
+    want = {r.doc_id: pii.pseudonymized(r.text, KEY) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     got = pii.op5_pii(spark, sf).collect()
     assert len(got) == len(want)
     for r in got:

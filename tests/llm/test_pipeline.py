@@ -8,9 +8,11 @@ from trajens.llm import langid, mixing, pii, tokens
 from tests.llm.test_simhash import brute_components, brute_fp
 
 SF = "/root/testdata/sf0.001"
+KEY = b"a key for this test alone"
 
 
-def test_stages_in_order_keep_the_columns_and_match_brute_force(spark):
+def test_stages_in_order_keep_the_columns_and_match_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(C, "configured_key", lambda _: KEY)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert [n for n, _ in C.STAGES] == ["language", "near_dedup", "private_data", "mixture", "packing"]
     outs, at = [], docs
@@ -25,7 +27,7 @@ def test_stages_in_order_keep_the_columns_and_match_brute_force(spark):
     assert all(language[d] == before[d] for d in language)
     comps = brute_components([(d, brute_fp(r.text)) for d, r in language.items()])
     assert set(dedup) == {c for *_, c in comps}
-    assert {d: r.text for d, r in private.items()} == {d: pii.pseudonymized(r.text, pii.TRIAL_KEY)[0] for d, r in dedup.items()}
+    assert {d: r.text for d, r in private.items()} == {d: pii.pseudonymized(r.text, KEY)[0] for d, r in dedup.items()}
     taken = {}
     for r in mixed:
         assert private[r.doc_id].text.startswith(r.text) and r.n_chars == len(r.text)

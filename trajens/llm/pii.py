@@ -26,6 +26,8 @@ earlier, then the longer; a match that is not valid is tried again without its l
 from its later ones; repeated rows and null ids keep
 their rows; all columns pass through, and count columns get a free name when theirs is taken; an
 empty table gives an empty result.
+
+The key has no default: :func:`configured_key` takes it from the session, or draws one that nobody keeps.
 """
 
 from __future__ import annotations
@@ -34,12 +36,13 @@ import calendar
 import datetime as dt
 import hashlib
 import re
+import secrets
 import unicodedata
 from collections.abc import Iterator
 from math import isqrt, prod
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,8 +51,8 @@ from trajens.llm.common import free_name, slices, table
 KINDS = ("email", "phone", "card", "iban", "ssn", "ip", "date", "secret")
 DIGITS, LOWER = "0123456789", "abcdefghijklmnopqrstuvwxyz"
 UPPER, HEX = LOWER.upper(), DIGITS + "abcdef"
-#: key for tests and trial runs; a production run passes its own
-TRIAL_KEY = b"trial key, replace me"
+#: session setting with the key in hex (Spark redacts settings with "secret" in their name in its logs)
+KEY_SETTING = "spark.trajens.pseudonym.secret"
 
 
 class Permutation:
@@ -450,8 +453,19 @@ def pseudonymized(text: str | None, key: bytes) -> tuple[str | None, dict[str, i
     return ("".join([*parts, text[at:]]) if parts else text), counts
 
 
-def pseudonymize(docs: DataFrame, key: bytes = TRIAL_KEY, text_col: str = "text", counted: bool = True) -> DataFrame:
-    """``docs`` with ``text_col`` pseudonymized and, if ``counted``, a column n_<kind> per kind."""
+def configured_key(spark: SparkSession) -> bytes:
+    """The key that the session's setting ``spark.trajens.pseudonym.secret`` gives in hex. Where it is unset,
+    a fresh random one: values stay linked within what it is used for, two runs differ, and nobody can
+    lead the pseudonyms back."""
+    given = spark.conf.get(KEY_SETTING, None)
+    return bytes.fromhex(given) if given else secrets.token_bytes(32)
+
+
+def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", counted: bool = True) -> DataFrame:
+    """``docs`` with ``text_col`` pseudonymized and, if ``counted``, a column n_<kind> per kind. ``key``: 16
+    to 64 secret bytes; tables whose values shall stay linked need the same one."""
+    if not 16 <= len(key) <= 64:
+        raise ValueError("a pseudonym key has 16 to 64 bytes")
     at = docs.columns.index(text_col)
     extra: dict[str, str] = {}
     if counted:
@@ -473,4 +487,4 @@ def pseudonymize(docs: DataFrame, key: bytes = TRIAL_KEY, text_col: str = "text"
 def op5_pii(spark, sf_dir: str) -> DataFrame:
     """All documents with pseudonyms in place of personal data, and findings per kind."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pseudonymize(docs).withColumn("n_found", sum(F.col(f"n_{k}") for k in KINDS))
+    return pseudonymize(docs, configured_key(spark)).withColumn("n_found", sum(F.col(f"n_{k}") for k in KINDS))
