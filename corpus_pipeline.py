@@ -13,7 +13,7 @@ from trajens.llm.common import store, table
 from trajens.llm.langid import accepted, train
 from trajens.llm.mixing import mixed_documents
 from trajens.llm.packing import pack
-from trajens.llm.pii import pseudonymize
+from trajens.llm.pii import configured_key, pseudonymize
 from trajens.llm.simhash import keep_one_per_group
 
 
@@ -42,7 +42,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pseudonyms in place of personal data; n_chars follows the new text."""
     small_batches(spark)
-    return with_length(pseudonymize(docs, counted=False))
+    return with_length(pseudonymize(docs, configured_key(spark), counted=False))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
