@@ -4,8 +4,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from trajens.streaming.live import (_versions, daily_from_events, read_scores, score_refresh, start, start_score_table,
-                                    update_scores, weekly_rollup)
+from trajens.operators.weighting import weekly_ensembles
+from trajens.streaming.live import (_versions, daily_from_events, observe, read_scores, read_weekly, score_refresh, start,
+                                    start_score_table, start_weekly_table, update_scores, update_weekly, weekly_rollup)
 from conftest import rows
 
 SF = "/root/testdata/sf0.001"
@@ -153,3 +154,62 @@ def test_score_table_stream_restarts_and_replays(spark):
     run()
     assert _versions(spark, f"{root}/scores") == before
     _same(spark, f"{root}/scores", res, weeks)
+
+
+LEVELS = (0.25, 0.5, 0.9)
+
+
+def _weekly_equals_batch(spark, path, res, weeks):
+    want = weekly_ensembles(observe(res, spark.createDataFrame(weeks, WEEKS)), LEVELS)
+    cols = sorted(want.columns)
+    got = read_weekly(spark, path)
+    assert sorted(got.columns) == cols
+    a, b = ([tuple(round(r[c], 9) if c == "value" and r[c] is not None else r[c] for c in cols) for r in d.collect()] for d in (got, want))
+    assert sorted(map(str, a)) == sorted(map(str, b)) and a
+
+
+def _files(path):
+    return {d: sorted(f for f in os.listdir(f"{path}/table/{d}") if f.endswith(".parquet"))
+            for d in os.listdir(f"{path}/table") if d.startswith("forecast_date=")}
+
+
+def test_weekly_table_rebuilds_only_later_forecast_dates(spark):
+    res, weeks = _scored_world(spark)
+    path = tempfile.mkdtemp(prefix="trajens-test-weekly-", dir=os.environ.get("TMPDIR", "/tmp")) + "/t"
+    day = [w[2] for w in weeks]
+    moved = lambda a, b: {d.partition("=")[2] for d in b if a.get(d) != b[d]}
+    update_weekly(spark.createDataFrame(weeks[:2], WEEKS), 0, res, path, levels=LEVELS)
+    _weekly_equals_batch(spark, path, res, weeks[:2])
+    first = _files(path)
+    update_weekly(spark.createDataFrame(weeks[2:4], WEEKS), 1, res, path, levels=LEVELS)
+    _weekly_equals_batch(spark, path, res, weeks[:4])
+    second = _files(path)
+    assert len(second) == 6 and moved(first, second) == {str(d) for d in day[3:]}
+    # replayed: the same dates, the same rows
+    update_weekly(spark.createDataFrame(weeks[2:4], WEEKS), 1, res, path, levels=LEVELS)
+    _weekly_equals_batch(spark, path, res, weeks[:4])
+    third = _files(path)
+    assert moved(second, third) == {str(d) for d in day[3:]}
+    # weeks that say nothing new, then none at all
+    update_weekly(spark.createDataFrame(weeks[1:3], WEEKS), 2, res, path, levels=LEVELS)
+    update_weekly(spark.createDataFrame([], WEEKS), 3, res, path, levels=LEVELS)
+    assert _files(path) == third and _versions(spark, f"{path}/truth") == [2, 3]
+    # a corrected week beside a new one: dates after the corrected one
+    fixed = [weeks[0], (*weeks[1][:3], 0.5), *weeks[2:5]]
+    update_weekly(spark.createDataFrame([fixed[1], fixed[4]], WEEKS), 4, res, path, levels=LEVELS)
+    _weekly_equals_batch(spark, path, res, fixed)
+    assert moved(third, _files(path)) == {str(d) for d in day[2:]}
+
+
+def test_weekly_table_stream_restarts(spark):
+    res, weeks = _scored_world(spark)
+    root = tempfile.mkdtemp(prefix="trajens-test-weeks-", dir=os.environ.get("TMPDIR", "/tmp"))
+    name = f"t_weekly_{uuid.uuid4().hex[:8]}"
+    for n, some in enumerate((weeks[:3], weeks[3:])):
+        spark.createDataFrame(list(some), WEEKS).coalesce(1).write.parquet(f"{root}/in/{n}")
+        stream = spark.readStream.schema(WEEKS).option("recursiveFileLookup", True).parquet(f"{root}/in")
+        q = start_weekly_table(stream, res, name, path=f"{root}/w", trigger={"availableNow": True}, levels=LEVELS)
+        q.awaitTermination(300)
+        assert q.exception() is None
+        _weekly_equals_batch(spark, f"{root}/w", res, weeks[:3] if n == 0 else weeks)
+    assert _versions(spark, f"{root}/w/truth") == [0, 1]

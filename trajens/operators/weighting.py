@@ -326,7 +326,7 @@ WEEKLY_KEYS = ["forecast_date", "location", "target_variable", "target_end_date"
 
 def weekly_ensembles(results: DataFrame, levels=QUANTILE_LEVELS, min_horizon: int | None = 0,
                      weights: DataFrame | None = None, include_weighted: bool = True,
-                     include_unweighted: bool = True, min_weeks: int = 0, most: int = MOST // 4) -> DataFrame:
+                     include_unweighted: bool = True, min_weeks: int = 0, most: int = MOST // 4, after=None) -> DataFrame:
     """E7 ``ensembles``: for each forecast date, a weighted (Harrell–Davis,
     inverse-MAE) and an unweighted (type 7) quantile ensemble per
     (location, target, week, weeks of history), scenarios and models pooled.
@@ -334,15 +334,21 @@ def weekly_ensembles(results: DataFrame, levels=QUANTILE_LEVELS, min_horizon: in
 
     Weighted quantiles don't depend on the weights' scale, so inverse errors serve as weights and no
     group total is joined. ``most`` bounds the trajectories of a series and week that one task copies
-    per date. ``weights``: rows per forecast date (as of :func:`expanding_weights`), if already made."""
+    per date. ``weights``: rows per forecast date (as of :func:`expanding_weights`), if already made.
+    ``after`` (a date): only forecast dates after it, from the rows that these read."""
     kinds = [k for k, on in (("weighted", include_weighted), ("unweighted", include_unweighted)) if on]
     if weights is not None:
+        if after is not None:
+            weights = weights.where(F.col("forecast_date") > F.lit(after))
         out = group_ensembles(weights, WEEKLY_KEYS, "value_100k", "weight", levels, kinds)
     else:
         cols = ["value_100k", *dict.fromkeys([*TRAJ, *WEEK_KEYS, "obs_100k"])]
         scored = _with_scores(results.select(*cols), min_weeks)
         kept = lambda e: F.lit(True) if min_horizon is None else F.col("target_end_date") >= F.date_add(e["f"], 7 * min_horizon)
-        lean = F.transform(F.filter("_by", kept), lambda e: F.struct(e["f"].alias("f"), e["inv_mae"].alias("w"), e["n_weeks_scored"].alias("n")))
+        wanted = kept if after is None else lambda e: kept(e) & (e["f"] > F.lit(after))
+        if after is not None and min_horizon is not None:
+            scored = scored.where(F.col("target_end_date") > F.date_add(F.lit(after), 7 * min_horizon))
+        lean = F.transform(F.filter("_by", wanted), lambda e: F.struct(e["f"].alias("f"), e["inv_mae"].alias("w"), e["n_weeks_scored"].alias("n")))
         # stored: group sizes are counted before the rows are dealt out
         rows = materialize(scored.select(*WEEK_KEYS, "value_100k", lean.alias("_by")), "dated-rows")
 

@@ -12,6 +12,9 @@
   updates (``foreachBatch``), for readers outside the stream: :func:`read_scores`.
   A version of the table is named by its batch and made from the last version
   before it, so a batch that is replayed after a failure writes what it wrote before.
+* :func:`start_weekly_table` — weekly ensembles as a table partitioned by forecast date. A score at a forecast
+  date reads only the weeks before it, so a batch rebuilds the dates after its earliest new or
+  corrected week and leaves the other partitions as they are.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajens.operators.weighting import TRAJ
+from trajens.operators.weighting import TRAJ, WEEK_KEYS, weekly_ensembles
 from trajens.session import checkpoint_dir
 
 
@@ -116,6 +119,63 @@ def start_score_table(truth_weeks: DataFrame, results: DataFrame, name: str, pat
     return (w.trigger(**trigger) if trigger else w).start()
 
 
+def observe(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """``results`` (with ``population``) with the observations of ``truth``, raw and per 100k."""
+    seen = truth.select("location", "target_variable", "target_end_date", F.col("value").alias("obs"))
+    bare = results.select(*[c for c in results.columns if c not in ("obs", "obs_100k")])
+    return (bare.join(seen, ["location", "target_variable", "target_end_date"], "left")
+            .withColumn("obs_100k", F.try_divide(F.col("obs"), F.col("population")) * 100000.0))
+
+
+def update_weekly(batch: DataFrame, batch_id: int, results: DataFrame, path: str, keep: int = 2, **options) -> None:
+    """Bring the weekly ensembles under ``path`` up to a batch of truth weeks (location, target_variable,
+    target_end_date, value; a week sent again replaces its value, of two in one batch the greater stays).
+
+    ``path/truth`` holds the weeks seen so far in versions named by batch, each made from the last one before
+    it (one row per series and week). Weeks whose value differs from that version are the change;
+    forecast dates after the earliest of them are computed anew and overwrite their partitions of ``path/table``,
+    no others. The first batch writes every date. A replayed batch finds the same base, so the same change.
+    ``options`` go to :func:`weekly_ensembles`."""
+    spark = batch.sparkSession
+    keys = ["location", "target_variable", "target_end_date"]
+    new = batch.groupBy(*keys).agg(F.max(F.col("value").cast("double")).alias("value"))
+    before, after = [v for v in _versions(spark, f"{path}/truth") if v < batch_id], None
+    if before:
+        old = spark.read.schema(new.schema).parquet(f"{path}/truth/batch={before[-1]}")
+        both = old.withColumnRenamed("value", "was").join(new.withColumn("sent", F.lit(True)), keys, "full")
+        merged = both.select(*keys, F.when(F.col("sent"), F.col("value")).otherwise(F.col("was")).alias("value"))
+        changed = both.where(F.col("sent") & ~F.col("value").eqNullSafe(F.col("was")))
+        after = changed.agg(F.min("target_end_date")).first()[0]
+    else:
+        merged = new
+    # before the table: a batch that is cut off there is replayed from the version before its own
+    merged.write.mode("overwrite").parquet(f"{path}/truth/batch={batch_id}")
+    truth = spark.read.schema(new.schema).parquet(f"{path}/truth/batch={batch_id}")
+    if not before or after is not None:
+        fresh = weekly_ensembles(observe(results, truth), after=after, **options)
+        (fresh.repartition("forecast_date", *WEEK_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("forecast_date").parquet(f"{path}/table"))
+    for v in [v for v in _versions(spark, f"{path}/truth") if v <= batch_id][:-keep]:
+        _drop_version(spark, f"{path}/truth", v)
+
+
+def read_weekly(spark: SparkSession, path: str) -> DataFrame:
+    """The weekly ensembles that :func:`update_weekly` keeps under ``path``."""
+    t = spark.read.parquet(f"{path}/table")
+    return t.select(F.col("forecast_date").cast("date").alias("forecast_date"), *[c for c in t.columns if c != "forecast_date"])
+
+
+def start_weekly_table(truth_weeks: DataFrame, results: DataFrame, name: str, path: str | None = None,
+                       trigger: dict | None = None, **options):
+    """E7 kept up by a stream of truth weeks, by default under the checkpoint's folder. ``results`` is read anew by
+    every batch: store it first."""
+    base = f"{checkpoint_dir(truth_weeks.sparkSession)}/streams/{name}"
+    path = path or f"{base}/weekly"
+    w = (truth_weeks.writeStream.queryName(name).outputMode("append").option("checkpointLocation", f"{base}/checkpoint")
+         .foreachBatch(lambda batch, batch_id: update_weekly(batch, batch_id, results, path, **options)))
+    return (w.trigger(**trigger) if trigger else w).start()
+
+
 def start(df: DataFrame, name: str, mode: str = "append", sink: str = "parquet", path: str | None = None,
           trigger: dict | None = None):
     """Start a streaming query with its checkpoint under the session's
