@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -40,6 +41,57 @@ def test_piece_table_stays_bounded():
         assert len(t.young) <= 5 and len(t.old) <= 5
 
 
+class Recorder:
+    """The library's tokenizer, noting how many texts it is given."""
+
+    def __init__(self, lib):
+        self.lib, self.model, self.given = lib, lib.model, 0
+
+    def get_vocab(self, **kw):
+        return self.lib.get_vocab(**kw)
+
+    def encode_batch_fast(self, texts, **kw):
+        self.given += len(texts)
+        return self.lib.encode_batch_fast(texts, **kw)
+
+
+def test_new_words_reach_the_library_joined(monkeypatch):
+    rng, w = random.Random(8), lib(WORD)
+    words = ["".join(rng.choices("abcdeéñжß", k=7)) + "e" for _ in range(3000)]
+    texts = [" ".join(x + rng.choice(["", "", ".", ",", "***", '?"']) for x in words[at:at + 30]) for at in range(0, 3000, 10)]
+    record = Recorder(w)
+    monkeypatch.setattr(tokens, "tokenizer", lambda path: record)
+    ids = tokens.text_ids(tokens.piece_ids.__wrapped__(WORD), [t.encode() for t in texts], b"\1\0")
+    want = w.encode_batch_fast(texts, add_special_tokens=False)
+    assert [np.frombuffer(i, "<u2").tolist() for i in ids] == [[*e.ids, 1] for e in want]
+    assert record.given < len(words) // 10, record.given
+
+
+@pytest.mark.parametrize("room,joined", [(20, 3), (400, 7), (800_000, 32)])
+def test_id_table_is_exact_and_bounded(room, joined):
+    rng, w = random.Random(room), lib(WORD)
+    parts = ["th", "The", "'", "'s", "'S", "''", "!", "?.", "***", "<|endoftext|>", "<|ENDOFTEXT|>", "|>", "<|", ",", ".", ")", "(",
+             "1", "23", "é", "\u0301", "\u0338", "Σ", "İ", "ß", "漢", "\x1c", "\x85", "\xa0", "²", "\0", "-", "=", "J\u030c", "x" * 70]
+    space = [" ", "  ", "\n", "\t", "\r\n", "\x0b", "\x0c"]
+    texts = ["".join(rng.choice(parts if rng.random() < .75 else space) for _ in range(rng.randrange(30))) for _ in range(1500)]
+    t, got = tokens.IdTable(WORD, room=room, joined=joined), []
+    for at in range(0, len(texts), 50):
+        got += tokens.text_ids(t, [x.encode() for x in texts[at:at + 50]], b"\1\0")
+        assert len(t.young) == len(t.young_ids) <= room // 2 and len(t.old) == len(t.old_ids) <= room // 2
+        assert all(len(x) <= 64 for x in t.young)
+    for x, g in zip(texts, got):
+        assert np.frombuffer(g, "<u2").tolist() == [*w.encode(x, add_special_tokens=False).ids, 1], x
+    assert len(got) == len(texts) and tokens.text_ids(t, [], b"\1\0") == []
+
+
+def test_a_slice_of_a_column():
+    texts = ["zero Zero.", "", "a", "B, ", " c", "d"]
+    column = pa.array([t.encode() for t in texts], pa.large_binary()).slice(2, 3)
+    ids = tokens.joined_ids(tokens.piece_ids(WORD), column, b"\1\0").to_pylist()
+    assert ids == tokens.text_ids(tokens.piece_ids(WORD), [t.encode() for t in texts], b"\1\0")[2:5]
+    assert list(tokens.byte_slices(column, 2)) == [(0, 2), (2, 3)]
+
+
 @pytest.mark.parametrize("chunk,overlap", [(40, 8), (100, 90), (200, 100), (500, 70)])
 def test_resynchronisation_in_one_task(chunk, overlap):
     rng, b = random.Random(chunk), lib(BYTE)

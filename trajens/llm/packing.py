@@ -17,17 +17,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajens.llm.common import partition_offsets, store, table
-from trajens.llm.tokens import piece_ids, text_ids
+from trajens.llm.tokens import byte_slices, joined_ids, piece_ids
 
 _PASS1 = "pid int, at long, doc_id long, n long, ids binary"
 _PASS2 = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "
           "sequence_id long, offset long")
-#: rows per Arrow batch that a task hands back
-_ROWS = 4096
 
 
 def token_stream(docs: DataFrame, name: str, end_id: int, id_col: str = "doc_id",
@@ -40,15 +39,15 @@ def token_stream(docs: DataFrame, name: str, end_id: int, id_col: str = "doc_id"
         pid, at, words = TaskContext.get().partitionId(), 0, piece_ids(name)
         end = np.array([end_id], "<u2").tobytes()
         for b in batches:
-            for lo in range(0, b.num_rows, _ROWS):
-                part = b.slice(lo, _ROWS)
-                ids = text_ids(words, part.column(1).to_pylist(), end)
-                n = np.array([len(x) // 2 for x in ids], np.int64)
+            texts = pc.fill_null(b.column(1).cast(pa.large_binary()), b"")
+            for lo, hi in byte_slices(texts):
+                ids = joined_ids(words, texts.slice(lo, hi - lo), end)
+                n = pc.binary_length(ids).to_numpy() // 2
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(n), pid, np.int32)), pa.array(starts), part.column(0),
-                     pa.array(n), pa.array(ids, pa.binary())], names=["pid", "at", "doc_id", "n", "ids"])
+                    [pa.array(np.full(len(n), pid, np.int32)), pa.array(starts), b.column(0).slice(lo, hi - lo),
+                     pa.array(n), ids.cast(pa.binary())], names=["pid", "at", "doc_id", "n", "ids"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"),
                        F.col(text_col).cast("binary").alias("text"))

@@ -6,8 +6,8 @@ encoded once by the library and remembered in a bounded table of the Python work
 * byte-level BPE (``text_counts``): its pattern never joins a character that isn't white space to
   white space after it, so there is a cut before every space that follows such a character. Texts
   with a space after other white space take the slower exact cut.
-* word BPE with word ends (``text_ids``): white space is dropped and nothing crosses it, so the
-  text is cut at ASCII white space.
+* word BPE with word ends (``joined_ids``): white space is dropped and nothing crosses it, so a whole
+  batch is cut at ASCII white space, folded and numbered as arrays; Python sees distinct pieces only.
 
 Special strings hold no white space, so no cut falls inside one.
 
@@ -18,8 +18,10 @@ dealt to many tasks and encoded with offsets; see ``resynchronised``.
 from __future__ import annotations
 
 import re
+import string
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trajens.llm.common import slices, store, table
+from trajens.llm.common import SPACE, slices, store, table
 
 _ODD = re.compile(r"\s ")
 _CUT = re.compile(r"(?<=\S)(?= )")
@@ -60,22 +62,19 @@ class PieceTable:
     the young one is full it becomes the old one, and the old one's unused pieces go.
 
     A comma or full stop after a letter or digit always is a token piece of its own, so it is split
-    off before a new piece is encoded; with ``fold`` (files that lower-case) pure ASCII letters are
-    looked up in lower case. Values add up (counts, or ids as bytes)."""
+    off before a new piece is encoded. Values add up (counts)."""
 
-    def __init__(self, name: str, value, fold: bool = False, room: int = 800_000, longest: int = 64):
-        self.name, self.value, self.fold, self.room, self.longest = name, value, fold, room, longest
+    def __init__(self, name: str, value, room: int = 800_000, longest: int = 64):
+        self.name, self.value, self.room, self.longest = name, value, room, longest
         self.young, self.old = {}, {}
 
     def _parts(self, p) -> tuple:
         tail = p[-1:]
         core = p
-        if len(p) > 2 and tail in (b",", b".", ",", ".") and p[-2:-1].isalnum():
+        if len(p) > 2 and tail in (",", ".") and p[-2:-1].isalnum():
             core = p[:-1]
         else:
             tail = None
-        if self.fold and core.isascii() and core.isalpha():
-            core = core.lower()
         return core, tail
 
     def look_up(self, pieces: list) -> list:
@@ -94,8 +93,7 @@ class PieceTable:
         new = [x for x in need if x not in known]
         if new:
             lib = tokenizer(tokenizer_path(self.name))
-            texts = [x.decode() if isinstance(x, bytes) else x for x in new]
-            known.update((x, self.value(e.ids)) for x, e in zip(new, lib.encode_batch_fast(texts, add_special_tokens=False)))
+            known.update((x, self.value(e.ids)) for x, e in zip(new, lib.encode_batch_fast(new, add_special_tokens=False)))
         for p, (core, tail) in parts.items():
             fresh[p] = known[core] if tail is None else known[core] + known[tail]
         fresh.update((x, known[x]) for x in new)
@@ -151,17 +149,152 @@ def text_counts(table: PieceTable, texts: list[str | None]) -> list[int]:
     return out
 
 
-def text_ids(table: PieceTable, texts: list[bytes | None], end: bytes) -> list[bytes]:
-    """Ids of each text, word BPE, with ``end`` appended."""
-    out = []
-    for part in sub_batches([t or b"" for t in texts]):
-        offsets, number, distinct = _coded(pc.ascii_split_whitespace(pa.array(part, pa.large_binary()).cast(pa.large_string())))
-        ids = pa.array(table.look_up([w.encode() for w in distinct]), pa.large_binary()).take(pa.array(number))
-        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[offsets] if len(ids) else np.zeros(len(offsets), int)
-        data = ids.buffers()[2]
-        raw = memoryview(data) if data is not None else memoryview(b"")
-        out += [bytes(raw[s:e]) + end for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
-    return out
+#: kinds of bytes; closing marks stand in no special string
+_BLANK, _UPPER, _LETTER, _WORDY, _MARK = 1, 2, 4, 8, 16
+_CHARS = {_BLANK: SPACE, _UPPER: string.ascii_uppercase, _LETTER: string.ascii_letters,
+          _WORDY: string.ascii_letters + string.digits, _MARK: '!"#$%&)*,.:;?'}
+_KIND = bytes(sum(k for k, chars in _CHARS.items() if chr(i) in chars) for i in range(256))
+_EMPTY = pa.array([], pa.large_binary())
+
+
+def _binary(sizes: np.ndarray, data: np.ndarray) -> pa.Array:
+    """Consecutive stretches of ``data``, ``sizes`` bytes long."""
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _ends(column: pa.Array) -> np.ndarray:
+    """Offsets of a large binary column in its data buffer, one more than it has rows."""
+    return np.frombuffer(column.buffers()[1], np.int64, len(column) + 1 + column.offset)[column.offset:]
+
+
+def word_pieces(column: pa.Array, fold: bool) -> tuple[np.ndarray, pa.Array]:
+    """(number of the first piece of each text, and of all; pieces) of UTF-8 texts (no nulls).
+
+    Pieces are what lies between ASCII white space. Closing marks at their end, after an ASCII letter or
+    digit, always are a token piece of their own and split off. With ``fold`` (files that lower-case)
+    pieces of nothing but ASCII letters are lower-cased."""
+    at = _ends(column)
+    at, lo = at - at[0], int(at[0])
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[lo:lo + at[-1]] if at[-1] else np.empty(0, np.uint8)
+    kind = np.frombuffer(data.tobytes().translate(_KIND), np.uint8)
+    begins = np.zeros(len(data) + 1, bool)  # places where a text begins (or all end)
+    begins[at] = True
+    keep = (kind & _BLANK) == 0
+    over = begins.copy()  # nothing reaches this place from the left
+    over[:-1] |= ~keep
+    first = keep & begins[:-1]
+    first[1:] |= keep[1:] & ~keep[:-1]
+    mark = (kind & _MARK) != 0
+    from_, to = mark.copy(), mark.copy()  # first and last byte of each run of marks
+    from_[1:] &= ~mark[:-1] | begins[1:-1]
+    to[:-1] &= ~mark[1:] | begins[1:-1]
+    from_, to = np.flatnonzero(from_), np.flatnonzero(to)
+    first[from_[over[to + 1] & ~first[from_] & ((kind[from_ - 1] & _WORDY) != 0)]] = True
+    numbers = np.searchsorted(np.flatnonzero(first), at)
+    data, kind, start = data[keep], kind[keep], np.flatnonzero(first[keep])
+    if fold and len(start):
+        upper = np.flatnonzero(kind & _UPPER)
+        letters = np.bitwise_and.reduceat(kind, start) & _LETTER != 0
+        data[upper[letters[np.searchsorted(start, upper, "right") - 1]]] += 32
+    return numbers, _binary(np.diff(start, append=len(data)), data)
+
+
+class IdTable:
+    """piece -> its ids as little-endian 16-bit numbers, in two generations like ``PieceTable``; a
+    dictionary gives a piece's place in an array of ids, so texts are put together by array steps."""
+
+    def __init__(self, name: str, room: int = 800_000, longest: int = 64, joined: int = 32):
+        self.name, self.room, self.longest, self.joined = name, room, longest, joined
+        self.young, self.young_ids, self.old, self.old_ids = {}, _EMPTY, {}, _EMPTY
+        self.closing = None
+
+    def look_up(self, pieces: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """(ids, place of each of the distinct ``pieces`` there)"""
+        names = pieces.to_pylist()
+        place = np.array(list(map(self.young.get, names, repeat(-1))), np.int64)
+        miss = np.flatnonzero(place < 0)
+        if not len(miss):
+            return self.young_ids, place
+        was = np.array([self.old.get(names[i], -1) for i in miss.tolist()], np.int64)
+        # in this order: old ones, new ones, and last those too long to remember
+        new = miss[was < 0]
+        short = np.diff(_ends(pieces))[new] <= self.longest
+        new = np.concatenate([new[short], new[~short]])
+        fresh = [names[i] for i in (*miss[was >= 0].tolist(), *new.tolist())]
+        values = pa.concat_arrays([self.old_ids.take(pa.array(was[was >= 0])), self.encoded(fresh[len(fresh) - len(new):])])
+        place[np.concatenate([miss[was >= 0], new])] = len(self.young_ids) + np.arange(len(fresh))
+        ids = pa.concat_arrays([self.young_ids, values])
+        half = self.room // 2
+        n = min(half, len(fresh) - int((~short).sum()))
+        if len(self.young) + n > half:
+            self.old, self.old_ids, self.young, self.young_ids = self.young, self.young_ids, {}, _EMPTY
+        self.young.update(zip(fresh[:n], range(len(self.young), len(self.young) + n)))
+        self.young_ids = pa.concat_arrays([self.young_ids, values.slice(0, n)])
+        return ids, place
+
+    def encoded(self, pieces: list[bytes]) -> pa.Array:
+        """Ids of each piece by the library."""
+        lib, texts = tokenizer(tokenizer_path(self.name)), [p.decode() for p in pieces]
+        encode = partial(lib.encode_batch_fast, add_special_tokens=False)
+        done, parts = self.encoded_words(encode, texts) if self.closes(lib) is not None else (np.empty(0, np.int64), [])
+        alone = np.setdiff1d(np.arange(len(texts)), done)
+        parts.append(pa.array([_packed(e.ids) for e in encode([texts[i] for i in alone])], pa.large_binary()))
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate([done, alone]))))
+
+    def encoded_words(self, encode, texts: list[str]) -> tuple[np.ndarray, list[pa.Array]]:
+        """(numbers of the texts done, their ids). Pieces of letters are one word each wherever they stand,
+        so ``joined`` of them are encoded as one text and told apart by the ids that close a word. Each
+        piece closes a word (a byte-level file leaves no letter out), so where ends are as many as
+        pieces, each piece has one; a group where they aren't is encoded piece by piece."""
+        words = np.array([i for i, t in enumerate(texts) if t.isalpha()], np.int64)
+        if not len(words):
+            return words, []
+        groups = np.split(words, range(self.joined, len(words), self.joined))
+        lists = [e.ids for e in encode([" ".join([texts[i] for i in g]) for g in groups])]
+        held, size = np.array([len(g) for g in groups]), np.array([len(x) for x in lists])
+        ids = np.frombuffer(_packed([i for x in lists for i in x]), "<u2")
+        closing = self.closing[ids]
+        before, edges = (np.concatenate([[0], np.cumsum(x)]) for x in (closing, size))
+        good = (np.diff(before[edges]) == held) & np.append(closing, False)[edges[1:] - 1]
+        ids, closing = ids[np.repeat(good, size)], closing[np.repeat(good, size)]
+        return words[np.repeat(good, held)], [_binary(2 * np.diff(np.flatnonzero(closing), prepend=-1), ids)]
+
+    def closes(self, lib) -> np.ndarray | None:
+        """Whether an id closes a word, by id; None if the file marks no word ends."""
+        suffix = getattr(lib.model, "end_of_word_suffix", None)
+        if self.closing is None and suffix:
+            vocab = lib.get_vocab(with_added_tokens=False)
+            closing = np.zeros(1 << 16, bool)
+            closing[[i for t, i in vocab.items() if t.endswith(suffix) and i < len(closing)]] = True
+            self.closing = closing
+        return self.closing
+
+
+def byte_slices(column: pa.Array, most: int = 1 << 23) -> Iterator[tuple[int, int]]:
+    """Bounds [from, to) of stretches of a large binary column, about ``most`` bytes each."""
+    group = (_ends(column)[:-1] - _ends(column)[0]) // most
+    edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(column)]
+    return ((lo, hi) for lo, hi in zip(edges, edges[1:]) if lo < hi)
+
+
+def joined_ids(table: IdTable, column: pa.Array, end: bytes) -> pa.Array:
+    """Ids of each text of a large binary column without nulls, word BPE, with ``end`` appended."""
+    numbers, pieces = word_pieces(column, fold=True)
+    coded = pieces.dictionary_encode()
+    ids, place = table.look_up(coded.dictionary)
+    each = np.insert(place[coded.indices.to_numpy(zero_copy_only=False)], numbers[1:], len(ids))
+    flat = pa.concat_arrays([ids, pa.array([end], pa.large_binary())]).take(pa.array(each))
+    # a text's ids begin where its first piece's do; each text before it added one piece
+    offsets = _ends(flat)[numbers + np.arange(len(numbers))]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(column), [None, pa.py_buffer(offsets), flat.buffers()[2]])
+
+
+def text_ids(table: IdTable, texts: list[bytes | None], end: bytes) -> list[bytes]:
+    """``joined_ids`` of a list; null counts as empty."""
+    column = pa.array([t or b"" for t in texts], pa.large_binary())
+    return [x for lo, hi in byte_slices(column) for x in joined_ids(table, column.slice(lo, hi - lo), end).to_pylist()]
 
 
 @lru_cache(maxsize=4)
@@ -171,9 +304,9 @@ def piece_counts(name: str) -> PieceTable:
 
 
 @lru_cache(maxsize=4)
-def piece_ids(name: str) -> PieceTable:
-    """Ids as little-endian 16-bit numbers; for word BPE files that lower-case."""
-    return PieceTable(name, _packed, fold=True)
+def piece_ids(name: str) -> IdTable:
+    """Table of a Python worker, for byte-level word BPE files that lower-case."""
+    return IdTable(name)
 
 
 def _packed(ids: list) -> bytes:
