@@ -108,3 +108,62 @@ def test_copies_are_one_observation(spark):
     assert recall(got, want) >= 0.99
     h = ann.vector_hash(np.array([[0.0, 1.0], [-0.0, 1.0], [1.0, 0.0], [1.0, 1.0]]))
     assert h[0] == h[1] and len(set(h.tolist())) == 3
+
+
+def test_best_rows_and_their_floor():
+    rng = np.random.default_rng(3)
+    x, ids = rng.integers(-2, 3, size=(40, 3)).astype(float), rng.permutation(60)[:40]
+    qid = np.concatenate([ids[:5], [100, 101]])
+    q = np.vstack([x[:5], rng.integers(-2, 3, size=(2, 3))])
+    floor = np.array([-np.inf, 3, 3, -np.inf, 50, 3, -np.inf])
+    i, j, s = ann.best_of(q, qid, x, ids, 4, floor)
+    assert np.array_equal(s, (q[i] * x[j]).sum(axis=1))
+    for n in range(len(q)):
+        every = {int(a): float((q[n] * v).sum()) for a, v in zip(ids, x) if a != qid[n]}
+        least = floor[n] if np.isfinite(floor[n]) else sorted(every.values())[-4]  # ties stay
+        assert {int(ids[b]): c for a, b, c in zip(i, j, s) if a == n} == {a: c for a, c in every.items() if c >= least}
+    best, want = ann.Best(np.array([-np.inf, 0.5]), 3), {0: [], 1: []}
+    for _ in range(9):
+        n, a, c = rng.integers(0, 2, 30), rng.permutation(1000)[:30], rng.integers(0, 4, 30).astype(float)
+        best.add(n, a, c)
+        for y in (0, 1):
+            want[y] += [(-z, int(w)) for w, z, m in zip(a, c, n) if m == y]
+        assert best.held <= 12
+    n, a, c = best.cut()
+    for y in (0, 1):
+        assert [(-z, int(w)) for w, z, m in zip(a, c, n) if m == y] == sorted(want[y])[:3]
+        assert best.floor[y] == -sorted(want[y])[2][0]
+
+
+def test_scan_grid():
+    for asked, vectors, blocks, parts, dim in ((1, 1, 1, 8, 3), (30000, 600000, 1200, 25, 64), (30000, 600000, 1200, 600, 64), (5, 9, 2, 200, 4),
+                                               (10**6, 2 * 10**7, 40000, 600, 64), (9000, 9000, 18, 8, 1536)):
+        tall, wide = ann.scan_grid(asked, vectors, blocks, parts, dim)
+        assert 1 <= tall <= asked and 1 <= wide <= blocks
+        assert tall * wide >= min(parts, asked * blocks)
+        assert tall == asked or asked / tall * dim * 8 <= 1 << 24
+        assert asked * vectors / (tall * wide) <= 1 << 30
+        assert asked * wide + vectors * tall <= 4 * (asked * vectors * tall * wide) ** 0.5 or wide == blocks or asked / tall * dim * 8 > 1 << 23
+
+
+def test_scanned_queries_do_not_pass_through_the_driver(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(1500, 64))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    ids = rng.permutation(len(x))
+    df = frame(spark, ids, x)
+    want = brute(ids, x.astype(float), ids.tolist(), 20)
+    limits, key, parts = spark.sparkContext._jsc.sc().conf(), "spark.driver.maxResultSize", "spark.sql.shuffle.partitions"
+    before, n = limits.get(key, "1g"), spark.conf.get(parts)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    try:
+        spark.conf.set(parts, "48")
+        limits.set(key, "4m")
+        rows = ann.nearest(df, F.lit(True), block=32).collect()
+    finally:
+        limits.set(key, before)
+        spark.conf.set(parts, n)
+    got = rows_of(rows)
+    scanned = {r.query_id for r in rows if r.scanned}
+    assert len(scanned) > 1000 and set(got) == set(want)
+    assert all([i for i, _ in got[q]] == [i for i, _ in want[q]] for q in scanned)

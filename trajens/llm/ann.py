@@ -12,7 +12,10 @@ has missed is estimated from how often its neighbours were found (Chao's estimat
 on one curve only and on two). Copies of one vector share a key and are found together, so what
 counts is different vectors. Where the estimate is over ``missed`` of those found, or they are less
 than half of k, or fewer than k rows were found, the stated query is compared with every block of one ordering; only vectors that reach the
-k-th score it already has come back. These scans are exact.
+k-th score it already has come back, the k best of a task at most. These scans are exact. Queries and
+blocks meet in tiles, one to a task, which holds the tile's queries and takes its blocks one by one;
+no join is made, so that none can be planned as a broadcast through the driver, whatever the tables'
+sizes on disk (compressed, and not counting the copies of a query for each tile) suggest.
 
 Copies. Of equal vectors only the k + 1 smallest ids can be among anyone's k nearest, so further
 copies (cut by a per-group limit before any exchange) are no candidates; they still are queries.
@@ -33,7 +36,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trajens.llm.common import partition_offsets, store, table
+from trajens.llm.common import partition_offsets, slices, store, table
 
 
 def hilbert_keys(grid: np.ndarray, bits: int) -> np.ndarray:
@@ -88,19 +91,66 @@ def exact_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def best_of(q: np.ndarray, qid: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int,
-            floor: np.ndarray | None = None):
-    """Per query the ids and scores of its k best rows (ties kept), own id left out; with
-    ``floor``, all rows that reach it instead."""
+            floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in q, places in x, scores) of each query's k best rows (ties kept), own id left out;
+    where ``floor`` is finite, of all rows that reach it instead. No id comes twice in ``ids``."""
     rough = q @ x.T
-    rough[qid[:, None] == ids[None, :]] = -np.inf
-    slack = 1e-9 * (1 + np.abs(rough[np.isfinite(rough)]).max(initial=0))
-    if floor is None:
+    by_id = np.argsort(ids)
+    own = by_id[np.minimum(np.searchsorted(ids, qid, sorter=by_id), len(ids) - 1)]
+    itself = np.flatnonzero(ids[own] == qid)
+    rough[itself, own[itself]] = -np.inf
+    finite = np.isfinite(rough)
+    slack = 1e-9 * (1 + np.abs(rough, where=finite, out=np.zeros_like(rough)).max(initial=0))
+    floor = np.full(len(qid), -np.inf) if floor is None else floor.copy()
+    bare = np.flatnonzero(~np.isfinite(floor))
+    if len(bare):
         m = min(k, len(ids))
-        floor = np.partition(rough, len(ids) - m, axis=1)[:, len(ids) - m]
-    for i in range(len(qid)):
-        at = np.flatnonzero((rough[i] >= floor[i] - slack) & np.isfinite(rough[i]))
-        if len(at):
-            yield i, ids[at], exact_scores(q[i], x[at])
+        floor[bare] = np.partition(rough[bare], len(ids) - m, axis=1)[:, len(ids) - m]
+    i, j = np.nonzero((rough >= (floor - slack)[:, None]) & finite)
+    score, step = np.empty(len(i)), max(1, (1 << 21) // x.shape[1])
+    for at in range(0, len(i), step):
+        some = slice(at, at + step)
+        score[some] = exact_scores(q[i[some]], x[j[some]])
+    return i, j, score
+
+
+class Best:
+    """The k best rows of each query among those added; ties go to the smaller id. ``floor``: scores
+    that a row has to reach, raised as rows come."""
+
+    def __init__(self, floor: np.ndarray, k: int):
+        self.floor, self.k = floor, k
+        self.rows = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+        self.held = 0
+
+    def add(self, query: np.ndarray, ids: np.ndarray, score: np.ndarray) -> None:
+        self.rows.append((query, ids, score))
+        self.held += len(query)
+        if self.held > 2 * self.k * len(self.floor):
+            self.cut()
+
+    def cut(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of the rows that stay."""
+        query, ids, score = (np.concatenate(c) for c in zip(*self.rows))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        nth = np.arange(len(query)) - np.searchsorted(query, query)
+        last = nth == self.k - 1
+        self.floor[query[last]] = np.fmax(self.floor[query[last]], score[last])
+        self.rows = [(query[nth < self.k], ids[nth < self.k], score[nth < self.k])]
+        self.held = len(self.rows[0][0])
+        return self.rows[0]
+
+
+def scan_grid(asked: int, vectors: int, blocks: int, parts: int, dim: int,
+              tile_pairs: int = 1 << 30, tile_bytes: int = 1 << 24) -> tuple[int, int]:
+    """(rows, columns) of tiles for ``asked`` queries against ``vectors`` in ``blocks``: at least one
+    tile to a partition, at most ``tile_pairs`` comparisons a tile, queries of about ``tile_bytes`` as
+    doubles; of such grids one that makes few copies of both (queries times columns, vectors times rows)."""
+    tiles = max(parts, -(-asked * vectors // tile_pairs))
+    tall = max(1, round((tiles * asked / vectors) ** 0.5), -(-tiles // blocks), -(-8 * dim * asked // tile_bytes))
+    tall = min(asked, tall)
+    return tall, min(blocks, -(-tiles // tall))
 
 
 def vector_hash(x: np.ndarray) -> np.ndarray:
@@ -216,19 +266,17 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 8,
     offered = blocks.where(F.length("ids") > 0).select("curve", "no", "ids", "vecs")
 
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 16):
             for r in b.to_pylist():
                 qid, ids = np.frombuffer(r["qids"], "<i8"), np.frombuffer(r["ids"], "<i8")
                 q, x = _vectors(r["qvecs"], dtype, dim), _vectors(r["vecs"], dtype, dim)
-                got = [(np.full(len(i), qid[n]), i, s) for n, i, s in best_of(q, qid, x, ids, k)]
-                if got:
-                    qs, i, s = (np.concatenate(c) for c in zip(*got))
-                    by_id = np.argsort(ids)
-                    same = vector_hash(x)[by_id[np.searchsorted(ids, i, sorter=by_id)]]
-                    yield pa.RecordBatch.from_arrays([pa.array(qs), pa.array(i), pa.array(s), pa.array(np.full(len(qs), r["curve"], np.int32)), pa.array(same)],
+                i, j, s = best_of(q, qid, x, ids, k)
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[i]), pa.array(ids[j]), pa.array(s), pa.array(np.full(len(i), r["curve"], np.int32)), pa.array(vector_hash(x)[j])],
                                                      names=["query_id", "vec_id", "score", "curve", "same"])
 
-    seen = asked.join(offered, ["curve", "no"]).select("curve", "qids", "qvecs", "ids", "vecs").mapInArrow(
+    # merge: files of many copies are small, what they hold is not, and a planner that goes by files would broadcast it
+    seen = asked.join(offered.hint("merge"), ["curve", "no"]).select("curve", "qids", "qvecs", "ids", "vecs").mapInArrow(
         rerank, out + ", curve int, same long")
     # as bits, the curves on which a row was found; copies add up to those of their vector
     merged = seen.groupBy("query_id", "vec_id").agg(
@@ -240,43 +288,56 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, curves: int = 8,
     known = (top.groupBy("query_id", "same").agg(F.count(F.lit(1)).alias("n"), F.bit_count(F.bit_or("on")).alias("hits"), F.min("score").alias("kth"))
              .groupBy("query_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("distinct"), unseen.alias("unseen"), F.min("kth").alias("kth")))
     queries = rows.where("is_query").select(F.col("id").alias("query_id"), "v")
-    open_ = store(queries.join(known, "query_id", "left").where(
+    open_ = store(queries.join(known.hint("merge"), "query_id", "left").where(
         F.col("n").isNull() | (F.col("n") < k) | (2 * F.col("distinct") < k) | (F.col("unseen") > missed * F.col("distinct")))
         .select("query_id", "v", F.when(F.col("n") >= k, F.col("kth")).alias("kth")), "ann-open")
 
-    # the stated queries that are left, in groups, against all blocks of the first ordering
-    groups = max(1, -(-open_.count() // scan_groups))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asking = (open_.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(groups)).alias("g"))
-              .agg(F.collect_list(F.struct("query_id", "v", "kth")).alias("q"))
-              .select(F.col("q.query_id").alias("qid"), F.col("q.v").alias("qv"),
-                      F.transform("q.kth", lambda x: F.coalesce(x, F.lit(float("-inf")))).alias("kth"),
-                      F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")))
-    facing = (blocks.where((F.col("curve") == 0) & (F.length("ids") > 0))
-              .select(F.pmod("no", F.lit(parts)).cast("int").alias("part"), "ids", "vecs"))
-
+    # the stated queries that are left against all blocks of the first ordering
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for r in b.to_pylist():
-                qid, ids = np.array(r["qid"], np.int64), np.frombuffer(r["ids"], "<i8")
-                q, x = _vectors(r["qv"], dtype, dim), _vectors(r["vecs"], dtype, dim)
-                floor = np.array(r["kth"])
-                got = []
-                for some, f in ((np.isfinite(floor), floor), (~np.isfinite(floor), None)):
-                    if some.any():
-                        own = qid[some]
-                        got += [(np.full(len(i), own[n]), i, s) for n, i, s in
-                                best_of(q[some], own, x, ids, k, None if f is None else f[some])]
-                if got:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got)],
-                                                     names=["query_id", "vec_id", "score"])
-
-    scanned = asking.join(facing, "part").select("qid", "qv", "kth", "ids", "vecs").mapInArrow(scan, out)
+        asks, best = [], None
+        for b in slices(batches, 64):
+            for is_block, i, kth, ids, v in zip(*(c.to_pylist() for c in b.columns)):
+                if not is_block:  # they come first
+                    asks.append((i, kth, v))
+                    continue
+                if best is None:
+                    if not asks:
+                        return
+                    qid, floor, q = (list(c) for c in zip(*asks))
+                    qid, q, best = np.array(qid, np.int64), _vectors(q, dtype, dim), Best(np.array(floor), k)
+                    asks.clear()
+                ids, x = np.frombuffer(ids, "<i8"), _vectors(v, dtype, dim)
+                for at in range(0, len(qid), scan_groups):
+                    some = slice(at, at + scan_groups)
+                    n, j, s = best_of(q[some], qid[some], x, ids, k, best.floor[some])
+                    best.add(n + at, ids[j], s)
+                if not np.isfinite(best.floor).all():
+                    best.cut()
+        if best is not None:
+            n, i, s = best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array(qid[n]), pa.array(i), pa.array(s)], names=["query_id", "vec_id", "score"])
+
+    left = open_.count()
+    every = top.select("query_id", "vec_id", "score")
+    if left:
+        facing = blocks.where((F.col("curve") == 0) & (F.length("ids") > 0))
+        size = facing.agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.length("ids") / 8).cast("long").alias("vectors")).first()
+        tall, wide = scan_grid(left, size.vectors, size.blocks, int(spark.conf.get("spark.sql.shuffle.partitions")), dim)
+        tile = (F.col("row") * wide + F.col("column")).cast("int").alias("tile")
+        asking = (open_.withColumn("row", F.pmod(F.xxhash64("query_id"), F.lit(tall)))
+                  .withColumn("column", F.explode(F.sequence(F.lit(0), F.lit(wide - 1))))
+                  .select(tile, F.lit(False).alias("is_block"), F.col("query_id").alias("id"),
+                          F.coalesce("kth", F.lit(float("-inf"))).alias("kth"), F.lit(None).cast("binary").alias("ids"), "v"))
+        facing = (facing.withColumn("column", F.pmod("no", F.lit(wide)))
+                  .withColumn("row", F.explode(F.sequence(F.lit(0), F.lit(tall - 1))))
+                  .select(tile, F.lit(True).alias("is_block"), F.lit(None).cast("long").alias("id"),
+                          F.lit(None).cast("double").alias("kth"), "ids", F.col("vecs").alias("v")))
+        tiles = asking.unionByName(facing).repartitionById(tall * wide, "tile").sortWithinPartitions("is_block")
+        every = every.unionByName(tiles.select("is_block", "id", "kth", "ids", "v").mapInArrow(scan, out))
     late = open_.select("query_id", F.lit(True).alias("scanned"))
-    every = (top.select("query_id", "vec_id", "score").unionByName(scanned)
-             .groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+    every = every.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     return (every.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-            .join(late, "query_id", "left")
+            .join(late.hint("merge"), "query_id", "left")
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score",
                     F.coalesce("scanned", F.lit(False)).alias("scanned")))
 
